@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lines, quality
+from ledgerloom.llm import bpe, jaccard, lines, mixing, quality
 from ledgerloom.session import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.copies(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df, n = lines.with_kept(docs)
     return df.select("doc_id", F.col(n["n_lines"]).alias("n_lines"), F.col(n["n_dropped"]).alias("n_dropped"), F.sha2(n["kept"], 256).alias("kept_sha256"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup, op4_bpe, op6_ngram_jaccard, op8_quality_rules)}
 
 SQL = {
     "op3_line_dedup": r"""
