@@ -1,29 +1,47 @@
-"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, BPE."""
+"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing sources to target weights, BPE encoding and decoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import lines, quality
+from ledgerloom.llm import bpe, jaccard, lines, mixing, quality
+from ledgerloom.session import cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has go."""
     return lines.dedup(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup)]
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return bpe.digests(docs, ["doc_id", "lang", "source"])
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("mix_sources", mix_sources), ("bpe_tokens", bpe_tokens)]
 
 #: Weak supervision, connected components and tokenizing have no SQL form: tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerloom.session import cut, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
