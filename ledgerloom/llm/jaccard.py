@@ -1,9 +1,9 @@
 """Operator 6, n-gram Jaccard join: exact, by a token-group matrix.
 
 A document's set is its distinct word shingles (hashes). Documents with equal sets are one class. Two sets with a Jaccard similarity of
-at least 3/4 share a token among the n - ceil(3n/4) + 1 first of each in any common order, so classes that share no such prefix
-token, over any chain, can't be linked: connected components of prefix sharing are the blocks to search. Tokens that are
-frequent come last in the order, so a passage that many documents share makes no block by itself.
+at least 3/4 share several tokens among the first of each in any common order (see prefixes). So sets with fewer shared prefix
+tokens are linked with nothing, and sets that share none, over any chain, can't be linked: connected components of prefix sharing
+among the others are the blocks to search. Frequent tokens come last in the order, so a passage that many documents share makes no block.
 
 In a block, sets are partitioned by their smallest token into groups of at most GROUP. The token-group matrix says which groups hold a
 token; a query's row sum over it bounds its overlap with every member of a group, and only groups whose bound reaches 3/4 of the
@@ -88,8 +88,16 @@ def measure(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def extra(n):
+    """Tokens that the prefix is longer by, so that similar sets share more than one of them."""
+    return 1 + 3 * n // 20
+
+
 def prefixes(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix tokens of each set in the common order, and the place of their set. frequent is sorted; rank gives its order."""
+    """Prefix tokens of each set in the common order, and the place of their set. frequent is sorted; rank gives its order.
+
+    Sets of a and b tokens with a Jaccard similarity of 3/4 share at least ceil(3/4 max(a, b)) tokens, hence at least
+    min(extra(a), extra(b)) of their prefixes of n - ceil(3n/4) + extra(n)."""
     place = np.zeros(len(tokens), np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -98,7 +106,7 @@ def prefixes(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rank
     for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         n = hi - lo
         if n:
-            take = n - -(-3 * n // 4) + 1
+            take = n + (-3 * n // 4) + extra(n)
             mine, late = tokens[lo:hi], place[lo:hi]
             if late.any():
                 mine = mine[np.lexsort((mine, late))]
@@ -107,37 +115,43 @@ def prefixes(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rank
     return (np.concatenate(out), np.concatenate(owner)) if out else (tokens[:0], np.zeros(0, np.int64))
 
 
-def stars(tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (token, set) per token, and edges from the other sets that hold it to that set."""
+def repeated(tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, set) in order, and whether their token is in more than one set."""
     order = np.lexsort((sets, tokens))
     tokens, sets = tokens[order], sets[order]
-    first = np.ones(len(tokens), bool)
-    first[1:] = tokens[1:] != tokens[:-1]
-    head = sets[first][np.cumsum(first) - 1]
-    other = sets != head
-    edges = np.unique(np.stack([sets[other], head[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return tokens[first], sets[first], edges[:, 0], edges[:, 1]
-
-
-def _edge_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["bucket", "tokens", "sets", "a", "b"])
-
-
-def prefix_edges(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
-    """Edges (a, b) between sets that share a prefix token, a star per token. Tasks send one row per bucket with packed numbers, each token once."""
-
-    def emit(tokens: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t, s, a, b = stars(np.concatenate(tokens), np.concatenate(sets))
-        yield _edge_rows(a, b)
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
+    tokens, sets = tokens[new], sets[new]
+    many = np.zeros(len(tokens), bool)
+    same = tokens[1:] == tokens[:-1]
+    many[1:] |= same
+    many[:-1] |= same
+    return tokens, sets, many
+
+
+def shared_tokens(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
+    """(token, s1) of prefix tokens that several sets have. Tasks send packed numbers, a row per bucket: of a token that a task meets
+    in several sets one record goes to the token's bucket and all are sent on as known, spread over the buckets. So no bucket grows with
+    the number of sets that have a token. A bucket keeps 32 bits of a token: a rare collision adds work, no result."""
+
+    def emit(tokens: list[np.ndarray], sets: list[np.ndarray], turn: int) -> pa.RecordBatch:
+        t, s, many = repeated(np.concatenate(tokens), np.concatenate(sets))
+        first = np.ones(len(t), bool)
+        first[1:] = t[1:] != t[:-1]
+        known_t, known_s, to = t[many], s[many], (np.arange(int(many.sum())) // 4096 + turn) % buckets
+        t, s = t[first], s[first]
         # tokens are sorted, and buckets are ranges of them
         edge = np.searchsorted(t, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-        parts = [(i, x, y) for i, (x, y) in enumerate(zip(np.split(t, edge), np.split(s, edge), strict=True)) if len(x)]
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1].tobytes() for p in parts], pa.binary()), pa.array([p[2].tobytes() for p in parts], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["bucket", "tokens", "sets", "a", "b"])
+        rows = []
+        for i, (x, y) in enumerate(zip(np.split(t, edge), np.split(s, edge), strict=True)):
+            mine = to == i
+            if len(x) or mine.any():
+                rows.append((i, x.astype(np.uint32).tobytes(), y.tobytes(), known_t[mine].tobytes(), known_s[mine].tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "t", "s", "kt", "ks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sets, held = [], [], 0
+        tokens, sets, held, turn = [], [], 0, 0
         for batch in pieces(batches, "text"):
             all_tokens, offsets = shingle_sets(batch.column(0))
             s1, _ = set_ids(all_tokens, offsets)
@@ -146,20 +160,35 @@ def prefix_edges(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndar
             sets.append(s1[owner])
             held += len(t)
             if held >= FLUSH:
-                yield from emit(tokens, sets)
-                tokens, sets, held = [], [], 0
+                yield emit(tokens, sets, turn)
+                tokens, sets, held, turn = [], [], 0, turn + 7
         if held:
-            yield from emit(tokens, sets)
+            yield emit(tokens, sets, turn)
 
     def meet(rows: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("tokens")])
-        sets = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("sets")])
-        _, _, a, b = stars(tokens, sets)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    sent = cut(docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, tokens binary, sets binary, a long, b long"), "prefixes")
-    met = sent.where("bucket is not null").select("bucket", "tokens", "sets").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return sent.where("a is not null").select("a", "b").unionByName(met)
+        joined = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows.column(c)])
+        t, s, many = repeated(joined("t", np.uint32), joined("s", np.int64))
+        high = np.uint64(rows.column("bucket")[0].as_py() << 32)
+        # known tokens are named as their own bucket names them
+        kt = joined("kt", np.uint64)
+        limit = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+        bucket = np.searchsorted(limit, kt, "right")
+        named = (bucket.astype(np.uint64) << np.uint64(32)) | (kt & np.uint64(0xFFFFFFFF))
+        token = np.concatenate([high | t[many].astype(np.uint64), named]).view(np.int64)
+        return pa.table({"token": pa.array(token), "s1": pa.array(np.concatenate([s[many], joined("ks", np.int64)]))})
+
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, t binary, s binary, kt binary, ks binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "token long, s1 long")
+
+
+def block_edges(shared: DataFrame, each: DataFrame) -> DataFrame:
+    """Edges (a, b) of a star per token among the sets that have as many shared prefix tokens as a similar set asks for."""
+    sizes = each.groupBy("s1").agg(F.min("n").alias("n"))
+    least = 1 + F.floor(3 * F.floor((3 * F.col("n") + 3) / 4) / 20)
+    able = shared.groupBy("s1").count().join(sizes, "s1").where(F.col("count") >= least).select("s1")
+    mine = cut(shared.join(able, "s1", "left_semi"), "shared-active")
+    heads = mine.groupBy("token").agg(F.min("s1").alias("b"), F.max("s1").alias("last")).where("b <> last").drop("last")
+    return mine.join(heads, "token").where("s1 <> b").select(F.col("s1").alias("a"), "b").distinct()
 
 
 def link(sets: list[np.ndarray]) -> np.ndarray:
@@ -227,9 +256,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, counts))] = np.arange(len(values))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    edges = prefix_edges(docs, text, values[order], rank[order], max(1, total // 4 // BUCKET_TOKENS + 1))
-    blocks = connected(edges)
     each = cut(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    shared = cut(shared_tokens(docs, text, values[order], rank[order], max(1, total * 2 // 5 // BUCKET_TOKENS + 1)), "shared")
+    blocks = connected(block_edges(shared, each))
     active = cut(each.join(blocks.withColumnRenamed("node", "s1"), "s1").select("s1", "s2", "rep", "n", F.col("root").alias("block")), "active")
     weight = active.groupBy("block").agg(F.sum("n").alias("tokens"))
     large = cut(weight.where(F.col("tokens") > BLOCK_TOKENS).select("block", F.ceil(F.col("tokens") / (BLOCK_TOKENS // 2)).alias("tiles")), "large")
