@@ -29,6 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The tokenizer's Unicode tables are older than those of the regex module, by these letters and digits, and newer than
+# Python's by these lower-case pairs (first, last, distance).
+LATER_LETTERS = """0558 058b-058c 088f 0c5c 0cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959
+10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2
+18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5
+1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+LATER_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+LATER_LOWER = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+
 CHUNK = 1 << 16
 CACHE = 1 << 18
 VOCABULARY = "word_bpe_49k.json"
@@ -148,8 +157,15 @@ class Transducer:
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.merges = Merges([tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]], self.ids)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # the pattern's white space is the Unicode property; its library folds no case and knows no flags
-        self.word = regex.compile(split["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]"), regex.V1)
+        # the pattern's white space is the Unicode property
+        pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.word = regex.compile(pattern, regex.V1)
+        later = "".join(rf"\U{int(a, 16):08x}-\U{int(b or a, 16):08x}" for x in f"{LATER_LETTERS} {LATER_NUMBERS}".split() for a, _, b in [x.partition("-")])
+        self.later = regex.compile(f"[{later}]")
+        # what the older tables don't know is neither a letter nor a number
+        known = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{later}])").replace(r"[\p{L}]", rf"[\p{{L}}--[{later}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{later}]]")
+        self.old_word = regex.compile(known, regex.V1)
+        self.lower = {c: c + d for a, b, d in LATER_LOWER for c in range(a, b + 1)}
         self.space = regex.compile(r"\p{White_Space}+")
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         alphabet = byte_alphabet()
@@ -175,8 +191,14 @@ class Transducer:
         if text.isascii():
             return text.lower()
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        if max(text, default="") > "\u0557":
+            text = text.translate(self.lower)
         return text.replace("Σ", "σ").lower()
 
+    def words(self, text: str) -> list[str]:
+        rare = not text.isascii() and max(text) > "\u0557" and self.later.search(text)
+        return (self.old_word if rare else self.word).findall(text)
+
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Ids of one word from its bytes, each emitted once it is stable."""
         held: list[int] = []
@@ -234,7 +256,7 @@ class Transducer:
         if text:
             cache, piece = self.cache, self.piece
             for chunk in self.chunks(text):
-                yield b"".join([cache.get(w) or piece(w) for w in self.word.findall(self.normal(chunk))])
+                yield b"".join([cache.get(w) or piece(w) for w in self.words(self.normal(chunk))])
 
 
 class Joined:
