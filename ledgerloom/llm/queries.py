@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, html, jaccard, lines, media, mixing, quality
+from ledgerloom.llm import bpe, html, jaccard, lines, media, mixing, ppm, quality, substrings
 from ledgerloom.session import table
 
 
@@ -29,10 +29,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.kept(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,7 +51,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_bpe, op6_ngram_jaccard, op8_quality_rules, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_bpe, op5_substring_dedup, op6_ngram_jaccard, op7_lm_scoring, op8_quality_rules, op10_html)}
 
 SQL = {
     "op3_line_dedup": r"""
