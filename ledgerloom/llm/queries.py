@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, html, jaccard, lines, media, mixing, ppm, quality, substrings
+from ledgerloom.llm import bpe, html, jaccard, lines, media, mixing, ppm, quality, substrings, suffixes
 from ledgerloom.session import table
 
 
@@ -47,11 +47,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.kept(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_bpe, op5_substring_dedup, op6_ngram_jaccard, op7_lm_scoring, op8_quality_rules, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_bpe, op5_substring_dedup, op6_ngram_jaccard, op7_lm_scoring, op8_quality_rules, op9_suffix_array_dedup, op10_html)}
 
 SQL = {
     "op3_line_dedup": r"""
