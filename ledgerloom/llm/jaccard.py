@@ -1,15 +1,14 @@
 """Operator 6, n-gram Jaccard join: exact, by a token-group matrix.
 
 A document's set is its distinct word shingles (hashes). Documents with equal sets are one class. Two sets with a Jaccard similarity of
-at least 3/4 share several tokens among the first of each in any common order (see prefixes). So sets with fewer shared prefix
-tokens are linked with nothing, and sets that share none, over any chain, can't be linked: connected components of prefix sharing
-among the others are the blocks to search. Frequent tokens come last in the order, so a passage that many documents share makes no block.
+at least 3/4 share several tokens among the first of each in any common order (see prefixes); sets with fewer shared prefix tokens
+are linked with nothing. Frequent tokens come last in the order, so a passage that many documents share counts little.
 
-In a block, sets are partitioned by their smallest token into groups of at most GROUP. The token-group matrix says which groups hold a
-token; a query's row sum over it bounds its overlap with every member of a group, and only groups whose bound reaches 3/4 of the
-query are opened and counted member by member. Groups all of whose members are in the query's component already aren't opened.
-
-Blocks above BLOCK_TOKENS are cut into tiles and each pair of tiles is searched as a block; the links found are joined by components.
+The others are partitioned into tiles by their least shared token, which near copies have in common. The table of (token, tile) is the
+token-group matrix: the number of a set's prefix tokens that a tile has bounds what it shares with any member, and a set visits only tiles that
+reach its bound, besides its own. In a tile the same is done with groups of at most GROUP sets and all tokens: only groups whose bound
+reaches 3/4 of the query are opened and counted member by member, and not those whose members are in the query's component already.
+Links of all tiles are joined by connected components.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; with fewer than five words the whole sequence is
 the one token; equal rows are one class; rows of one doc_id with different texts are judged apart; a null doc_id takes part and
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected
@@ -34,7 +33,7 @@ SHINGLE = 5
 FREQUENT = 1 << 16
 FREQUENT_IN_PIECE = 8
 GROUP = 64
-BLOCK_TOKENS = 4_000_000
+TILE_TOKENS = 500_000
 BUCKET_TOKENS = 1_500_000
 FLUSH = 1_000_000
 
@@ -181,14 +180,30 @@ def shared_tokens(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.nda
     return sent.groupBy("bucket").applyInArrow(meet, "token long, s1 long")
 
 
-def block_edges(shared: DataFrame, each: DataFrame) -> DataFrame:
-    """Edges (a, b) of a star per token among the sets that have as many shared prefix tokens as a similar set asks for."""
+def least_shared() -> Column:
+    """Prefix tokens of a set of n that any similar set shares at least: extra() of the smallest size that a similar set can have."""
+    return 1 + F.floor(3 * F.floor((3 * F.col("n") + 3) / 4) / 20)
+
+
+def tiled(shared: DataFrame, each: DataFrame) -> DataFrame:
+    """(s1, tiles): the tiles that each set which may have a link is searched in."""
     sizes = each.groupBy("s1").agg(F.min("n").alias("n"))
-    least = 1 + F.floor(3 * F.floor((3 * F.col("n") + 3) / 4) / 20)
-    able = shared.groupBy("s1").count().join(sizes, "s1").where(F.col("count") >= least).select("s1")
-    mine = cut(shared.join(able, "s1", "left_semi"), "shared-active")
-    heads = mine.groupBy("token").agg(F.min("s1").alias("b"), F.max("s1").alias("last")).where("b <> last").drop("last")
-    return mine.join(heads, "token").where("s1 <> b").select(F.col("s1").alias("a"), "b").distinct()
+
+    def able(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("s1").count().join(sizes, "s1").where(F.col("count") >= least_shared()).select("s1")
+
+    rows = shared.join(able(shared), "s1", "left_semi").distinct()
+    rows = cut(rows.join(rows.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "shared-active")
+    sets = cut(rows.groupBy("s1").agg(F.count("*").alias("count"), F.min("token").alias("least")).join(sizes, "s1").where(F.col("count") >= least_shared()), "active")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("weight") / TILE_TOKENS)
+    weight = sets.groupBy("least").agg(F.sum("n").alias("weight"))
+    tile = F.when(parts > 1, F.xxhash64("least", F.pmod(F.xxhash64("s1"), parts))).otherwise(F.pmod(F.xxhash64("least"), F.lit(total // TILE_TOKENS + 1)))
+    own = cut(sets.join(weight, "least").select("s1", "n", tile.alias("tile")), "tiles")
+    placed = rows.join(own, "s1")
+    matrix = placed.select("token", F.col("tile").alias("other")).distinct()
+    visits = placed.join(matrix, "token").where("tile <> other").groupBy("s1", "n", "other").count().where(F.col("count") >= least_shared())
+    return own.select("s1", "tile").unionByName(visits.select("s1", F.col("other").alias("tile"))).groupBy("s1").agg(F.collect_set("tile").alias("tiles"))
 
 
 def link(sets: list[np.ndarray]) -> np.ndarray:
@@ -258,13 +273,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     total = rows.agg(F.sum("n")).first()[0] or 0
     each = cut(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     shared = cut(shared_tokens(docs, text, values[order], rank[order], max(1, total * 2 // 5 // BUCKET_TOKENS + 1)), "shared")
-    blocks = connected(block_edges(shared, each))
-    active = cut(each.join(blocks.withColumnRenamed("node", "s1"), "s1").select("s1", "s2", "rep", "n", F.col("root").alias("block")), "active")
-    weight = active.groupBy("block").agg(F.sum("n").alias("tokens"))
-    large = cut(weight.where(F.col("tokens") > BLOCK_TOKENS).select("block", F.ceil(F.col("tokens") / (BLOCK_TOKENS // 2)).alias("tiles")), "large")
-    several = large.limit(1).count() > 0
-    n_buckets = max(1, (active.agg(F.sum("n")).first()[0] or 0) // BLOCK_TOKENS + 1)
-
+    active = each.join(tiled(shared, each), "s1").select("s1", "s2", "rep", "tiles")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     found = texts.join(active, texts["id"].eqNullSafe(active["rep"]))
 
@@ -273,50 +282,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
             tokens, offsets = shingle_sets(batch.column(0))
             s1, s2 = set_ids(tokens, offsets)
             ok = np.flatnonzero((s1 == batch.column(1).to_numpy()) & (s2 == batch.column(2).to_numpy()))
-            out = batch.take(pa.array(ok)).select(["s1", "s2", "block"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([tokens[offsets[i] : offsets[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["s1", "s2", "block", "tokens"])
-
-    members = found.select("text", "s1", "s2", "block").mapInArrow(tokenise, "s1 long, s2 long, block long, tokens binary")
-    if several:
-        tiled = members.join(large, "block", "left").withColumn("tile", F.pmod(F.xxhash64("s1", "s2"), F.coalesce("tiles", F.lit(1))))
-        other = F.explode(F.sequence(F.lit(0), (F.coalesce("tiles", F.lit(1)) - 1).cast("int")))
-        tiled = tiled.withColumn("other", other).withColumn("part", F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other")))
-        # with more than one tile, the pair of a tile with itself is part of its other pairs
-        tiled = tiled.where((F.coalesce("tiles", F.lit(1)) == 1) | (F.col("tile") != F.col("other"))).drop("tile", "other", "tiles")
-        work, n_buckets = tiled, max(n_buckets, (large.agg(F.sum(F.col("tiles") * F.col("tiles"))).first()[0] or 0) + n_buckets)
-    else:
-        work = members.withColumn("part", F.col("block"))
+            out = batch.take(pa.array(ok)).select(["s1", "s2", "tiles"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([tokens[offsets[i] : offsets[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["s1", "s2", "tiles", "tokens"])
+
+    members = found.select("text", "s1", "s2", "tiles").mapInArrow(tokenise, "s1 long, s2 long, tiles array<long>, tokens binary")
+    work = members.select("s1", "s2", "tokens", F.explode("tiles").alias("tile"))
 
     def search(rows: pa.Table) -> pa.Table:
-        part, s1, s2 = (rows.column(c).to_numpy() for c in ("part", "s1", "s2"))
-        blobs = rows.column("tokens")
-        order = np.lexsort((s2, s1, part))
+        s1, s2 = (rows.column(c).to_numpy() for c in ("s1", "s2"))
+        order = np.lexsort((s2, s1))
         first = np.ones(len(order), bool)
-        first[1:] = (part[order][1:] != part[order][:-1]) | (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-        order = order[first]  # a class that several equal rows stand for counts once
-        out_a, out_b = [], []
-        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-            if len(own) > 1:
-                label = link([np.frombuffer(blobs[i].as_py(), np.uint64) for i in own.tolist()])
-                moved = label != np.arange(len(own))
-                out_a.append(own[moved])
-                out_b.append(own[label[moved]])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        first[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+        own = order[first]  # a class that several equal rows stand for counts once
+        blobs = rows.column("tokens")
+        label = link([np.frombuffer(blobs[i].as_py(), np.uint64) for i in own.tolist()])
+        moved = label != np.arange(len(own))
+        a, b = own[moved], own[label[moved]]
         return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a1", s1[a]), ("a2", s2[a]), ("b1", s1[b]), ("b2", s2[b]))})
 
-    links = work.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(search, "a1 long, a2 long, b1 long, b2 long")
-    links = cut(links, "links")
-    if several:
-        ends = cut(links.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"), "a1", "a2", "b1", "b2"), "link-ends")
-        keys = ends.select("a", F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(ends.select(F.col("b").alias("a"), F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
-        roots = connected(ends.select("a", "b")).join(keys.withColumnRenamed("a", "node"), "node").select("s1", "s2", F.col("root").alias("r1"), F.col("root").alias("r2"))
-    else:
-        roots = links.select(F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("b1").alias("r1"), F.col("b2").alias("r2"))
-        roots = roots.unionByName(roots.select(F.col("r1").alias("s1"), F.col("r2").alias("s2"), "r1", "r2").distinct())
-    roots = cut(roots.join(each, ["s1", "s2"]).select("s1", "s2", "r1", "r2", "rep"), "roots")
-    lowest = roots.groupBy("r1", "r2").agg(F.min("rep").alias("component"))
-    named = roots.join(lowest, ["r1", "r2"]).select("s1", "s2", "component")
+    links = cut(work.groupBy("tile").applyInArrow(search, "a1 long, a2 long, b1 long, b2 long"), "links")
+    node = F.xxhash64("s1", "s2")
+    roots = connected(links.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b")))
+    ends = links.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(links.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
+    rooted = ends.withColumn("node", node).join(roots, "node").join(each, ["s1", "s2"]).select("s1", "s2", "root", "rep")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("s1", "s2", "component")
     return rows, each.join(named, ["s1", "s2"], "left").select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component_id"))
 
 
