@@ -7,31 +7,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, jaccard, lines, mixing, quality
-from ledgerloom.session import cut, table
+from ledgerloom.session import cut, ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    ship(spark)
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go."""
+    ship(spark)
     return lines.dedup(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship(spark)
     return jaccard.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    ship(spark)
     return mixing.mix(docs)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
+    ship(spark)
     return bpe.digests(docs, ["doc_id", "lang", "source"])
 
 
