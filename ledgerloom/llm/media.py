@@ -33,6 +33,7 @@ from ledgerloom.session import cut, shared_path
 WIDTH = 576
 FILL = 255
 SHARD_BYTES = 256 << 20
+PACK_BYTES = 1 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
 CATALOG = "digest string, shard string, offset long, length long"
@@ -56,7 +57,7 @@ def encode_png(samples: bytes) -> bytes:
     rows = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH)
     filtered = np.zeros((len(rows), WIDTH + 1), np.uint8)  # filter 0 before each row
     filtered[:, 1:] = rows
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(filtered, 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(filtered, 6)) + _chunk(b"IEND", b"")
 
 
 def decode_png(media: bytes) -> bytes:
@@ -84,6 +85,48 @@ def png_header(start: bytes) -> tuple[int, ...]:
     return struct.unpack(">IIBBBBB", start[16:29])
 
 
+class Shard:
+    """Tar files whose members are packs of objects, PACK_BYTES or one object each: a header and padding per object would cost as much as
+    a small object itself. An object is found by its offset in the file."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, stem: str):
+        self.fs, self.path, self.stem, self.files, self.out, self.name = fs, path, stem, 0, None, ""
+        self.at, self.pack, self.held = 0, [], 0
+
+    def add(self, data: bytes) -> tuple[str, int]:
+        """File and offset of the object."""
+        if self.held and self.held + len(data) > PACK_BYTES:
+            self.flush()
+        if self.out is None:
+            self.name = f"{self.stem}-{self.files:04d}.tar"
+            self.out, self.at, self.files = self.fs.open_output_stream(f"{self.path}/{self.name}"), 0, self.files + 1
+        place = self.at + 512 + self.held
+        self.pack.append(data)
+        self.held += len(data)
+        return self.name, place
+
+    def flush(self) -> None:
+        if not self.pack:
+            return
+        info = tarfile.TarInfo(f"{self.stem}-{self.at:012d}.pngs")
+        info.size = self.held
+        self.out.write(info.tobuf(tarfile.USTAR_FORMAT))
+        for data in self.pack:
+            self.out.write(data)
+        self.out.write(bytes(-self.held % 512))
+        self.at += 512 + self.held + -self.held % 512
+        self.pack, self.held = [], 0
+        if self.at >= SHARD_BYTES:
+            self.close()
+
+    def close(self) -> None:
+        self.flush()
+        if self.out is not None:
+            self.out.write(bytes(1024))
+            self.out.close()
+            self.out = None
+
+
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """digest, shard, offset, length of each distinct payload. The shards are written when this returns."""
     spark = docs.sparkSession
@@ -96,33 +139,16 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
         task = TaskContext.get()
         rows: list[tuple[str, str, int, int]] = []
         seen: set[bytes] = set()
-        out, name, at, shard = None, "", 0, 0
+        shard = Shard(fs, path, f"shard-{task.partitionId():05d}-{task.taskAttemptId()}")
         for batch in batches:
             for value in batch.column(0):
                 samples = padded((value.as_py() or "").encode())
                 key = hashlib.sha256(samples)
-                if key.digest() in seen:
-                    continue
-                seen.add(key.digest())
-                digest, data = key.hexdigest(), encode_png(samples)
-                if out is None:
-                    name = f"shard-{task.partitionId():05d}-{task.taskAttemptId()}-{shard:04d}.tar"
-                    out, at, shard = fs.open_output_stream(f"{path}/{name}"), 0, shard + 1
-                info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(data)
-                head = info.tobuf(tarfile.PAX_FORMAT)
-                out.write(head)
-                out.write(data)
-                out.write(bytes(-len(data) % 512))
-                rows.append((digest, name, at + len(head), len(data)))
-                at += len(head) + len(data) + -len(data) % 512
-                if at >= SHARD_BYTES:
-                    out.write(bytes(1024))
-                    out.close()
-                    out = None
-        if out is not None:
-            out.write(bytes(1024))
-            out.close()
+                if key.digest() not in seen:
+                    seen.add(key.digest())
+                    data = encode_png(samples)
+                    rows.append((key.hexdigest(), *shard.add(data), len(data)))
+        shard.close()
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["digest", "shard", "offset", "length"])
 
@@ -189,6 +215,6 @@ def with_features(catalog: DataFrame) -> DataFrame:
 
 def columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, and where and what the stored payload of each row is."""
-    objects = with_features(store(docs, text))
-    rows = docs.select(F.col(id_col), F.octet_length(body(text)).cast("long").alias("n_bytes"), F.sha2(payload(body(text)), 256).alias("digest"))
-    return rows.join(objects, "digest")
+    objects = with_features(store(docs, text)).withColumn("_digest", F.unhex("digest"))
+    rows = docs.select(F.col(id_col), F.octet_length(body(text)).cast("long").alias("n_bytes"), F.unhex(F.sha2(payload(body(text)), 256)).alias("_digest"))
+    return rows.join(objects, "_digest").drop("_digest")
