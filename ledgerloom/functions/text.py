@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The folding of printed signs in scored text, in this order.
 CONVENTIONS = [
@@ -63,7 +64,7 @@ def fold_signs(x: str | Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_conventions(texts: pd.Series) -> pd.Series:
     """Character references, compatibility composition, then CONVENTIONS. Spark has no function for the first two."""
 

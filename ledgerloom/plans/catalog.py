@@ -1,4 +1,597 @@
-"""Registered queries and the SQL they are compared with."""
+"""Registered queries over the test tables, each beside the SQL it is compared with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import boxes as B
+from ledgerloom.functions import numbers as N
+from ledgerloom.functions import periods as P
+from ledgerloom.functions import text as T
+from ledgerloom.operators import bench, facts, reconcile, records, scoring, sections, tables
+from ledgerloom.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# ---------------------------------------------------------------- reconciliation
+
+ORDER_CELLS = """
+cells AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice AS printed FROM orders),
+sums AS (SELECT l_orderkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS tagged FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT *, CASE WHEN o_orderpriority LIKE '1%' THEN 50000.0 ELSE 5000.0 END AS tol FROM cells LEFT JOIN sums ON o_orderkey = l_orderkey),
+st AS (SELECT *, CASE WHEN printed IS NULL THEN 'pdf_missing' WHEN tagged IS NULL THEN 'xbrl_missing' WHEN abs(printed - tagged) <= tol THEN 'match' WHEN abs(abs(printed) - abs(tagged)) <= tol THEN 'sign'
+  WHEN printed <> 0 AND tagged <> 0 AND abs(abs(printed) * 1e3 - abs(tagged)) <= greatest(tol, 5e2) THEN 'scale_x1e3' WHEN printed <> 0 AND tagged <> 0 AND abs(abs(printed) - abs(tagged) * 1e3) <= greatest(tol * 1e3, 5e2) THEN 'scale_x1e-3'
+  WHEN printed <> 0 AND tagged <> 0 AND abs(abs(printed) * 1e6 - abs(tagged)) <= greatest(tol, 5e5) THEN 'scale_x1e6' WHEN printed <> 0 AND tagged <> 0 AND abs(abs(printed) - abs(tagged) * 1e6) <= greatest(tol * 1e6, 5e5) THEN 'scale_x1e-6'
+  WHEN printed <> 0 AND tagged <> 0 AND abs(abs(printed) * 1e9 - abs(tagged)) <= greatest(tol, 5e8) THEN 'scale_x1e9' WHEN printed <> 0 AND tagged <> 0 AND abs(abs(printed) - abs(tagged) * 1e9) <= greatest(tol * 1e9, 5e8) THEN 'scale_x1e-9'
+  ELSE 'mismatch' END AS status FROM c)"""
+
+
+def order_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Order totals as printed cells, line sums as tagged facts."""
+    sums = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"), 2).alias("tagged"))
+    cells = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.col("o_totalprice").alias("printed"))
+    tol = F.when(F.col("o_orderpriority").startswith("1"), 50000.0).otherwise(5000.0)
+    return cells.join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("tol", tol).withColumn("status", reconcile.status("printed", "tagged", "tol"))
+
+
+@query(f"WITH {ORDER_CELLS} SELECT o_orderkey, o_orderpriority, printed, tagged, status FROM st")
+def recon_order_totals(spark: SparkSession, d: str) -> DataFrame:
+    return order_cells(spark, d).select("o_orderkey", "o_orderpriority", "printed", "tagged", "status")
+
+
+@query(
+    f"""WITH {ORDER_CELLS} SELECT coalesce(o_orderpriority, 'ALL') AS o_orderpriority, coalesce(o_orderstatus, 'ALL') AS o_orderstatus, count(*) AS cells, count(*) FILTER (WHERE status = 'match') AS matches,
+count(*) FILTER (WHERE status = 'sign') AS signs, count(*) FILTER (WHERE status = 'match') / count(*) AS match_rate, count(*) FILTER (WHERE status IN ('match', 'sign')) / count(*) AS agreement FROM st GROUP BY ROLLUP (o_orderpriority, o_orderstatus)"""
+)
+def recon_match_rates_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.match_rates(order_cells(spark, d), ["o_orderpriority", "o_orderstatus"])
+
+
+@query(f"WITH {ORDER_CELLS} SELECT status, count(*) AS n FROM st GROUP BY status")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return order_cells(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ORDER_CELLS} SELECT coalesce(o_orderpriority, 'ALL') AS o_orderpriority, coalesce(status, 'ALL') AS status, count(*) AS n FROM st GROUP BY CUBE (o_orderpriority, status)")
+def contingency_margins(spark: SparkSession, d: str) -> DataFrame:
+    g = order_cells(spark, d).cube("o_orderpriority", "status").agg(F.count("*").alias("n"))
+    return g.fillna("ALL", ["o_orderpriority", "status"])
+
+
+@query("SELECT o_orderkey AS key, 'order without lines' AS kind FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT c_custkey, 'customer without orders' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def recon_missing_cells(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    a = orders.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.col("o_orderkey").alias("key"), F.lit("order without lines").alias("kind"))
+    return a.unionByName(table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("key"), F.lit("customer without orders").alias("kind")))
+
+
+@query(
+    """WITH f AS (SELECT unnest([1.0, -1.0, 1e3, 1e6, 1e-3, 0.5]) AS f), c AS (SELECT l_orderkey, l_linenumber, f, l_extendedprice AS x, l_extendedprice * f AS p FROM lineitem, f WHERE l_linenumber = 1)
+SELECT f, status, count(*) AS n FROM (SELECT f, CASE WHEN abs(p - x) <= 0.5 THEN 'match' WHEN abs(abs(p) - abs(x)) <= 0.5 THEN 'sign' WHEN abs(abs(p) * 1e3 - abs(x)) <= 5e2 THEN 'scale_x1e3' WHEN abs(abs(p) - abs(x) * 1e3) <= 5e2 THEN 'scale_x1e-3'
+ WHEN abs(abs(p) * 1e6 - abs(x)) <= 5e5 THEN 'scale_x1e6' WHEN abs(abs(p) - abs(x) * 1e6) <= 5e5 THEN 'scale_x1e-6' WHEN abs(abs(p) * 1e9 - abs(x)) <= 5e8 THEN 'scale_x1e9' WHEN abs(abs(p) - abs(x) * 1e9) <= 5e8 THEN 'scale_x1e-9' ELSE 'mismatch' END AS status FROM c) GROUP BY f, status"""
+)
+def recon_sign_scale(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_extendedprice").alias("x"), F.explode(F.array(*[F.lit(v) for v in (1.0, -1.0, 1e3, 1e6, 1e-3, 0.5)])).alias("f"))
+    return lines.withColumn("status", reconcile.status(F.col("x") * F.col("f"), "x", F.lit(0.5))).groupBy("f", "status").agg(F.count("*").alias("n"))
+
+
+EVENT_FACTS = """ev AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, value, CAST(event_id % 5 - 1 AS INTEGER) AS dec FROM events)"""
+
+
+def event_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as facts of (user, type, day), with a precision by id."""
+    e = table(spark, d, "events")
+    return e.select("event_id", "user_id", "event_type", F.col("ts").cast("date").alias("day"), "value", (F.col("event_id") % 5 - 1).cast("int").cast("string").alias("decimals"), F.col("event_id").alias("ord"))
+
+
+@query(f"""WITH {EVENT_FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY dec DESC, event_id) AS rn, count(*) OVER (PARTITION BY user_id, event_type, day) AS n_copies FROM ev)
+SELECT user_id, event_type, day, event_id, value, n_copies FROM r WHERE rn = 1""")
+def dedup_most_precise(spark: SparkSession, d: str) -> DataFrame:
+    return facts.most_precise(event_facts(spark, d), ["user_id", "event_type", "day"]).select("user_id", "event_type", "day", "event_id", "value", "n_copies")
+
+
+@query(f"WITH {EVENT_FACTS} SELECT count(*) AS conflicts FROM (SELECT 1 FROM ev GROUP BY user_id, event_type, day HAVING count(DISTINCT value) > 1)")
+def dedup_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return facts.conflicts(event_facts(spark, d), ["user_id", "event_type", "day"])
+
+
+@query("SELECT event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY event_type")
+def latest_fact(spark: SparkSession, d: str) -> DataFrame:
+    return facts.latest(table(spark, d, "events").select("event_type", "ts", "event_id"), ["event_type"], "ts")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'purchase' AND user_id BETWEEN 10 AND 40")
+def fact_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where((F.col("event_type") == "purchase") & F.col("user_id").between(10, 40)).select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# Label map over part types: exact lines, one prefix line, and a linkbase of brands.
+MAP_ROWS = [(1, "standard", None, "StandardParts"), (2, "promo", "prefix", "PromoParts"), (3, "economy", None, "EconomyParts")]
+MAP_SQL = """lm(entry_no, pdf, match, concept) AS (VALUES (1, 'standard', NULL, 'StandardParts'), (2, 'promo', 'prefix', 'PromoParts'), (3, 'economy', NULL, 'EconomyParts')),
+cell AS (SELECT p_partkey AS cell_id, lower(p_type) AS label, p_brand FROM part),
+l1 AS (SELECT cell_id, arg_min(concept, entry_no) AS concept FROM cell JOIN lm ON label = pdf OR (match = 'prefix' AND starts_with(label, pdf)) GROUP BY cell_id),
+l2 AS (SELECT c.cell_id, 'Brand' || p_brand AS concept FROM cell c WHERE length(label) % 2 = 0)"""
+
+
+def label_layers(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), F.lit("part").alias("statement"), F.lower("p_type").alias("label"), "p_brand")
+    label_map = spark.createDataFrame([(n, "part", pdf, m, "x", c, None, None) for n, pdf, m, c in MAP_ROWS], "entry_no int, statement string, pdf string, match string, prefix string, concept string, dims string, instant string")
+    curated = reconcile.curated_matches(part, label_map).select("cell_id", "mapping", "concept")
+    linkbase = part.where(F.char_length("label") % 2 == 0).select("cell_id", F.lit("label").alias("mapping"), F.concat(F.lit("Brand"), "p_brand").alias("concept"))
+    found = reconcile.layered(curated, linkbase)
+    return part.join(found.drop("layer"), "cell_id", "left").select("cell_id", F.coalesce("mapping", F.lit("none")).alias("mapping"), F.coalesce("concept", F.lit("")).alias("concept"), "label")
+
+
+@query(f"WITH {MAP_SQL} SELECT cell_id, CASE WHEN l1.concept IS NOT NULL THEN 'manual' WHEN l2.concept IS NOT NULL THEN 'label' ELSE 'none' END AS mapping, coalesce(l1.concept, l2.concept, '') AS concept FROM cell LEFT JOIN l1 USING (cell_id) LEFT JOIN l2 USING (cell_id)")
+def label_map_layers(spark: SparkSession, d: str) -> DataFrame:
+    return label_layers(spark, d).drop("label")
+
+
+@query(
+    f"""WITH {MAP_SQL}, ref AS (SELECT cell_id, label, coalesce(l1.concept, l2.concept, '') AS concept FROM cell LEFT JOIN l1 USING (cell_id) LEFT JOIN l2 USING (cell_id)), j AS (SELECT ref.*, coalesce(l2.concept, '') AS auto FROM ref LEFT JOIN l2 USING (cell_id))
+SELECT count(*) AS cells, count(*) FILTER (WHERE auto <> '') AS mapped, count(*) FILTER (WHERE auto <> '' AND auto = concept) AS right, count(*) FILTER (WHERE auto <> '') / count(*) AS coverage,
+count(*) FILTER (WHERE auto <> '' AND auto = concept) / nullif(count(*) FILTER (WHERE auto <> ''), 0) AS precision FROM j"""
+)
+def mapping_precision(spark: SparkSession, d: str) -> DataFrame:
+    ref = label_layers(spark, d)
+    auto = table(spark, d, "part").where(F.char_length("p_type") % 2 == 0).select(F.col("p_partkey").alias("cell_id"), F.concat(F.lit("Brand"), "p_brand").alias("concept"))
+    return reconcile.mapping_precision(ref, auto, ["cell_id"]).drop("wrong", "unmapped")
+
+
+@query()
+def fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Part names with one letter dropped find the name they came from (matching blocks have no SQL form; tested against brute force)."""
+    names = table(spark, d, "part").select(F.lit("s").alias("stem"), F.lower("p_name").alias("text_key")).distinct()
+    asked = names.select("stem", F.concat(F.substring("text_key", 1, 3), F.expr("substring(text_key, 5)")).alias("label_key"))
+    return reconcile.fuzzy_best(asked, names).select("label_key", "text_key", F.round("ratio", 6).alias("ratio"))
+
+
+@query(
+    """WITH cand AS (SELECT n_nationkey AS cell_id, s_suppkey, s_acctbal AS x, 5000.0 AS value FROM nation JOIN supplier ON n_nationkey = s_nationkey),
+st AS (SELECT *, CASE WHEN abs(value - x) <= 500 THEN 'match' WHEN abs(abs(value) - abs(x)) <= 500 THEN 'sign' ELSE 'other' END AS s FROM cand)
+SELECT cell_id, CASE WHEN bool_or(s = 'match') OR bool_or(s = 'sign') OR count(*) = 1 THEN 'manual' ELSE 'ambiguous' END AS mapping,
+CASE WHEN bool_or(s = 'match') THEN min(s_suppkey) FILTER (WHERE s = 'match') WHEN bool_or(s = 'sign') THEN min(s_suppkey) FILTER (WHERE s = 'sign') WHEN count(*) = 1 THEN min(s_suppkey) END AS chosen FROM st GROUP BY cell_id"""
+)
+def ambiguous_resolution(spark: SparkSession, d: str) -> DataFrame:
+    supplier = table(spark, d, "supplier")
+    cells = supplier.select(F.col("s_nationkey").cast("long").alias("cell_id")).distinct().select("cell_id", F.lit("x").alias("stem"), F.lit("2024-12-31").alias("period_label"), F.lit(5000.0).alias("value"))
+    cand = supplier.select(F.col("s_nationkey").cast("long").alias("cell_id"), F.lit("manual").alias("mapping"), F.lit("p").alias("prefix"), F.col("s_suppkey").cast("string").alias("concept"), F.lit("").alias("dims"), F.lit("").alias("instant"), F.col("s_suppkey").alias("rank"))
+    index = supplier.select(F.lit("x").alias("stem"), F.lit("p").alias("prefix"), F.col("s_suppkey").cast("string").alias("concept"), F.lit("").alias("dims"), F.lit("2024-12-31").alias("period_label"), F.col("s_acctbal").alias("value"), F.lit("-3").alias("decimals"))
+    bounds = spark.createDataFrame([], "period_label string, start date, end date")
+    out = reconcile.resolve(cells, cand, index, bounds)
+    return out.select(F.col("cell_id").cast("int").alias("cell_id"), "mapping", F.nullif(F.col("concept"), F.lit("")).cast("long").alias("chosen"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN m = 12 THEN 'FY' ELSE m || 'M' END || ' ended ' || strftime(e, '%Y-%m-%d') AS period_label, strftime(e, '%Y-%m-%d') AS end_day, strftime(s - INTERVAL 1 DAY, '%Y-%m-%d') AS opening_day
+FROM (SELECT o_orderkey, s, e, CAST(round_even((e - s) / 30.44, 0) AS INTEGER) AS m FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 DAY * (CASE o_orderkey % 3 WHEN 0 THEN 90 WHEN 1 THEN 181 ELSE 364 END) AS DATE) AS e FROM orders))"""
+)
+def period_bounds_labels(spark: SparkSession, d: str) -> DataFrame:
+    days = F.when(F.col("o_orderkey") % 3 == 0, 90).when(F.col("o_orderkey") % 3 == 1, 181).otherwise(364)
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("s")).withColumn("e", F.date_add("s", days)).withColumns(P.period_fields("s", "e"))
+    options = P.period_options("period_label", "s", "e")
+    return o.select("o_orderkey", "period_label", F.get(options, F.lit(1)).alias("end_day"), F.get(options, F.lit(2)).alias("opening_day"))
+
+
+# ---------------------------------------------------------------- numbers and text
+
+NUMBER_SQL = r"""SELECT raw, tok, CASE WHEN tok IN ('-', '—', '–', '−') THEN 0.0 WHEN regexp_full_match(tok, '\(?-?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?\)?')
+THEN round((CASE WHEN tok LIKE '%(%' OR tok LIKE '%)%' OR tok LIKE '-%' THEN -1 ELSE 1 END) * CAST(regexp_replace(tok, '[(),-]', '', 'g') AS DOUBLE) * 1000, 6) END AS value FROM
+(SELECT raw, CASE WHEN regexp_full_match(bare, '\(?-?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?\)?') THEN bare ELSE t END AS tok FROM (SELECT raw, t, regexp_replace(t, '(\(\d\)|\*+|†|‡)$', '') AS bare FROM (SELECT raw, trim(replace(replace(raw, '$', ''), ' ', '')) AS t FROM r)))"""
+RAW_SQL = r"""r AS (SELECT DISTINCT raw FROM (SELECT CASE o_orderkey % 8 WHEN 0 THEN '$ ' || v WHEN 1 THEN '(' || v || ')' WHEN 2 THEN '(' || v WHEN 3 THEN v || '(1)' WHEN 4 THEN '—' WHEN 5 THEN o_orderpriority WHEN 6 THEN substr(v, 1, length(v) - 1) || ',' ELSE '-' || v END AS raw
+FROM (SELECT o_orderkey, o_orderpriority, CAST(o_orderkey % 900 + 1 AS VARCHAR) || ',' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS v FROM orders)))"""
+
+
+def printed_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Order keys printed in the ways that statements print numbers."""
+    v = F.concat((F.col("o_orderkey") % 900 + 1).cast("string"), F.lit(","), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"))
+    k = F.col("o_orderkey") % 8
+    raw = F.when(k == 0, F.concat(F.lit("$ "), v)).when(k == 1, F.concat(F.lit("("), v, F.lit(")"))).when(k == 2, F.concat(F.lit("("), v)).when(k == 3, F.concat(v, F.lit("(1)"))).when(k == 4, "—").when(k == 5, F.col("o_orderpriority"))
+    return table(spark, d, "orders").select(raw.when(k == 6, F.concat(F.left(v, F.char_length(v) - 1), F.lit(","))).otherwise(F.concat(F.lit("-"), v)).alias("raw")).distinct()
+
+
+@query(f"WITH {RAW_SQL} {NUMBER_SQL}")
+def number_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return printed_cells(spark, d).select("raw", N.cell_token("raw").alias("tok"), N.full_value("raw", 1000.0).alias("value"))
+
+
+@query(
+    rf"""WITH {RAW_SQL}, t AS (SELECT raw, trim(replace(replace(replace(raw, '$', ''), ',', ''), '%', '')) AS t FROM r), w AS (SELECT raw, t, t LIKE '(%' AND t LIKE '%)' AS wrapped FROM t),
+i AS (SELECT *, CASE WHEN wrapped THEN substr(t, 2, length(t) - 2) ELSE t END AS inner_ FROM w), m AS (SELECT *, inner_ LIKE '-%' AS minus FROM i)
+SELECT raw, CASE WHEN wrapped OR minus THEN -1 ELSE 1 END * TRY_CAST(CASE WHEN minus THEN substr(inner_, 2) ELSE inner_ END AS DOUBLE) AS value FROM m"""
+)
+def number_scorer(spark: SparkSession, d: str) -> DataFrame:
+    return printed_cells(spark, d).select("raw", N.scorer_value("raw").alias("value"))
+
+
+@query(r"WITH t AS (SELECT unnest(regexp_extract_all(text, '\(?-?\$?\d[\d,]*(?:\.\d+)?\)?%?')) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY token")
+def numeric_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.explode(N.numeric_tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key_form, lower(trim(regexp_replace(p_type, '\s+', ' ', 'g'))) AS label_form, list_extract(string_split(p_brand || ': ' || p_type, ': '), -1) AS line_part,
+concat_ws('_', p_brand, replace('10-K', '-', ''), CAST(p_size AS VARCHAR)) AS stem FROM part"""
+)
+def label_normalize(spark: SparkSession, d: str) -> DataFrame:
+    joined = F.concat("p_brand", F.lit(": "), "p_type")
+    return table(spark, d, "part").select("p_partkey", T.key_form("p_name").alias("key_form"), T.label_form("p_type").alias("label_form"), T.line_part(joined).alias("line_part"), T.stem("p_brand", F.lit("10-K"), F.col("p_size").cast("string")).alias("stem"))
+
+
+
+
+@query("SELECT p_partkey, p_name || '\"x\" - ''y'' -   - [X] [X] [ ] z' AS folded FROM part")
+def convention_fold(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat("p_name", F.lit("“x” – ‘y’ — ® ™ − ☒ ☑ ☐ z"))
+    return table(spark, d, "part").select("p_partkey", T.fold_signs(text).alias("folded"))
+
+
+@query("SELECT p_partkey, replace(p_name, '&', '&') || ' fi 2' AS folded FROM part")
+def convention_fold_full(spark: SparkSession, d: str) -> DataFrame:
+    """Character references and compatibility forms: &amp; and the fi ligature, superscript two."""
+    text = F.concat(F.replace("p_name", F.lit("&"), F.lit("&amp;")), F.lit(" ﬁ ²"))
+    return table(spark, d, "part").select("p_partkey", T.fold_conventions(text).alias("folded"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS toks, length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS n FROM documents)
+SELECT doc_id, n AS n_chars, CASE WHEN n < 20 THEN 'low_char_count' ELSE '' END || CASE WHEN j > 0.3 THEN CASE WHEN n < 20 THEN ';' ELSE '' END || 'high_junk_ratio' ELSE '' END AS reasons
+FROM (SELECT *, CASE WHEN len(toks) > 0 THEN len(list_filter(toks, lambda x: regexp_matches(x, '\(cid:\d+\)|�'))) / len(toks) ELSE 0 END AS j FROM t)"""
+)
+def ocr_trigger(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", N.ocr_measures("text")[0].alias("n_chars"), N.ocr_reasons("text").alias("reasons"))
+
+
+# ---------------------------------------------------------------- scores
+
+DROP5 = "array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: x[2] % 5 <> 0), lambda x: x[1]), ' ')"
+DROPPED = rf"p AS (SELECT doc_id, text, source, lang, list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents), q AS (SELECT *, {DROP5} AS hyp FROM p)"
+
+
+def perturbed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.join(scoring.degrade(docs.select("doc_id", "text"), "drop-words").withColumnRenamed("text", "hyp"), "doc_id")
+
+
+@query(f"WITH {DROPPED} SELECT doc_id, hyp FROM q")
+def perturb_drop_words(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return scoring.degrade(docs, "drop-words").withColumnRenamed("text", "hyp")
+
+
+@query(
+    rf"""WITH {DROPPED}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\(?-?\$?\d[\d,]*(?:\.\d+)?\)?%?')) AS t FROM q), h AS (SELECT doc_id, unnest(regexp_extract_all(hyp, '\(?-?\$?\d[\d,]*(?:\.\d+)?\)?%?')) AS t FROM q),
+c AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.n, 0) AS r, coalesce(b.n, 0) AS h FROM (SELECT doc_id, t, count(*) AS n FROM r GROUP BY ALL) a FULL JOIN (SELECT doc_id, t, count(*) AS n FROM h GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.t = b.t),
+s AS (SELECT d.doc_id, coalesce(sum(least(r, h)), 0)::BIGINT AS tp, coalesce(sum(r), 0)::BIGINT AS ref_n, coalesce(sum(h), 0)::BIGINT AS hyp_n FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, tp, ref_n, hyp_n, coalesce(tp / nullif(hyp_n, 0), 0.0) AS precision, coalesce(tp / nullif(ref_n, 0), 0.0) AS recall, coalesce(2.0 * tp / nullif(ref_n + hyp_n, 0), 0.0) AS f1 FROM s"""
+)
+def numeric_f1(spark: SparkSession, d: str) -> DataFrame:
+    pairs = perturbed(spark, d).select("doc_id", N.numeric_tokens("text").alias("r"), N.numeric_tokens("hyp").alias("h"))
+    return scoring.multiset_score(pairs, "r", "h", ["doc_id"])
+
+
+@query(
+    """WITH b AS (SELECT item_id, string_split(text, ' ') AS r, string_split(replace(replace(text, 'the', 'teh'), 'and', ''), ' ') AS h FROM benchmark), s AS (SELECT item_id, len(list_intersect(r, h)) AS tp, len(list_distinct(r)) AS ref_n, len(list_distinct(h)) AS hyp_n FROM b)
+SELECT item_id, tp, ref_n, hyp_n, tp / hyp_n AS precision, tp / ref_n AS recall, 2.0 * tp / (ref_n + hyp_n) AS f1 FROM s"""
+)
+def token_prf_set(spark: SparkSession, d: str) -> DataFrame:
+    hyp = F.replace(F.replace("text", F.lit("the"), F.lit("teh")), F.lit("and"), F.lit(""))
+    return table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("r"), F.split(hyp, " ").alias("h")).withColumns(scoring.set_score("r", "h")).drop("r", "h")
+
+
+@query("WITH a AS (SELECT unnest(string_split(text, ' ')) AS t FROM benchmark), b AS (SELECT unnest(string_split(text, ' ')) AS t FROM conversations) SELECT t, count(*) AS n FROM (SELECT t FROM a INTERSECT ALL SELECT t FROM b) GROUP BY t")
+def token_prf_multiset(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda name: table(spark, d, name).select(F.explode(F.split("text", " ")).alias("t"))
+    return words("benchmark").intersectAll(words("conversations")).groupBy("t").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id, levenshtein(r, h) / length(r) AS cer FROM (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 400) AS r, replace(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 400), 'th', 't') AS h FROM benchmark)")
+def cer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 400)
+    return table(spark, d, "benchmark").select("item_id", r.alias("r"), F.replace(r, F.lit("th"), F.lit("t")).alias("h")).select("item_id", scoring.error_rates("r", "h")["cer"].alias("cer"))
+
+
+@query("SELECT item_id, len(w) - len(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: x[2] % 7 <> 0)) AS errors, len(w) AS ref_words FROM (SELECT item_id, list_filter(string_split(trim(text), ' '), lambda x: x <> '') AS w FROM benchmark)")
+def wer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Dropping each seventh word costs exactly that many deletions."""
+    w = F.filter(F.split(F.trim("text"), " "), lambda x: x != "")
+    pairs = table(spark, d, "benchmark").select("item_id", w.alias("w"), F.filter(w, lambda x, i: (i + 1) % 7 != 0).alias("h"))
+    return pairs.select("item_id", scoring.word_errors("w", "h").cast("long").alias("errors"), F.size("w").cast("long").alias("ref_words"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'measured' WHEN source IN (SELECT source FROM documents JOIN labels USING (doc_id)) THEN 'missing' ELSE 'unmeasured' END AS outcome FROM documents")
+def lost_pages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    pages = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id")
+    return scoring.page_outcomes(docs, pages, "source", "doc_id").select("doc_id", "outcome")
+
+
+@query("SELECT coalesce(source, 'ALL') AS source, coalesce(lang, 'ALL') AS lang, count(*) AS n, avg(n_chars) AS n_chars_mean, min(n_chars) AS n_chars_min, max(n_chars) AS n_chars_max FROM documents GROUP BY ROLLUP (source, lang)")
+def strata_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.strata(table(spark, d, "documents"), ["source", "lang"], ["n_chars"])
+
+
+@query("WITH m AS (SELECT lang AS metric, avg(n_chars) AS value FROM documents GROUP BY lang), t(metric, op, threshold) AS (VALUES ('en', '<=', 3000.0), ('de', '>=', 2000.0), ('fr', '<=', 100.0), ('xx', '<=', 1.0)) SELECT t.metric, op, threshold, round(value, 6) AS value, coalesce(CASE WHEN op = '<=' THEN value <= threshold ELSE value >= threshold END, false) AS passed FROM t LEFT JOIN m USING (metric)")
+def gates(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "documents").groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("value"))
+    t = spark.createDataFrame([("en", "<=", 3000.0), ("de", ">=", 2000.0), ("fr", "<=", 100.0), ("xx", "<=", 1.0)], "metric string, op string, threshold double")
+    return rounded(scoring.gates(m, t), "value").select("metric", "op", "threshold", "value", "passed")
+
+
+@query("SELECT CAST(least(39, n_chars // 50) AS INTEGER) AS bin, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 2000 GROUP BY 1")
+def drift_length_hist(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.length_histogram(table(spark, d, "documents"), "n_chars")
+
+
+@query("WITH w AS (SELECT event_type, event_id % 2 AS half, count(*) AS value FROM events WHERE NOT (event_type = 'click' AND event_id % 2 = 0) GROUP BY ALL), a AS (SELECT * FROM w WHERE half = 0), b AS (SELECT * FROM w WHERE half = 1) SELECT coalesce(a.event_type, b.event_type) AS event_type, a.value AS old, b.value AS new, b.value - a.value AS change FROM a FULL JOIN b ON a.event_type = b.event_type")
+def metric_diff(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("NOT (event_type = 'click' AND event_id % 2 = 0)")
+    half = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("event_type").agg(F.count("*").alias("value"))
+    return scoring.metric_diff(half(0), half(1), ["event_type"])
+
+
+# Small tables as records: one grid per flag, labels with a section prefix.
+GRID_SQL = """g AS (SELECT l_returnflag AS id, l_linestatus AS col, 'Lines: ' || CAST(l_linenumber AS VARCHAR) AS label, '(' || CAST(count(*) AS VARCHAR) || ')' AS raw, CAST(count(*) * 1000 AS VARCHAR) AS value FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber),
+t AS (SELECT id, label, list(value ORDER BY col) AS vals, list(raw ORDER BY col) AS raws FROM g GROUP BY id, label)"""
+
+
+def flag_records(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"))
+    rows = g.groupBy("l_returnflag", "l_linenumber").agg(F.array_sort(F.collect_list(F.struct("l_linestatus", "n"))).alias("c"))
+    label = F.array(F.concat(F.lit("Lines: "), F.col("l_linenumber").cast("string")))
+    rows = rows.select("l_returnflag", "l_linenumber", F.concat(label, F.transform("c", lambda x: (x["n"] * 1000).cast("string"))).alias("row"), F.concat(label, F.transform("c", lambda x: F.concat(F.lit("("), x["n"].cast("string"), F.lit(")")))).alias("raw"))
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "row", "raw")))
+    return rows.groupBy("l_returnflag").agg(order.alias("r")).select(F.col("l_returnflag").alias("id"), F.concat(F.lit("Note (1) of "), "l_returnflag").alias("text"), (F.col("l_returnflag") == "A").alias("ocr"), F.transform("r", lambda x: x["row"]).alias("rows"), F.transform("r", lambda x: x["raw"]).alias("raw_cells"))
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    return df.select("id", F.explode("rows").alias("r")).select("id", F.get("r", F.lit(0)).alias("label"), F.array_join(F.slice("r", F.lit(2), F.size("r")), "|").alias("cells"))
+
+
+@query(f"WITH {GRID_SQL} SELECT id, label, array_to_string(list_transform(raws, lambda x: x), '|') AS cells FROM t")
+def perturb_no_scale(spark: SparkSession, d: str) -> DataFrame:
+    return long_rows(scoring.degrade(flag_records(spark, d), "no-scale"))
+
+
+@query(f"WITH {GRID_SQL} SELECT id, label, array_to_string(list_transform(raws, lambda x: replace(replace(x, '(', ''), ')', '')), '|') AS cells FROM t")
+def perturb_drop_parens(spark: SparkSession, d: str) -> DataFrame:
+    out = scoring.degrade(flag_records(spark, d), "drop-parens")
+    return long_rows(out.withColumn("rows", F.col("raw_cells")))
+
+
+@query(f"WITH {GRID_SQL} SELECT id, list_extract(string_split(label, ': '), -1) AS label, array_to_string(vals, '|') AS cells FROM t")
+def perturb_strip_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return long_rows(scoring.degrade(flag_records(spark, d), "strip-prefix"))
+
+
+@query(f"WITH {GRID_SQL} SELECT id, label, array_to_string(vals, '|') AS cells FROM t WHERE id <> 'A'")
+def perturb_no_ocr(spark: SparkSession, d: str) -> DataFrame:
+    return long_rows(scoring.degrade(flag_records(spark, d), "no-ocr"))
+
+
+@query("SELECT id, label, CASE WHEN starts_with(label, 'Lines: ') THEN substr(label, 8) ELSE label END AS bare FROM (SELECT DISTINCT l_returnflag AS id, 'Lines: ' || CAST(l_linenumber AS VARCHAR) AS label FROM lineitem)")
+def strip_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = long_rows(flag_records(spark, d))
+    return rows.select("id", "label", scoring.strip_section("label", F.array(F.lit("Lines:"), F.lit("Li"))).alias("bare"))
+
+
+# ---------------------------------------------------------------- tables and records
+
+YEAR_CELLS = "SELECT l_returnflag || l_linestatus AS label, CAST(year(l_shipdate) AS VARCHAR) AS col, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY ALL"
+
+
+def year_cells(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("label"), F.year("l_shipdate").cast("string").alias("col")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    return g.select(F.lit("t1").alias("t"), "label", "col", "v", F.concat("label", "col").alias("ord"))
+
+
+@query(f"WITH c AS ({YEAR_CELLS}), y AS (SELECT col, min(label || col) AS o FROM c GROUP BY col), r AS (SELECT label FROM c GROUP BY label) SELECT r.label AS row_label, y.col AS col_label, CAST(c.v AS VARCHAR) AS value FROM r CROSS JOIN y LEFT JOIN c ON c.label = r.label AND c.col = y.col")
+def cells_to_grid(spark: SparkSession, d: str) -> DataFrame:
+    grid = tables.cells_to_grid(year_cells(spark, d), ["t"], "label", "col", "v", "ord")
+    return tables.grid_to_cells(grid, ["t"]).select("row_label", "col_label", "value")
+
+
+@query(f"WITH c AS ({YEAR_CELLS}), y AS (SELECT col, row_number() OVER (ORDER BY min(label || col)) - 1 AS col_index FROM c GROUP BY col) SELECT label, col, CAST(col_index AS INTEGER) AS col_index, v FROM c JOIN y USING (col)")
+def column_positions(spark: SparkSession, d: str) -> DataFrame:
+    return tables.column_positions(year_cells(spark, d), ["t"], "col", "ord").select("label", "col", "col_index", "v")
+
+
+@query("WITH c AS (SELECT s_nationkey AS page, s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'camelot-lattice' WHEN 1 THEN 'camelot-stream' WHEN 2 THEN 'pdfplumber-text' ELSE 'camelot-network' END AS method, CAST(s_suppkey % 7 AS BIGINT) AS numeric_rows, (s_suppkey % 3) / 2 AS label_ratio FROM supplier WHERE s_suppkey IN (SELECT min(s_suppkey) FROM supplier GROUP BY s_nationkey, s_suppkey % 4)), v AS (SELECT *, round(label_ratio * coalesce(numeric_rows / nullif(max(numeric_rows) OVER (PARTITION BY page), 0), 0), 3) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, CASE method WHEN 'camelot-lattice' THEN 0 WHEN 'camelot-stream' THEN 1 WHEN 'pdfplumber-text' THEN 2 ELSE 3 END) AS rank FROM v) SELECT page, max(method) FILTER (WHERE rank = 1) AS method, max(score) FILTER (WHERE rank = 1) AS score, bool_or(rank = 1 AND score >= 0.6 AND numeric_rows >= 3) AS accepted, max(method) FILTER (WHERE rank = 2) AS runner_up FROM r GROUP BY page")
+def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey") % 4
+    method = F.when(k == 0, "camelot-lattice").when(k == 1, "camelot-stream").when(k == 2, "pdfplumber-text").otherwise("camelot-network")
+    first = s.groupBy(F.col("s_nationkey").alias("page"), k.alias("k")).agg(F.min("s_suppkey").alias("s_suppkey"))
+    cand = first.select("page", method.alias("method"), (F.col("s_suppkey") % 7).cast("long").alias("numeric_rows"), ((F.col("s_suppkey") % 3) / 2).alias("label_ratio"))
+    return tables.winners(tables.ranked(cand, ["page"]), ["page"]).select("page", "method", "score", "accepted", "runner_up")
+
+
+@query("WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), c AS (SELECT o_orderpriority, n AS lines, count(*) AS n, min(o_orderkey) AS first FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY ALL) SELECT o_orderpriority, lines, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, first) AS rn FROM c) WHERE rn = 1")
+def modal_count(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    return tables.modal(table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")), ["o_orderpriority"], "lines", "o_orderkey")
+
+
+@query("SELECT c_custkey, c_name, 'managed' AS origin FROM customer WHERE c_nationkey < 5 AND c_custkey % 10 = 0 UNION ALL SELECT c_custkey, c_name, 'own' FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey < 5 AND c_custkey % 10 = 0)")
+def union_replace_tables(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    own, managed = c.withColumn("origin", F.lit("own")), c.where("c_nationkey < 5 AND c_custkey % 10 = 0").withColumn("origin", F.lit("managed"))
+    return tables.replace_managed(own, managed, ["c_nationkey"]).drop("c_nationkey")
+
+
+@query("WITH a AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS occurrence FROM lineitem WHERE l_linestatus = 'O' AND l_partkey <= 200), b AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS occurrence FROM lineitem WHERE l_linestatus = 'F' AND l_partkey <= 200) SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.occurrence, b.occurrence) AS occurrence, a.l_quantity AS left_value, b.l_quantity AS right_value FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.occurrence = b.occurrence")
+def full_outer_paths(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_partkey <= 200")
+    side = lambda s, name: facts.numbered(lines.where(F.col("l_linestatus") == s), ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", F.col("occurrence").cast("long").alias("occurrence"), F.col("l_quantity").alias(name))
+    return side("O", "left_value").join(side("F", "right_value"), ["l_partkey", "occurrence"], "full_outer")
+
+
+@query("WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS head, event_type = 'error' AS broken FROM events), s AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY event_id) AS block, max(CASE WHEN head = 1 OR broken THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS last_mark FROM e) SELECT s.user_id, s.event_id, CAST(s.block AS INTEGER) AS block, CASE WHEN m.head = 1 THEN m.event_id END AS header FROM s LEFT JOIN e m ON m.event_id = s.last_mark")
+def carry_header_blocks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    head, broken = F.col("event_type") == "purchase", F.col("event_type") == "error"
+    out = sections.header_runs(e, ["user_id"], "event_id", head | broken, F.when(head, F.array(F.col("event_id").cast("string"))), broken)
+    return out.select("user_id", "event_id", "block", F.get("labels", F.lit(0)).cast("long").alias("header"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
+def section_carry(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.when(F.col("role") == "system", "Title").otherwise("Text").alias("block_type"))
+    return sections.carry_sections(c, ["conv_id"], ["turn"]).select("conv_id", "turn", "section")
+
+
+BLOCK_RE = r"<(h1|li|p)>([^<]*)</(?:h1|li|p)>"
+BLOCKS_SQL = rf"""b AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|li|p)>([^<]*)</(?:h1|li|p)>', 1)) AS tag, unnest(regexp_extract_all(html, '<(h1|li|p)>([^<]*)</(?:h1|li|p)>', 2)) AS raw, generate_subscripts(regexp_extract_all(html, '<(h1|li|p)>([^<]*)</(?:h1|li|p)>', 1), 1) AS pos FROM pages),
+k AS (SELECT page_id, pos, CASE tag WHEN 'h1' THEN 'Title' WHEN 'li' THEN 'List' ELSE 'Text' END AS block_type, trim(regexp_replace(replace(replace(raw, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b), n AS (SELECT *, 'p' || lpad(CAST(page_id AS VARCHAR), 4, '0') || '_b' || lpad(CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS VARCHAR), 3, '0') AS block_id FROM k WHERE text <> '')"""
+
+
+def html_records(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", F.arrays_zip(F.regexp_extract_all("html", F.lit(BLOCK_RE), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(BLOCK_RE), F.lit(2)).alias("raw")).alias("z"))
+    b = pages.select("page_id", F.posexplode("z").alias("pos", "x"))
+    text = F.replace(F.replace("x.raw", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    kind = F.when(F.col("x.tag") == "h1", "Title").when(F.col("x.tag") == "li", "List").otherwise("Text")
+    rows = records.with_text(b.select("page_id", "pos", kind.alias("block_type"), text.alias("text")))
+    return sections.block_ids(rows, [], "page_id", ["pos"])
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT page_id, block_id, block_type, text FROM n")
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return html_records(spark, d).select("page_id", "block_id", "block_type", "text")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT page_id, string_agg(CASE block_type WHEN 'Title' THEN '## ' || text WHEN 'List' THEN '- ' || text ELSE text END, chr(10) ORDER BY pos) AS body FROM n GROUP BY page_id")
+def markdown_export(spark: SparkSession, d: str) -> DataFrame:
+    b = html_records(spark, d).withColumn("md", records.block_markdown("block_type", "text"))
+    return b.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "md"))), lambda x: x["md"]), "\n").alias("body"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(12) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
+def text_export(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\f").alias("body"))
+
+
+@query("SELECT page_id, strlen(html) AS n_bytes, length(html) AS n_chars, length(html) // 4 AS approx_tokens, len(regexp_extract_all(html, '<!--')) AS n_provenance FROM pages")
+def format_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").withColumns(T.format_measures("html")).select("page_id", "n_bytes", "n_chars", "approx_tokens", "n_provenance")
+
+
+@query("SELECT o_orderkey, list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'doc_id form' END, CASE WHEN o_orderkey % 5 = 0 THEN 'page below 1' END, CASE WHEN o_orderkey % 7 = 0 THEN 'bbox' END, CASE WHEN o_orderkey % 11 = 0 THEN 'ocr_conf of ocr' END], lambda x: x IS NOT NULL) AS errors FROM orders")
+def record_validation(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    bad = lambda n: k % n == 0
+    rec = table(spark, d, "orders").select(
+        "o_orderkey", F.lit(records.VERSION).alias("schema"), F.when(bad(3), "x").otherwise("0000320193-25-000079").alias("doc_id"), F.lit("0000320193").alias("cik"), F.when(bad(5), 0).otherwise(1).alias("page"), F.lit("p0001_b001").alias("block_id"), F.lit("Text").alias("block_type"),
+        F.when(bad(7), F.array(F.lit(5.0), F.lit(1.0), F.lit(5.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0), F.lit(1.0), F.lit(5.0), F.lit(2.0))).alias("bbox"), F.lit("pt").alias("units"), F.lit("top-left").alias("origin"), F.lit("t").alias("text"), F.lit(None).cast(records.TABLE).alias("table"),
+        F.lit(None).cast("double").alias("ocr_conf"), bad(11).alias("ocr"), F.lit("a/b").alias("source_path"), F.lit("0" * 64).alias("sha256"), *[(F.lit(2025) if n == "fiscal_year" else F.lit("x")).alias(n) for n in records.REQUIRED],
+    )
+    return records.validated(rec).select("o_orderkey", "errors")
+
+
+# ---------------------------------------------------------------- boxes
+
+BOX_SQL = "bx AS (SELECT vec_id AS id, CAST(vec_id % 20 AS INTEGER) AS page, CAST(round(abs(embedding[1]) * 400) AS DOUBLE) AS x0, CAST(round(abs(embedding[2]) * 600) AS DOUBLE) AS top, CAST(round(abs(embedding[1]) * 400) + 60 AS DOUBLE) AS x1, CAST(round(abs(embedding[2]) * 600) + 20 AS DOUBLE) AS bottom FROM embeddings)"
+
+
+def box_rows(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.round(F.abs(F.get("embedding", F.lit(0))) * 400).cast("double"), F.round(F.abs(F.get("embedding", F.lit(1))) * 600).cast("double")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 20).cast("int").alias("page"), x.alias("x0"), y.alias("top"), (x + 60).alias("x1"), (y + 20).alias("bottom"))
+
+
+def as_box(prefix: str = "") -> F.Column:
+    return F.struct(*[F.col(f"{prefix}{n}").alias(n) for n in ("x0", "top", "x1", "bottom")])
+
+
+@query(f"WITH {BOX_SQL} SELECT a.id AS a, b.id AS b, round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.bottom, b.bottom) - greatest(a.top, b.top)) / 1200, 6) AS share FROM bx a JOIN bx b ON a.page = b.page AND a.id < b.id WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.bottom, b.bottom) > greatest(a.top, b.top)")
+def box_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs of a page. Boxes meet by cells of a grid that they touch, not each with each."""
+    b = box_rows(spark, d).withColumn("box", as_box())
+    cells = b.select("id", "page", "box", F.explode(F.sequence(F.floor(F.col("top") / 40), F.floor(F.col("bottom") / 40))).alias("cell"))
+    a = cells.select("page", "cell", F.col("id").alias("a"), F.col("box").alias("box_a"))
+    pairs = a.join(cells.select("page", "cell", F.col("id").alias("b"), F.col("box").alias("box_b")), ["page", "cell"]).where("a < b").dropDuplicates(["a", "b"])
+    return pairs.select("a", "b", F.round(B.overlap("box_a", "box_b"), 6).alias("share")).where("share > 0")
+
+
+@query()
+def nms_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page that stay, greedily by score (tested against a loop; the fold has no plain SQL form)."""
+    b = box_rows(spark, d).withColumn("score", F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000)
+    pages = b.groupBy("page").agg(F.collect_list(F.struct("score", "id", "x0", "top", "x1", "bottom")).alias("boxes"))
+    return pages.select("page", F.explode(F.transform(B.suppress("boxes", 0.5), lambda x: x["id"])).alias("id"))
+
+
+@query(f"WITH {BOX_SQL}, s AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) > 20 THEN 1 ELSE 0 END AS n FROM bx), c AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY x0 RANGE UNBOUNDED PRECEDING) AS col FROM s) SELECT id, page, CAST(col AS INTEGER) AS \"column\", CAST(row_number() OVER (PARTITION BY page ORDER BY col, top, x0, id) AS INTEGER) AS reading_order FROM c")
+def reading_order_columns(spark: SparkSession, d: str) -> DataFrame:
+    return sections.column_order(box_rows(spark, d), ["page"], gap=20.0).select("id", "page", "column", "reading_order")
+
+
+@query(f"WITH {BOX_SQL}, k(k, lo, hi) AS (VALUES (0, 50.0, 80.0), (1, 140.0, 170.0), (2, 260.0, 300.0)), dd AS (SELECT id, k, greatest(lo - (x0 + x1) / 2, 0, (x0 + x1) / 2 - hi) AS dist FROM bx, k) SELECT id, k AS nearest, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, k) AS rn FROM dd) WHERE rn = 1 AND dist <= 45")
+def nearest_column(spark: SparkSession, d: str) -> DataFrame:
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, lo, hi in ((0, 50.0, 80.0), (1, 140.0, 170.0), (2, 260.0, 300.0))])
+    x = (F.col("x0") + F.col("x1")) / 2
+    best = F.array_min(F.transform(spans, lambda s: F.struct(B.distance_to_span(x, s["lo"], s["hi"]).alias("dist"), s["k"].alias("k"))))
+    return box_rows(spark, d).select("id", best.alias("b")).select("id", F.col("b.k").alias("nearest"), F.col("b.dist").alias("dist")).where("dist <= 45")
+
+
+@query(f"WITH {BOX_SQL} SELECT page, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM bx GROUP BY page")
+def page_union_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return box_rows(spark, d).groupBy("page").agg(F.collect_list(as_box()).alias("b")).select("page", B.union("b").alias("u")).select("page", "u.*")
+
+
+# ---------------------------------------------------------------- timing, cost, cache
+
+
+@query("SELECT event_type AS stage, count(*) AS pages, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, round(avg(value), 6) AS mean, max(value) AS peak_rss_mb, 0::BIGINT AS errors FROM events GROUP BY event_type")
+def bench_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"), F.col("value").alias("rss_mb"), F.lit("ok").alias("status"))
+    return rounded(bench.summary(e), "mean").select("stage", "pages", "p50", "p95", "mean", "peak_rss_mb", "errors")
+
+
+@query(
+    """WITH m AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'parse' WHEN '2-HIGH' THEN 'tables' WHEN '3-MEDIUM' THEN 'layout' ELSE 'converter' END AS stage, avg(o_totalprice) / 1e5 AS mean FROM orders GROUP BY 1), t AS (SELECT 'traditional' AS option, sum(mean) AS s FROM m WHERE stage <> 'converter' HAVING count(*) = 3 UNION ALL SELECT 'converter', mean FROM m WHERE stage = 'converter')
+SELECT option, round(s, 6) AS s_per_page, round(s * 1000 / 3600 / 4 * 0.357, 6) AS usd_per_1000, round(s * 1000 / 3600 / 4 * 0.357 * 500, 4) AS usd_per_year FROM t UNION ALL SELECT 'managed ocr', NULL, 1.5, 750.0 UNION ALL SELECT 'managed tables', NULL, 15.0, 7500.0"""
+)
+def cost_model(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    stage = F.when(p == "1-URGENT", "parse").when(p == "2-HIGH", "tables").when(p == "3-MEDIUM", "layout").otherwise("converter")
+    means = table(spark, d, "orders").groupBy(stage.alias("stage")).agg((F.avg("o_totalprice") / 1e5).alias("mean"), F.lit(0).alias("errors"), F.count("*").alias("pages"))
+    return bench.cost(means).select("option", F.round("s_per_page", 6).alias("s_per_page"), F.round("usd_per_1000", 6).alias("usd_per_1000"), F.round("usd_per_year", 4).alias("usd_per_year"))
+
+
+@query("WITH h AS (SELECT doc_id, left(sha256(text), 32) AS key FROM documents) SELECT doc_id, CASE WHEN key IN (SELECT key FROM h WHERE doc_id % 3 = 0) THEN 'cache' ELSE 'miss' END AS status FROM h")
+def managed_cache_probe(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "documents").select("doc_id", F.left(T.sha256("text"), F.lit(32)).alias("key"))
+    return bench.cache_probe(h, h.where("doc_id % 3 = 0").select("key"), "key", enabled=False).select("doc_id", "status")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.25 WHEN o_orderkey % 3 = 1 THEN 0.0 ELSE greatest(0, 1 - 0.1 - 0.9 / 3) END AS gray FROM orders")
+def gray_levels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    color = F.when(k == 0, F.array(F.lit(0.25), F.lit(0.25), F.lit(0.25))).when(k == 2, F.array(F.lit(0.3), F.lit(0.3), F.lit(0.3), F.lit(0.1)))
+    return table(spark, d, "orders").select("o_orderkey", N.gray_level(color).alias("gray"))
+
 
-QUERIES = {}
-SQL = {}
