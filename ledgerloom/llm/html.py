@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 64
 BLOCK = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside address form fieldset details summary hr center".split()
 )
@@ -229,5 +230,8 @@ def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url:
             texts = [extract(a.as_py(), b.as_py()) for a, b in zip(batch.column(n), batch.column(n + 1), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    joined = pages.select(*keep, F.col(source).alias("_html_"), host(url).alias("_key_")).join(paths, F.col("_key_") == F.col("_host_"), "left")
+    # a host may have a third of all pages: its pages are dealt to SALTS parts, and its one row of paths goes to each
+    paths = paths.withColumn("_part_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = pages.select(*keep, F.col(source).alias("_html_"), host(url).alias("_key_"), F.pmod(F.xxhash64(source), F.lit(SALTS)).cast("int").alias("_salt_"))
+    joined = rows.join(paths, (F.col("_key_") == F.col("_host_")) & (F.col("_salt_") == F.col("_part_")), "left")
     return joined.select(*keep, "_html_", "path").mapInArrow(run, schema)
