@@ -444,10 +444,10 @@ def union_replace_tables(spark: SparkSession, d: str) -> DataFrame:
     return tables.replace_managed(own, managed, ["c_nationkey"]).drop("c_nationkey")
 
 
-@query("WITH a AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS occurrence FROM lineitem WHERE l_linestatus = 'O' AND l_partkey <= 200), b AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS occurrence FROM lineitem WHERE l_linestatus = 'F' AND l_partkey <= 200) SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.occurrence, b.occurrence) AS occurrence, a.l_quantity AS left_value, b.l_quantity AS right_value FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.occurrence = b.occurrence")
+@query("WITH a AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS occurrence FROM lineitem WHERE l_linestatus = 'O' AND l_partkey <= 200), b AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS occurrence FROM lineitem WHERE l_linestatus = 'F' AND l_partkey <= 200) SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.occurrence, b.occurrence) AS occurrence, a.l_quantity AS left_value, b.l_quantity AS right_value FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.occurrence = b.occurrence")
 def full_outer_paths(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").where("l_partkey <= 200")
-    side = lambda s, name: facts.numbered(lines.where(F.col("l_linestatus") == s), ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", F.col("occurrence").cast("long").alias("occurrence"), F.col("l_quantity").alias(name))
+    side = lambda s, name: facts.numbered(lines.where(F.col("l_linestatus") == s), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity"]).select("l_partkey", F.col("occurrence").cast("long").alias("occurrence"), F.col("l_quantity").alias(name))
     return side("O", "left_value").join(side("F", "right_value"), ["l_partkey", "occurrence"], "full_outer")
 
 
