@@ -23,7 +23,7 @@ from ledgerloom.session import cut, fresh
 REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct", "n_stutters")
 
 
 def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -70,6 +70,7 @@ def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[
             names["n_lines"]: F.size(tmp["lines"]).cast("long"),
             names["n_letters"]: (F.char_length(text_col) - F.char_length(F.regexp_replace(text_col, r"\p{L}+", ""))).cast("long"),
             names["n_distinct"]: F.size(F.array_distinct(tmp["words"])).cast("long"),
+            names["n_stutters"]: F.size(F.filter(tmp["words"], lambda w, i: F.coalesce(w == F.get(F.col(tmp["words"]), i - 1), F.lit(False)))).cast("long"),
         }
     ).drop(*tmp.values()), names
 
@@ -92,9 +93,10 @@ def votes(n: dict[str, str]) -> list[Column]:
         rule(100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"]),
         rule(10 * c["n_dup_lines"] > 4 * c["n_lines"]),
         rule((2 * c["word_chars"] < 5 * c["n_words"]) | (c["word_chars"] > 12 * c["n_words"])),
-        rule(10 * c["n_letters"] < 8 * c["word_chars"], 100 * c["n_letters"] >= 92 * c["word_chars"]),
+        rule(2 * c["n_letters"] < c["word_chars"], 100 * c["n_letters"] >= 92 * c["word_chars"]),
         rule(10 * c["n_distinct"] < c["n_words"]),
         rule(c["n_words"] < MIN_WORDS),
+        rule(4 * c["n_stutters"] > c["n_words"]),
     ]
 
 
