@@ -173,7 +173,19 @@ def best_container(found: list[tuple[Element, str, int]]) -> tuple[Element | Non
                 share /= 2
             up = up.parent
     best = max(scored.values(), key=lambda e: e.score, default=None)
-    return best, best.score if best is not None else 0.0
+    if best is None:
+        return None, 0.0
+    score, above = best.score, []
+    up = best.parent
+    while up is not None:
+        above.append(up)
+        up = up.parent
+    # the headline may stand beside the container of the paragraphs: then the container of both is meant
+    for element, _, _ in found:
+        if element.tag == "h1" and element.parent in above and element.parent.tag in CONTAINERS - {"body"}:
+            best = element.parent
+            break
+    return best, score
 
 
 def vote(source: str | None) -> tuple[str | None, float]:

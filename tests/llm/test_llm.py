@@ -425,6 +425,21 @@ def test_html(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<main><h1>T</h1><div class='body'><p>one</p><p>two</p></div></main><div class='sidebar'><p>no no no no no no</p></div>", "T\none\ntwo"),
+        ("<article><header><h1>T</h1></header><p>a&nbsp;b<br>c</p><ul><li>1<li>2</ul><form><p>f</p></form>tail</article><footer>z", "T\na b c\n1\n2\ntail"),
+        ("<div id='cookie-notice'><p>We use many cookies on this site of ours</p></div><div><p>real text</p></div>", "real text"),
+        ("a < b <b>x</b>y", "a < b xy"),
+        ("<p>x<span class='ad'>buy</span>y</p><div hidden><p>h</p></div>", "xy"),
+        ("<article><p>1 &lt; 2 &#233;&amp;&amp;</p><noscript><p>no</p></noscript></article>", "1 < 2 é&&"),
+    ],
+)
+def test_html_cases(source, text):
+    assert html.extract(source) == text
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose comments outweigh its article still yields the article, as its host's other pages vote."""
     body = "<div class='content-3'><p>{}</p></div><div class='thread'><p>{}</p></div>"
