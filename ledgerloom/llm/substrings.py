@@ -24,7 +24,8 @@ from ledgerloom.llm import sketch
 from ledgerloom.llm.text import MULT, MULT2, body, pieces, rolling, same_document, utf8, word_hashes, word_spans
 
 WINDOW = 35
-GRAM = 8
+#: About half a window: shorter runs repeat by chance.
+GRAM = 18
 BUCKET_BYTES = 32_000_000
 #: Text of the documents that are finished together.
 PART_BYTES = 12_000_000

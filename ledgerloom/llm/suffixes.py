@@ -30,7 +30,8 @@ from ledgerloom.llm.text import BYTE, pieces, rolling, same_document, utf8
 from ledgerloom.session import cut
 
 WINDOW = 400
-GRAM = 32
+#: Half a window: shorter runs (a licence line) would tie together texts that share no whole window.
+GRAM = 200
 SHARD_BYTES = 3_000_000
 
 
@@ -228,6 +229,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(window: int):
     def run(rows: pa.Table) -> pa.Table:
         """Repeated places of the segments of a shard. Where its rows are of several tiles, each tile has its own array."""
+        # rows that are equal hold equal segments at one place: they count once
+        name = np.stack([rows.column(c).to_numpy() for c in ("tile", "s1", "s2")], 1)
+        rows = rows.take(pa.array(np.sort(np.unique(name, axis=0, return_index=True)[1])))
         tiles = rows.column("tile").to_numpy()
         out: list[list[bytes]] = [[] for _ in range(rows.num_rows)]
         done = []
@@ -264,13 +268,10 @@ def repeated_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     where = held.select("s1", "s2", "key", "row", "start", F.length("data").alias("length"))
     kinds = held.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "start")).alias("at"), F.first(F.length("data")).alias("length"))
     kinds = cut(kinds.select("s1", "s2", "n", "length", F.xxhash64("s1", "s2").alias("seg"), F.col("at.key").alias("key"), F.col("at.row").alias("row"), F.col("at.start").alias("start")), "segment-kinds")
-    # one of each kind of segment; rows that are equal hold equal segments at one place
-    one = held.join(kinds.select("s1", "s2", "seg", "key", "row", "start"), ["s1", "s2", "key", "row", "start"]).dropDuplicates(["s1", "s2"])
-    runs = one.select("seg", "runs").mapInArrow(_unpacked, "seg long, run long")
-    runs = cut(runs, "runs")
+    runs = cut(held.select(F.xxhash64("s1", "s2").alias("seg"), "runs").mapInArrow(_unpacked, "seg long, run long").distinct(), "runs")
     heads = runs.groupBy("run").agg(F.min("seg").alias("b"), F.max("seg").alias("last")).where("b <> last").drop("last")
     roots = connected(runs.join(heads, "run").where("seg <> b").select(F.col("seg").alias("a"), "b"))
-    placed = kinds.join(roots, kinds["seg"] == roots["node"], "left").select("s1", "s2", "seg", "length", F.coalesce("root", "seg").alias("root"))
+    placed = kinds.join(roots, kinds["seg"] == roots["node"], "left").select("s1", "s2", "key", "row", "start", "seg", "length", F.coalesce("root", "seg").alias("root"))
     weight = cut(placed.groupBy("root").agg(F.sum("length").alias("bytes"), F.count("*").alias("segs")), "weights")
     total = weight.agg(F.sum("bytes")).first()[0] or 0
     shards = int(total // SHARD_BYTES) + 1
@@ -279,7 +280,9 @@ def repeated_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     plan = placed.join(weight.withColumn("tiles", tiles), "root").withColumn("tile", F.pmod("seg", F.col("tiles")))
     plan = plan.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).where("tiles = 1 or tile <> other")
     shard = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(shards))).otherwise(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")))
-    work = one.select("s1", "s2", "data").join(plan.select("s1", "s2", shard.alias("shard"), F.when(F.col("tiles") == 1, 0).otherwise(F.col("tile")).cast("long").alias("tile")), ["s1", "s2"])
+    # of each kind of segment, one is searched
+    plan = plan.select("s1", "s2", "key", "row", "start", shard.alias("shard"), F.when(F.col("tiles") == 1, 0).otherwise(F.col("tile")).cast("long").alias("tile"))
+    work = held.select("s1", "s2", "key", "row", "start", "data").join(plan, ["s1", "s2", "key", "row", "start"]).select("s1", "s2", "data", "shard", "tile")
     found = work.groupBy("shard").applyInArrow(search(window), "s1 long, s2 long, places binary")
     several = kinds.where("n > 1").select("s1", "s2", F.lit(None).cast("binary").alias("places"))
     return where.join(several.unionByName(found), ["s1", "s2"]).select("key", "row", "start", "length", "places")
