@@ -11,7 +11,7 @@ from ledgerloom.functions import boxes as B
 from ledgerloom.functions import numbers as N
 from ledgerloom.functions import periods as P
 from ledgerloom.functions import text as T
-from ledgerloom.operators import bench, facts, reconcile, records, scoring, sections, tables
+from ledgerloom.operators import bench, explore, facts, reconcile, records, scoring, sections, tables
 from ledgerloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -595,3 +595,55 @@ def gray_levels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", N.gray_level(color).alias("gray"))
 
 
+# ---------------------------------------------------------------- lookups and reports
+
+
+@query(f"WITH {BOX_SQL}, p AS (SELECT a.page, a.id, b.id AS value_id, abs(a.top - b.top) AS gap FROM bx a JOIN bx b ON a.page = b.page AND a.id % 40 < 20 AND b.id % 40 >= 20 AND abs(a.top - b.top) <= 6) SELECT page, id, value_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, value_id) AS rn FROM p) WHERE rn = 1")
+def locate_cells(spark: SparkSession, d: str) -> DataFrame:
+    b = box_rows(spark, d)
+    return explore.locate(b.where("id % 40 < 20").select("page", "id", "top"), b.where("id % 40 >= 20").select("page", "id", "top"), ["page"], "id").select("page", "id", "value_id", "gap")
+
+
+@query("WITH t AS (SELECT unnest([100.0, 500.0, 2000.0]) AS threshold) SELECT threshold, lang, count(*) FILTER (WHERE n_chars >= threshold) AS passed, count(*) AS n FROM documents, t GROUP BY ALL")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return explore.sweep(table(spark, d, "documents").select("lang", "n_chars"), [100, 500, 2000], "threshold", F.col("n_chars") >= F.col("threshold"), ["lang"])
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey, o_totalprice AS value FROM orders WHERE o_orderkey % 10 = 0), f AS (SELECT 'a' AS method, o_orderkey, o_totalprice AS value FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT 'b', o_orderkey, o_totalprice + o_orderkey % 3 FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'b', -1, o_totalprice FROM orders WHERE o_orderkey % 30 = 0)
+SELECT m.method, count(*) AS cells, count(*) FILTER (WHERE f.value = c.value) AS correct, count(*) FILTER (WHERE f.o_orderkey IS NOT NULL) AS label_found, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM f g WHERE g.method = m.method AND g.value = c.value)) AS value_anywhere FROM c CROSS JOIN (SELECT DISTINCT method FROM f) m LEFT JOIN f ON f.method = m.method AND f.o_orderkey = c.o_orderkey GROUP BY m.method"""
+)
+def cell_correctness(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
+    a = o.where("o_orderkey % 20 = 0").withColumn("method", F.lit("a"))
+    b = o.where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("value") + F.col("o_orderkey") % 3).alias("value"), F.lit("b").alias("method"))
+    stray = o.where("o_orderkey % 30 = 0").select(F.lit(-1).cast("long").alias("o_orderkey"), "value", F.lit("b").alias("method"))
+    return explore.cell_correctness(o.where("o_orderkey % 10 = 0"), a.unionByName(b).unionByName(stray), ["o_orderkey"])
+
+
+@query("WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_type) AS rn FROM p) WHERE rn = 1")
+def path_preference(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return explore.preferred(p, ["user_id"], ["purchase", "click"], "event_type")
+
+
+@query("SELECT source, avg(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS share, avg(n_chars) AS mean_length, count(*) AS n FROM documents GROUP BY source")
+def drift_shares(spark: SparkSession, d: str) -> DataFrame:
+    return explore.shares(table(spark, d, "documents"), ["source"], F.col("lang") == "en", F.col("n_chars"))
+
+
+@query("SELECT l_returnflag, l_linestatus, CASE WHEN count(DISTINCT l_linenumber % 1) = 1 THEN '0' END AS scale FROM lineitem GROUP BY ALL")
+def table_scales(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 1).cast("string").alias("scale"))
+    return records.table_scale(rows, ["l_returnflag", "l_linestatus"])
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, tk AS (SELECT page_id, block_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS token FROM n), w AS (SELECT DISTINCT page_id, token FROM tk WHERE block_id LIKE '%b001' OR block_id LIKE '%b002')
+SELECT tk.page_id, tk.block_id, avg(CASE WHEN w.token IS NULL THEN 0 ELSE 1 END) AS share FROM tk LEFT JOIN w USING (page_id, token) GROUP BY ALL HAVING avg(CASE WHEN w.token IS NULL THEN 0 ELSE 1 END) >= 0.8"""
+)
+def absorbed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks whose words stand in the first two blocks of their page."""
+    b = html_records(spark, d).select("page_id", "block_id", T.word_tokens("text").alias("tokens"))
+    first = b.where(F.col("block_id").endswith("b001") | F.col("block_id").endswith("b002")).select("page_id", F.explode("tokens").alias("token"))
+    return records.absorbed(b, first, ["page_id"], "block_id", "tokens")
