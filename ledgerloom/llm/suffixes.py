@@ -59,8 +59,8 @@ def words8(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Places of the text in the order of their suffixes. All groups are refined to the end: Kasai's bound needs the whole order."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Places of the text in the order of their suffixes, or of their next `depth` bytes at least; equals then stay in the order of places."""
     n = len(text)
     key = words8(text)
     order = np.argsort(key, kind="stable")
@@ -72,7 +72,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank[order] = first[np.cumsum(head) - 1] + 1  # a group's number is its first place; 0 is the end of the text
     rank[n] = 0
     h = 8
-    while True:
+    while depth is None or h < depth:
         single = head & np.append(head[1:], True)
         open_ = np.flatnonzero(~single)
         if not len(open_):
@@ -101,20 +101,22 @@ def _equal_bytes(x: np.ndarray) -> np.ndarray:
 
 
 def kasai(text: np.ndarray, order: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
-    """Common prefix, up to `most`, of each suffix in order with the one before it. Lanes of neighbouring places advance together; each place starts from
-    its predecessor's prefix less one, as in Kasai's algorithm."""
+    """Common prefix, up to `most`, of each suffix in order with the one before it. Lanes of neighbouring places advance together. A place starts
+    from its predecessor's prefix less one, as in Kasai's algorithm, where both are compared with neighbours; in an order that is cut at some
+    depth the one before may be another, and the place starts anew."""
     n = len(text)
     wide = words8(np.concatenate([text, np.zeros(most + 16, np.uint8)]))
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     prefix = np.zeros(n, np.int64)
     starts = np.arange(0, n, lane)
-    h = np.zeros(len(starts), np.int64)
+    h, last = np.zeros(len(starts), np.int64), np.full(len(starts), -2, np.int64)
     for t in range(lane):
         p = starts + t
         p = p[p < n]
-        h = np.maximum(h[: len(p)] - 1, 0)
         q = before[p]
+        h = np.where(q == last[: len(p)] + 1, np.maximum(h[: len(p)] - 1, 0), 0)
+        last = q
         limit = np.minimum(most, n - np.maximum(p, q))
         h = np.where(q < 0, 0, np.minimum(h, limit))
         live = np.flatnonzero((q >= 0) & (h < limit))
@@ -128,7 +130,7 @@ def kasai(text: np.ndarray, order: np.ndarray, most: int, lane: int = 64) -> np.
 
 def repeated_in(text: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Which valid places start a string that another valid place starts too; and the suffix array of the text."""
-    order = suffix_array(text)
+    order = suffix_array(text, window)
     common = kasai(text, order, window)
     group = np.cumsum(common < window)
     counts = np.bincount(group[valid[order]], minlength=int(group[-1]) + 1 if len(group) else 0)
