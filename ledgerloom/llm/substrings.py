@@ -26,7 +26,7 @@ from ledgerloom.llm.text import MULT, MULT2, body, pieces, rolling, same_documen
 WINDOW = 35
 #: About half a window: shorter runs repeat by chance.
 GRAM = 18
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 8_000_000
 #: Text of the documents that are finished together.
 PART_BYTES = 12_000_000
 FLUSH = 500_000
