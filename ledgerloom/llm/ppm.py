@@ -1,14 +1,14 @@
 """Operator 7, LM scoring by prediction by partial matching (PPM).
 
-Training counts, over all training documents, the byte that follows each context of ORDER bytes. The trie of contexts of ORDER
-bytes and of 2, 1 and 0 gives each byte its probability: in the longest context that the trie has, a byte seen there has (count -
+Training counts, over all training documents, the byte that follows each context of ORDER bytes and fewer. The trie of contexts of ORDER
+to 0 bytes gives each byte its probability: in the longest context that the trie has, a byte seen there has (count -
 1/2) / total, the rest escapes to the next shorter context (method D), in which the bytes seen before are excluded; below order 0 all bytes that are
-left are equal. As the trie is fixed after training, escapes and exclusions are worked out once, into one row of code lengths per context; scoring looks
-up context and byte. The trie keeps the most frequent contexts of ORDER and of 2 bytes (STATES of each), so what is broadcast is bounded; counts
-are of all training documents.
+left are equal. The trie keeps every context of the training texts.
 
-The unigram baseline needs the count of each word of a document. A group of documents asks for its distinct words, by hash bucket; buckets
-add up what all groups counted and answer in the order asked. So a frequent word is one record per group, not per occurrence.
+A group of documents asks for its distinct words and its distinct n-grams (context and byte), by hash bucket; buckets add up what all groups
+counted and answer in the order asked: counts of words, code lengths of n-grams. A bucket of n-grams holds all that share the last SHARED bytes of
+the context, so it has every context longer than that whole; the shorter ones (at most 65,793 of 2, 1 and 0 bytes, whatever the input) are
+counted first and broadcast. So a frequent word or n-gram is one record per group, not per occurrence.
 
 Defined cases: a null or empty text is the end symbol alone; without training documents the trie is uniform and all counts are 0; a null id counts as
 the text '' for the split; repeated rows are trained on and scored as often as they occur; an empty table gives an empty result.
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.grouped import grouped
-from ledgerloom.llm.text import LOWER, utf8, word_hashes, word_spans
+from ledgerloom.llm.text import LOWER, body, pieces, utf8, word_hashes, word_spans
 from ledgerloom.session import cut
 
 #: Longest context in bytes.
 ORDER = 5
-#: Most contexts kept of each length above 1.
-STATES = {5: 24576, 4: 16384, 3: 8192, 2: 4096}
+#: Contexts of fewer bytes are broadcast; longer ones lie in buckets by their last SHARED bytes.
+SHARED = 3
 #: Stands before each text, and after it as the byte to predict; never part of UTF-8.
 EDGE = 255
 FOLDS, HELD_OUT = 5, 1
@@ -83,8 +83,26 @@ def _sorted(rows: pa.Table) -> pa.Table:
     return rows.sort_by([("id", "ascending"), ("row", "ascending")]).combine_chunks()
 
 
+def _asked(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and how often each occurs in training."""
+    own, times = np.unique(grams[train], return_counts=True)
+    names = np.union1d(own, grams[~train])
+    n = np.zeros(len(names), np.int64)
+    n[np.searchsorted(names, own)] = times
+    return names, n
+
+
+def _dealt(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the n-grams by bucket, and where the next bucket begins."""
+    edge = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    shared = (grams >> np.uint64(8)) & np.uint64((1 << (8 * SHARED)) - 1)
+    bucket = np.searchsorted(edge, shared * np.uint64(0x9E3779B97F4A7C15), "right")
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(1, buckets))
+
+
 def count(groups: DataFrame, buckets: int) -> DataFrame:
-    """Per group and bucket: its distinct words with their training counts, and its training n-grams (context << 8 | byte) with counts."""
+    """Per group and bucket: its distinct words and its distinct n-grams (context << 8 | byte), each with its training counts."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = _sorted(rows)
@@ -95,11 +113,10 @@ def count(groups: DataFrame, buckets: int) -> DataFrame:
         words, at = np.unique(hashes, return_inverse=True)
         seen = np.bincount(at[train[doc]], minlength=len(words))
         context, symbol, doc = contexts(raw, offsets)
-        grams, n = np.unique(((context << np.uint64(8)) | symbol)[train[doc]], return_counts=True)
+        grams, n = _asked((context << np.uint64(8)) | symbol, train[doc])
         edge = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
-        spread = grams * np.uint64(0x9E3779B97F4A7C15)
-        order = np.argsort(spread, kind="stable")
-        cut_w, cut_g = np.searchsorted(words, edge), np.searchsorted(spread[order], edge)
+        cut_w = np.searchsorted(words, edge)
+        order, cut_g = _dealt(grams, buckets)
         cols = [
             pa.array(np.arange(buckets, dtype=np.int32)),
             pa.array(np.full(buckets, g, np.int32)),
@@ -110,147 +127,110 @@ def count(groups: DataFrame, buckets: int) -> DataFrame:
     return groups.groupBy("g").applyInArrow(run, "bucket int, g int, words binary, seen binary, grams binary, n binary")
 
 
-def add_up(counted: DataFrame) -> DataFrame:
-    """Answers (g, bucket, counts aligned with the words asked for), and per bucket (grams, n, words, total)."""
+def short_counts(docs: DataFrame, id_col: str, text: str) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, byte, count) of all training contexts below SHARED bytes."""
+    width = np.uint64((1 << (8 * SHARED)) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            raw, offsets = utf8(batch.column(0))
+            context, symbol, _ = contexts(lower(raw), offsets)
+            grams, n = np.unique(((context << np.uint64(8)) | symbol) & width, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    train = docs.where(~held_out(id_col)).select(body(text).alias("text"))
+    rows = train.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    grams, n = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+    return {order: shortened(grams, n, order) for order in range(SHARED)}
+
+
+def shortened(grams: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, byte, count) of the last `order` bytes of n-grams."""
+    keys, at = np.unique(grams & np.uint64((1 << (8 * order + 8)) - 1), return_inverse=True)
+    return keys >> np.uint64(8), keys & np.uint64(255), np.bincount(at, n, len(keys)).astype(np.int64)
+
+
+class Trie:
+    """Counts of each order as sorted n-grams; orders below those given are those of `below`."""
+
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], below: Trie | None = None):
+        self.levels = dict(below.levels) if below else {}
+        for order in sorted(counts):
+            context, symbol, n = counts[order]
+            grams = (np.asarray(context).astype(np.uint64) << np.uint64(8)) | np.asarray(symbol).astype(np.uint64)
+            by = np.argsort(grams)
+            grams, n = grams[by], np.asarray(n).astype(np.float64)[by]
+            keys, start = np.unique(grams >> np.uint64(8), return_index=True)
+            total, shorter = (np.add.reduceat(n, start) if len(n) else n), np.zeros(len(keys))
+            if order and len(n):  # what the bytes seen here count in the next shorter context
+                names, times = self.levels[order - 1][:2]
+                shorter = np.add.reduceat(times[np.searchsorted(names, grams & np.uint64((1 << (8 * order)) - 1))], start)
+            self.levels[order] = (grams, n, keys, total, np.diff(np.append(start, len(grams))), shorter)
+
+    def score(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Log10 of the probability of each byte in its context."""
+        wanted = (context.astype(np.uint64) << np.uint64(8)) | symbol.astype(np.uint64)
+        p, todo = np.ones(len(wanted)), np.arange(len(wanted))
+        # chance of all that is not seen in longer contexts; number of bytes seen there, and their count in this one
+        mass, out, gone = np.ones(len(wanted)), np.zeros(len(wanted)), np.zeros(len(wanted))
+        for order in range(max(self.levels), -1, -1):
+            grams, n, keys, totals, distinct, shorter = self.levels[order]
+            if not len(keys):
+                continue
+            gram = wanted[todo] & np.uint64((1 << (8 * order + 8)) - 1)
+            row = np.minimum(np.searchsorted(keys, gram >> np.uint64(8)), len(keys) - 1)
+            known = keys[row] == gram >> np.uint64(8)
+            place = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+            seen = grams[place] == gram
+            total, fresh = totals[row] - gone, distinct[row] - out
+            some = known & (fresh > 0)
+            share = np.divide(mass, total, out=np.zeros(len(todo)), where=some)
+            p[todo[seen]] = ((n[place] - np.where(distinct[row] < 256, 0.5, 0.0)) * share)[seen]
+            mass = np.where(some, share * np.where(distinct[row] < 256, 0.5 * fresh, 0.0), mass)[~seen]
+            out, gone = np.where(known, distinct[row], 0)[~seen], np.where(known, shorter[row], 0)[~seen]
+            todo = todo[~seen]
+        p[todo] = np.divide(mass, 256 - out, out=np.zeros(len(todo)), where=out < 256)
+        return np.log10(p)
+
+    @property
+    def rows(self) -> np.ndarray:
+        """Code lengths of all bytes in each context, longest contexts first (small tries only)."""
+        out = []
+        for order in sorted(self.levels, reverse=True):
+            upto = Trie.__new__(Trie)
+            upto.levels = {k: v for k, v in self.levels.items() if k <= order}
+            keys = self.levels[order][2]
+            out.append(upto.score(np.repeat(keys, 256), np.tile(np.arange(256, dtype=np.uint64), len(keys))))
+        return np.concatenate(out)
+
+
+def add_up(counted: DataFrame, short) -> DataFrame:
+    """Answers (g, bucket, counts and code lengths aligned with the words and n-grams asked for), and per bucket (known, total) of its words."""
 
     def run(rows: pa.Table) -> pa.Table:
         arrays = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in rows.column(c)]
+        apart = lambda v, like: np.split(v, np.cumsum([len(x) for x in like])[:-1])
         words, seen = arrays("words", np.uint64), arrays("seen", np.uint32)
         names, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(at, np.concatenate(seen), len(names)).astype(np.int64)
-        answers = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
-        grams, at = np.unique(np.concatenate(arrays("grams", np.uint64)), return_inverse=True)
-        n = np.bincount(at, np.concatenate(arrays("n", np.uint32)), len(grams)).astype(np.int64)
-        none = [None] * len(answers)
+        answers = apart(total[at], words)
+        asked = arrays("grams", np.uint64)
+        grams, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.bincount(at, np.concatenate(arrays("n", np.uint32)), len(grams))
+        trained = {order: shortened(grams[n > 0], n[n > 0], order) for order in range(SHARED, ORDER + 1)}
+        codes = apart(Trie(trained, short.value).score(grams >> np.uint64(8), grams & np.uint64(255)).astype(np.float32)[at], asked)
         return pa.table(
             {
                 "g": pa.array([*rows.column("g").to_pylist(), None], pa.int32()),
                 "bucket": pa.array([rows.column("bucket")[0].as_py()] * (len(answers) + 1), pa.int32()),
                 "counts": pa.array([*(a.tobytes() for a in answers), None], pa.binary()),
-                "grams": pa.array([*none, grams.tobytes()], pa.binary()),
-                "n": pa.array([*none, n.tobytes()], pa.binary()),
-                "known": pa.array([*none, int((total > 0).sum())], pa.int64()),
-                "total": pa.array([*none, int(total.sum())], pa.int64()),
+                "codes": pa.array([*(a.tobytes() for a in codes), None], pa.binary()),
+                "known": pa.array([*[None] * len(answers), int((total > 0).sum())], pa.int64()),
+                "total": pa.array([*[None] * len(answers), int(total.sum())], pa.int64()),
             }
         )
 
-    return counted.groupBy("bucket").applyInArrow(run, "g int, bucket int, counts binary, grams binary, n binary, known long, total long")
-
-
-def trie_counts(added: DataFrame) -> dict[int, list[tuple[int, int, int]]]:
-    """(context, byte, count) of the contexts kept of each order. Sums of the n-gram counts; at most STATES * 256 rows of an order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                grams, n = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.int64)
-                for order in range(ORDER + 1):
-                    keys, at = np.unique(grams & np.uint64((1 << (8 * order + 8)) - 1), return_inverse=True)
-                    keys, sums = keys, np.bincount(at, n, len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order, np.int32)), pa.array((keys >> np.uint64(8)).astype(np.int64)), pa.array((keys & np.uint64(255)).astype(np.int32)), pa.array(sums)], names=["k", "context", "symbol", "n"])
-
-    rows = cut(added.where("grams is not null").select("grams", "n").mapInArrow(run, "k int, context long, symbol int, n long").groupBy("k", "context", "symbol").agg(F.sum("n").alias("n")), "trie")
-    out = {}
-    for order in range(ORDER + 1):
-        mine = rows.where(F.col("k") == order)
-        if order in STATES:
-            top = mine.groupBy("context").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "context").limit(STATES[order])
-            mine = mine.join(F.broadcast(top.select("context")), "context")
-        table = mine.select("context", "symbol", "n").toArrow()
-        out[order] = [table.column(c).to_numpy() for c in ("context", "symbol", "n")]
-    return out
-
-
-class Trie:
-    """Code length rows for the contexts kept, longest first; `state` finds the row of each context."""
-
-    def __init__(self, counts: dict[int, list[np.ndarray]]):
-        self.keys: dict[int, np.ndarray] = {}
-        self.start: dict[int, int] = {}
-        dense: dict[int, np.ndarray] = {}
-        at = 0
-        for order in range(ORDER, -1, -1):
-            context, symbol, n = counts[order]
-            keys = np.unique(context).astype(np.uint64)
-            if order == 0 and not len(keys):
-                keys = np.zeros(1, np.uint64)
-            table = np.zeros((len(keys), 256), np.float32)
-            table[np.searchsorted(keys, context.astype(np.uint64)), symbol] = n
-            self.keys[order], self.start[order], dense[order] = keys, at, table
-            at += len(keys)
-        rows = np.empty((at, 256), np.float32)
-        for order in range(ORDER, -1, -1):
-            for lo in range(0, len(self.keys[order]), 4096):
-                keys = self.keys[order][lo : lo + 4096]
-                p = np.zeros((len(keys), 256))
-                open_, mass = np.ones((len(keys), 256), bool), np.ones(len(keys))
-                for k in range(order, -1, -1):
-                    short = keys & np.uint64((1 << (8 * k)) - 1)
-                    place = np.minimum(np.searchsorted(self.keys[k], short), max(len(self.keys[k]) - 1, 0))
-                    if not len(self.keys[k]):
-                        continue
-                    n = dense[k][place] * open_ * (self.keys[k][place] == short)[:, None]
-                    seen = n > 0
-                    distinct = seen.sum(1)
-                    escape = np.where(open_.sum(1) > distinct, 0.5 * distinct, 0.0)
-                    n = np.where(seen & (escape > 0)[:, None], n - 0.5, n)
-                    total = n.sum(1)
-                    scale = np.divide(mass, total + escape, out=np.zeros(len(keys)), where=distinct > 0)
-                    p += n * scale[:, None]
-                    mass = np.where(distinct > 0, scale * escape, mass)
-                    open_ &= ~seen
-                p += open_ * np.divide(mass, open_.sum(1), out=np.zeros(len(keys)), where=open_.any(1))[:, None]
-                rows[self.start[order] + lo : self.start[order] + lo + len(keys)] = np.log10(p)
-        self.rows = rows.ravel()
-        self.index: np.ndarray | None = None
-
-    def prepare(self) -> None:
-        """Tables on the worker: contexts of 2 bytes directly; longer ones by an open hash of their number."""
-        two = np.full(1 << 16, self.start[0], np.int32)
-        for key, row in zip(self.keys[1].tolist(), range(self.start[1], self.start[1] + len(self.keys[1])), strict=True):
-            two[np.arange(256) * 256 + key] = row
-        two[self.keys[2].astype(np.int64)] = np.arange(self.start[2], self.start[2] + len(self.keys[2]))
-        self.index = two
-        self.tables = []
-        for order in range(ORDER, 2, -1):
-            keys = self.keys[order]
-            bits = max(8, int(len(keys) * 16).bit_length())
-            slot = np.full(1 << bits, -1, np.int32)
-            names = np.zeros(1 << bits, np.uint64)
-            spill = []
-            for i, (k, h) in enumerate(zip(keys.tolist(), self._slot(keys, bits).tolist(), strict=True)):
-                if slot[h] < 0:
-                    slot[h], names[h] = self.start[order] + i, k
-                else:
-                    spill.append((k, self.start[order] + i))
-            spill.sort()
-            self.tables.append((order, bits, slot, names, np.array([x[0] for x in spill], np.uint64), np.array([x[1] for x in spill], np.int32)))
-
-    @staticmethod
-    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def score(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        if self.index is None:
-            self.prepare()
-        state = self.index[(context & np.uint64(0xFFFF)).astype(np.int64)]
-        todo = None
-        for order, bits, slot, names, spill, spill_row in self.tables:
-            key = (context if todo is None else context[todo]) & np.uint64((1 << (8 * order)) - 1)
-            h = self._slot(key, bits)
-            row = np.where(names[h] == key, slot[h], -1)
-            if len(spill):
-                miss = np.flatnonzero((row < 0) & (slot[h] >= 0))
-                at = np.minimum(np.searchsorted(spill, key[miss]), len(spill) - 1)
-                row[miss] = np.where(spill[at] == key[miss], spill_row[at], -1)
-            found = row >= 0
-            if todo is None:
-                state = np.where(found, row, state)
-                todo = np.flatnonzero(~found)
-            else:
-                state[todo[found]] = row[found]
-                todo = todo[~found]
-        return self.rows[state.astype(np.int64) * 256 + symbol]
+    return counted.groupBy("bucket").applyInArrow(run, "g int, bucket int, counts binary, codes binary, known long, total long")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,10 +239,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     groups, n_groups = grouped(docs, id_col, text)
     groups = groups.withColumn("out", held_out())
     buckets = n_groups * 250_000 // RECORDS_PER_BUCKET + 1
-    added = cut(add_up(count(groups, buckets)), "counts")
+    short = spark.sparkContext.broadcast(Trie(short_counts(docs, id_col, text)))
+    added = cut(add_up(count(groups, buckets), short), "counts")
     known, total = added.agg(F.sum("known"), F.sum("total")).first()
     known, total = known or 0, total or 0
-    trie = spark.sparkContext.broadcast(Trie(trie_counts(added)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -278,16 +258,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
         order = np.argsort(answers.column("bucket").to_numpy())
         counts = np.concatenate([np.frombuffer(answers.column("counts")[i].as_py(), np.int64) for i in order.tolist()])[at]
         base = np.bincount(doc, np.log10((counts + 0.5) / (total + 0.5 * (known + 1))), n)
-        score = np.zeros(n)
-        at = 0
-        while at < n:  # some MB of text at once
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 1_000_000, "right")) - 1)
-            context, symbol, d = contexts(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-            score[at:to] = np.bincount(d, trie.value.score(context, symbol), to - at)
-            at = to
+        context, symbol, d = contexts(raw, offsets)
+        grams, at = np.unique((context << np.uint64(8)) | symbol, return_inverse=True)
+        codes = np.empty(len(grams))
+        codes[_dealt(grams, buckets)[0]] = np.concatenate([np.frombuffer(answers.column("codes")[i].as_py(), np.float32) for i in order.tolist()])
+        score = np.bincount(d, codes[at], n)
         cols = [rows.column("id"), rows.column("out"), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[counts > 0], minlength=n)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)]
         return pa.table(cols, names=names)
 
-    answers = added.where("g is not null").select("g", "bucket", "counts")
+    answers = added.where("g is not null").select("g", "bucket", "counts", "codes")
     out = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

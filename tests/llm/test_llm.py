@@ -382,6 +382,35 @@ def test_ppm_is_a_distribution_and_learns():
     assert np.allclose(bare.score(context, symbol), -math.log10(256), atol=1e-4)
 
 
+def test_lm_scores_of_all_contexts(spark):
+    """Against a loop, over more contexts of five bytes than the trie once kept (24,576)."""
+    r = random.Random(12)
+    rows = [(i, " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 7))) for _ in range(700))) for i in range(60)]
+    seen = collections.defaultdict(collections.Counter)
+    split = lambda t: [(b"\xff" * 5 + t)[j : j + 5] for j in range(len(t) + 1)]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for context, symbol in zip(split(t.encode()), t.encode() + b"\xff", strict=True):
+                for k in range(6):
+                    seen[context[5 - k :]][symbol] += 1
+    assert sum(len(c) == 5 for c in seen) > 24_576
+
+    def code(context, symbol):
+        mass, out = 1.0, set()
+        for k in range(5, -1, -1):
+            here = {s: n for s, n in seen.get(context[5 - k :], {}).items() if s not in out}
+            if here:
+                if symbol in here:
+                    return math.log10(mass * (here[symbol] - 0.5) / sum(here.values()))
+                mass *= 0.5 * len(here) / sum(here.values())
+                out |= set(here)
+        return math.log10(mass / (256 - len(out)))
+
+    got = {x["doc_id"]: x["score"] for x in ppm.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i], sum(map(code, split(t.encode()), t.encode() + b"\xff")), rel_tol=1e-5)
+
+
 # ---------------------------------------------------------------- 8
 
 
