@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import section_key
+from ledgerloom.llm.html import BLOCK, RAW, TOKEN
 
 
 def running(by: list[str], order: list[str]):
@@ -36,6 +40,63 @@ def block_ids(blocks: DataFrame, by: list[str], page: str, order: list[str], fir
     return blocks.withColumn("block_id", F.format_string("p%04d_b%03d", F.col(page), n))
 
 
+def tag_blocks(source: str | None, tags: tuple[str, ...] = ("h1", "li", "p")) -> list[tuple[str, str]]:
+    """(tag, text without inner tags) of each block of these tags, in order of their opening. Text goes to the innermost open block;
+    a block ends at its closing tag or where HTML implies it (a p at the next block, a li at the next li of its list)."""
+    out: list[tuple[str, list[str]]] = []
+    open_: list[tuple[str, int]] = []  # open block elements with their place in out, or that of the block around them
+    source, at, end = source or "", 0, 0
+
+    def say(part: str) -> None:
+        if part and open_ and open_[-1][1] >= 0:
+            out[open_[-1][1]][1].append(part)
+
+    for m in TOKEN.finditer(source):
+        if m.start() < end:
+            continue
+        say(source[at : m.start()])
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag == "br":
+            say(" ")
+        elif tag in RAW and not m[1]:
+            close = source.lower().find(f"</{tag}", at)
+            at = end = close if close >= 0 else len(source)
+        elif tag in BLOCK and tag != "hr":
+            names = [name for name, _ in open_]
+            if m[1]:
+                if tag in names:
+                    del open_[len(names) - 1 - names[::-1].index(tag) :]
+            else:
+                if names and (names[-1] == "p" or names[-1] == tag == "h1"):
+                    open_.pop()
+                    names.pop()
+                if tag == "li":
+                    inner = max((i for i, name in enumerate(names) if name in ("ul", "ol", "li")), default=-1)
+                    if inner >= 0 and names[inner] == "li":
+                        del open_[inner:]
+                if tag in tags:
+                    out.append((tag, []))
+                open_.append((tag, len(out) - 1 if tag in tags else open_[-1][1] if open_ else -1))
+            say(" ")
+    say(source[at:])
+    return [(tag, "".join(text)) for tag, text in out]
+
+
+def html_blocks(pages: DataFrame, page: str, source: str) -> DataFrame:
+    """page, pos, tag, raw of each block of a page, with entities as they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tag_blocks(x.as_py()) for x in batch.column(1)]
+            rows = [i for i, f in enumerate(found) for _ in f]
+            cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([j for f in found for j in range(len(f))], pa.int32())]
+            cols += [pa.array([b[k] for f in found for b in f], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=[page, "pos", "tag", "raw"])
+
+    return pages.select(page, source).mapInArrow(run, f"`{page}` {pages.schema[page].dataType.simpleString()}, pos int, tag string, raw string")
+
+
 def column_order(boxes: DataFrame, page: list[str], gap: float = 50.0) -> DataFrame:
     """Reading order by columns: left edges further apart than gap start a new column; then top, then left."""
     left = Window.partitionBy(*page).orderBy("x0")

@@ -465,16 +465,15 @@ def section_carry(spark: SparkSession, d: str) -> DataFrame:
     return sections.carry_sections(c, ["conv_id"], ["turn"]).select("conv_id", "turn", "section")
 
 
-BLOCK_RE = r"<(h1|li|p)>([^<]*)</(?:h1|li|p)>"
 BLOCKS_SQL = rf"""b AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|li|p)>([^<]*)</(?:h1|li|p)>', 1)) AS tag, unnest(regexp_extract_all(html, '<(h1|li|p)>([^<]*)</(?:h1|li|p)>', 2)) AS raw, generate_subscripts(regexp_extract_all(html, '<(h1|li|p)>([^<]*)</(?:h1|li|p)>', 1), 1) AS pos FROM pages),
 k AS (SELECT page_id, pos, CASE tag WHEN 'h1' THEN 'Title' WHEN 'li' THEN 'List' ELSE 'Text' END AS block_type, trim(regexp_replace(replace(replace(raw, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b), n AS (SELECT *, 'p' || lpad(CAST(page_id AS VARCHAR), 4, '0') || '_b' || lpad(CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS VARCHAR), 3, '0') AS block_id FROM k WHERE text <> '')"""
 
 
+# The SQL sees blocks without attributes and inner tags only; the queries see all.
 def html_records(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", F.arrays_zip(F.regexp_extract_all("html", F.lit(BLOCK_RE), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(BLOCK_RE), F.lit(2)).alias("raw")).alias("z"))
-    b = pages.select("page_id", F.posexplode("z").alias("pos", "x"))
-    text = F.replace(F.replace("x.raw", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    kind = F.when(F.col("x.tag") == "h1", "Title").when(F.col("x.tag") == "li", "List").otherwise("Text")
+    b = sections.html_blocks(table(spark, d, "pages"), "page_id", "html")
+    text = F.replace(F.replace("raw", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    kind = F.when(F.col("tag") == "h1", "Title").when(F.col("tag") == "li", "List").otherwise("Text")
     rows = records.with_text(b.select("page_id", "pos", kind.alias("block_type"), text.alias("text")))
     return sections.block_ids(rows, [], "page_id", ["pos"])
 

@@ -191,3 +191,13 @@ def test_dedup_keeps_the_most_precise(spark):
     out = {r["k"]: (r["ord"], r["n_copies"], r["n_values"]) for r in facts.most_precise(df, ["k"]).collect()}
     assert out == {"a": (2, 3, 2), "b": (4, 1, 1)}
     assert facts.conflicts(df, ["k"]).first()[0] == 1
+
+
+def test_html_blocks_are_all_found(spark):
+    from ledgerloom.plans.catalog import QUERIES
+
+    page = "<script>'<p>no</p>'</script><h1 class='a'>T</h1><!-- <p>no</p> --><ul><li><a href='/x'>one</a><ul><li>in</ul>more<li><p>two</p></ul><p><b>open<br>line<p id='q'>end</p>outside"
+    assert [(t, " ".join(x.split())) for t, x in sections.tag_blocks(page)] == [("h1", "T"), ("li", "one more"), ("li", "in"), ("li", ""), ("p", "two"), ("p", "open line"), ("p", "end")]
+    assert sections.tag_blocks(None) == []
+    got = {r["block_type"]: r["count"] for r in QUERIES["html_blocks"](spark, "/root/testdata/sf0.01").groupBy("block_type").count().collect()}
+    assert got == {"Title": 250, "List": 1413, "Text": 2358}
