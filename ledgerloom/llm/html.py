@@ -7,7 +7,8 @@
 3. Each page is read again and yields the text under the elements on its host's path. A page without that path uses its own best.
 
 Elements that are never part of an article (menus, page headers and footers, sidebars, notices, adverts, forms, comments, scripts)
-are left out by tag, role or class word in both passes.
+are left out by tag, role or class word in both passes. A class word leaves out no element that holds the page's article, or, where
+its name also says other things (`content has-sidebar`), most of the text.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; a null url is a host of its own; equal rows are extracted alike;
 an empty table gives an empty result; markup may be cut off or unbalanced anywhere.
@@ -40,6 +41,8 @@ NEVER_WORDS = set(
 )
 #: Outside an article only: a headline may stand in a header of its article.
 HEADER_WORDS = {"header", "topbar"}
+#: Say nothing of what an element holds.
+PLAIN_WORDS = set("area section list box wrap wrapper container block inner outer item items thread post page site title text bar".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -48,12 +51,24 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "out", "body", "path", "score", "article")
+    __slots__ = ("tag", "label", "parent", "out", "body", "path", "score", "article", "worded", "mixed")
 
     def __init__(self, tag: str, label: str, parent: Element | None, out: bool, article: bool):
         self.tag, self.label, self.parent, self.out, self.article = tag, label, parent, out, article
         self.path = f"{parent.path}/{label}" if parent else label
         self.score = 0.0
+        self.worded = self.mixed = False  # has a class word of what is left out; has other words too
+
+    def chain(self) -> Iterator[Element]:
+        up: Element | None = self
+        while up is not None:
+            yield up
+            up = up.parent
+
+    @property
+    def soft(self) -> bool:
+        """Left out by its class word alone."""
+        return self.worded and self.tag not in ("html", "body", "article", "main")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -63,20 +78,50 @@ def _attributes(text: str) -> dict[str, str]:
 def _open(tag: str, attrs: str, parent: Element | None) -> Element:
     out = parent is not None and parent.out
     article = tag in ("article", "main") or parent is not None and parent.article
-    label = tag
+    label, worded, mixed = tag, False, False
     if tag in NEVER or tag == "header" and not article:
         out = True
     if attrs.strip(" /"):
         a = _attributes(attrs)
         names = f"{a.get('class', '')} {a.get('id', '')}"
         found = {w.lower() for w in WORD.findall(names)}
-        if found & NEVER_WORDS and tag not in ("html", "body", "article", "main") or not article and found & HEADER_WORDS:
-            out = True
+        worded = bool(found & NEVER_WORDS or not article and found & HEADER_WORDS)
+        mixed = bool(found - NEVER_WORDS - HEADER_WORDS - PLAIN_WORDS)
         if a.get("role", "").lower() in NEVER_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
             out = True
         if a.get("class"):
             label = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in a["class"].split())])
-    return Element(tag, label, parent, out, article)
+    element = Element(tag, label, parent, out, article)
+    element.worded, element.mixed = worded, mixed
+    return element
+
+
+def _worth(element: Element, text: str, linked: int) -> float:
+    return max(0, len(text) - 2 * linked) * (1.0 if element.tag in PARAGRAPHS else 0.5)
+
+
+def _without_soft(found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """Blocks outside elements that a class word leaves out, unless these hold the page's article or most of its text."""
+    if not any(x.soft for element, _, _ in found for x in element.chain()):
+        return found
+    left = [f for f in found if not any(x.soft for x in f[0].chain())]
+    if not any(x.tag in ("article", "main") for element, _, _ in left for x in element.chain()):
+        weight: dict[Element, float] = {}
+        for f in found:
+            for x in f[0].chain():
+                weight[x] = weight.get(x, 0.0) + _worth(*f)
+        articles = [x for x in weight if x.tag in ("article", "main") and not x.worded]
+        if articles:
+            largest = max(weight[x] for x in articles)
+            best = [x for x in articles if weight[x] == largest]
+            best = [x for x in best if not any(y in best for y in x.chain() if y is not x)][:1]
+            back = set(best[0].chain())
+        else:
+            total = sum(_worth(*f) for f in found)
+            back = {x for x in weight if x.mixed and 2 * weight[x] > total}
+        for x in back:
+            x.worded = False
+    return [f for f in found if not any(x.soft for x in f[0].chain())]
 
 
 def blocks(source: str) -> list[tuple[Element, str, int]]:
@@ -151,18 +196,18 @@ def blocks(source: str) -> list[tuple[Element, str, int]]:
         else:
             if tag == "a":
                 in_link += 1
-            if m[3].strip(" /") and not m[3].rstrip().endswith("/") and _open(tag, m[3], None).out:
+            if m[3].strip(" /") and not m[3].rstrip().endswith("/") and ((inline := _open(tag, m[3], None)).out or inline.soft):
                 inline_out.append(tag)
     if not inline_out and at < len(source):
         text.append(source[at:])
     flush()
-    return found
+    return _without_soft(found)
 
 
 def best_container(found: list[tuple[Element, str, int]]) -> tuple[Element | None, float]:
     scored: dict[int, Element] = {}
     for element, text, linked in found:
-        worth = max(0, len(text) - 2 * linked) * (1.0 if element.tag in PARAGRAPHS else 0.5)
+        worth = _worth(element, text, linked)
         up, share = (element.parent if element.tag in PARAGRAPHS else element), 1.0
         while up is not None and up.parent is not None and share >= 0.5:
             if up.tag in CONTAINERS:
@@ -175,16 +220,18 @@ def best_container(found: list[tuple[Element, str, int]]) -> tuple[Element | Non
     best = max(scored.values(), key=lambda e: e.score, default=None)
     if best is None:
         return None, 0.0
-    score, above = best.score, []
-    up = best.parent
-    while up is not None:
-        above.append(up)
-        up = up.parent
-    # the headline may stand beside the container of the paragraphs: then the container of both is meant
+    score = best.score
+    # the headline or a lead may stand beside the container of the paragraphs: then their article is meant
+    best = next((x for x in best.chain() if x.tag in ("article", "main")), best)
+    above = [x for x in best.chain()][1:]
     for element, _, _ in found:
-        if element.tag == "h1" and element.parent in above and element.parent.tag in CONTAINERS - {"body"}:
-            best = element.parent
-            break
+        if element.tag == "h1":
+            if best in element.chain():
+                break
+            both = next((x for x in element.chain() if x in above), None)
+            if both is not None and (both is element.parent or both.article) and both.tag in CONTAINERS - {"body"}:
+                best = both
+                break
     return best, score
 
 

@@ -469,6 +469,22 @@ def test_html_cases(source, text):
     assert html.extract(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><header><h1>T</h1></header><div class='entry-content'><p>one and one</p><p>two</p></div></article>", "T\none and one\ntwo"),
+        ("<article><p>lead</p><div class='body'><p>one and one and one</p><p>two</p></div></article><div class='related'><article><p>other</p></article></div>", "lead\none and one and one\ntwo"),
+        ("<main><header><h1>T</h1></header><article><div><p>one and one</p></div></article></main>", "T\none and one"),
+        ("<div class='content has-sidebar'><article><h1>T</h1><p>text of it</p></article><div class='sidebar'><p>no no no</p></div></div>", "T\ntext of it"),
+        ("<section id='page-comments-on'><main><p>text</p></main></section><div class='comments'><p>long long long long</p></div>", "text"),
+        ("<div class='content has-sidebar'><p>most of the text of this page</p></div><div><p>bit</p></div>", "most of the text of this page"),
+        ("<div class='story'><p>short</p></div><div class='comments-area'><p>long long long long</p></div>", "short"),
+    ],
+)
+def test_html_takes_the_whole_article(source, text):
+    assert html.extract(source) == text
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose comments outweigh its article still yields the article, as its host's other pages vote."""
     body = "<div class='content-3'><p>{}</p></div><div class='thread'><p>{}</p></div>"
