@@ -201,3 +201,22 @@ def test_html_blocks_are_all_found(spark):
     assert sections.tag_blocks(None) == []
     got = {r["block_type"]: r["count"] for r in QUERIES["html_blocks"](spark, "/root/testdata/sf0.01").groupBy("block_type").count().collect()}
     assert got == {"Title": 250, "List": 1413, "Text": 2358}
+
+
+def test_cer_counts_the_whole_text(spark):
+    from ledgerloom.plans.catalog import QUERIES
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    d = "/root/testdata/sf0.01"
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    some = [*sorted(texts, key=lambda i: len(texts[i]))[-3:], *[i for i, t in texts.items() if not t.isascii()][:3]]
+    got = {r["item_id"]: r["cer"] for r in QUERIES["cer_pairs"](spark, d).collect()}
+    for i in some:
+        assert got[i] == pytest.approx(distance(texts[i], texts[i].replace("th", "t")) / len(texts[i]))
