@@ -91,7 +91,7 @@ SELECT f, status, count(*) AS n FROM (SELECT f, CASE WHEN abs(p - x) <= 0.5 THEN
  WHEN abs(abs(p) * 1e6 - abs(x)) <= 5e5 THEN 'scale_x1e6' WHEN abs(abs(p) - abs(x) * 1e6) <= 5e5 THEN 'scale_x1e-6' WHEN abs(abs(p) * 1e9 - abs(x)) <= 5e8 THEN 'scale_x1e9' WHEN abs(abs(p) - abs(x) * 1e9) <= 5e8 THEN 'scale_x1e-9' ELSE 'mismatch' END AS status FROM c) GROUP BY f, status"""
 )
 def recon_sign_scale(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_extendedprice").alias("x"), F.explode(F.array(*[F.lit(v) for v in (1.0, -1.0, 1e3, 1e6, 1e-3, 0.5)])).alias("f"))
+    lines = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("x"), F.explode(F.array(*[F.lit(v) for v in (1.0, -1.0, 1e3, 1e6, 1e-3, 0.5)])).alias("f"))
     return lines.withColumn("status", reconcile.status(F.col("x") * F.col("f"), "x", F.lit(0.5))).groupBy("f", "status").agg(F.count("*").alias("n"))
 
 
@@ -446,7 +446,7 @@ def union_replace_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH a AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS occurrence FROM lineitem WHERE l_linestatus = 'O' AND l_partkey <= 200), b AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS occurrence FROM lineitem WHERE l_linestatus = 'F' AND l_partkey <= 200) SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.occurrence, b.occurrence) AS occurrence, a.l_quantity AS left_value, b.l_quantity AS right_value FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.occurrence = b.occurrence")
 def full_outer_paths(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_partkey <= 200")
+    lines = table(spark, d, "lineitem")
     side = lambda s, name: facts.numbered(lines.where(F.col("l_linestatus") == s), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity"]).select("l_partkey", F.col("occurrence").cast("long").alias("occurrence"), F.col("l_quantity").alias(name))
     return side("O", "left_value").join(side("F", "right_value"), ["l_partkey", "occurrence"], "full_outer")
 
@@ -617,7 +617,7 @@ def cell_correctness(spark: SparkSession, d: str) -> DataFrame:
     a = o.where("o_orderkey % 20 = 0").withColumn("method", F.lit("a"))
     b = o.where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("value") + F.col("o_orderkey") % 3).alias("value"), F.lit("b").alias("method"))
     stray = o.where("o_orderkey % 30 = 0").select(F.lit(-1).cast("long").alias("o_orderkey"), "value", F.lit("b").alias("method"))
-    return explore.cell_correctness(o.where("o_orderkey % 10 = 0"), a.unionByName(b).unionByName(stray), ["o_orderkey"])
+    return explore.cell_correctness(o, a.unionByName(b).unionByName(stray), ["o_orderkey"])
 
 
 @query("WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_type) AS rn FROM p) WHERE rn = 1")

@@ -220,3 +220,17 @@ def test_cer_counts_the_whole_text(spark):
     got = {r["item_id"]: r["cer"] for r in QUERIES["cer_pairs"](spark, d).collect()}
     for i in some:
         assert got[i] == pytest.approx(distance(texts[i], texts[i].replace("th", "t")) / len(texts[i]))
+
+
+def test_queries_compare_all_rows(spark):
+    from collections import Counter
+
+    from ledgerloom.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_linestatus").collect()
+    sides = [Counter(r["l_partkey"] for r in lines if r["l_linestatus"] == s) for s in "OF"]
+    assert QUERIES["full_outer_paths"](spark, d).count() == sum(max(s[k] for s in sides) for k in {r["l_partkey"] for r in lines})
+    assert sum(r["n"] for r in QUERIES["recon_sign_scale"](spark, d).collect()) == 6 * len(lines)
+    orders = spark.read.parquet(f"{d}/orders.parquet").count()
+    assert {r["cells"] for r in QUERIES["cell_correctness"](spark, d).collect()} == {orders}
