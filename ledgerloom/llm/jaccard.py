@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected
-from ledgerloom.llm.text import LOWER, MULT2, mix, pieces, rolling, utf8, word_hashes, word_spans
+from ledgerloom.llm.text import LOWER, MULT2, body, mix, pieces, rolling, utf8, word_hashes, word_spans
 from ledgerloom.session import cut, fresh
 
 SHINGLE = 5
@@ -68,23 +68,23 @@ def set_ids(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def measure(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """A row per document: id, n, s1, s2; and rows of frequent tokens: token, count."""
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n long, s1 long, s2 long, token long, count long"
+    """A row per document: id, row (hash of the text), n, s1, s2; and rows of frequent tokens: token, count."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, row long, n long, s1 long, s2 long, token long, count long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            tokens, offsets = shingle_sets(batch.column(1))
+            tokens, offsets = shingle_sets(batch.column(2))
             s1, s2 = set_ids(tokens, offsets)
             values, counts = np.unique(tokens, return_counts=True)
             often = counts >= FREQUENT_IN_PIECE
             values, counts, n = values[often].view(np.int64), counts[often], batch.num_rows
             gone, none = pa.nulls(len(values), pa.int64()), pa.nulls(n, pa.int64())
             ids = pa.concat_arrays([batch.column(0), pa.nulls(len(values), batch.column(0).type)])
-            cols = [pa.concat_arrays([pa.array(x, pa.int64()), gone]) for x in (np.diff(offsets), s1, s2)]
+            cols = [pa.concat_arrays([pa.array(x, pa.int64()), gone]) for x in (batch.column(1).to_numpy(), np.diff(offsets), s1, s2)]
             cols += [pa.concat_arrays([none, pa.array(x, pa.int64())]) for x in (values, counts)]
-            yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "n", "s1", "s2", "token", "count"])
+            yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "row", "n", "s1", "s2", "token", "count"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(body(text)).alias("row"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def extra(n):
@@ -262,9 +262,9 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, n, s1, s2) per row of docs, and (s1, s2, rep, component_id) per class of equal sets."""
+    """(id, row, n, s1, s2) per row of docs, and (s1, s2, rep, root, component_id) per class of equal sets."""
     measured = cut(measure(docs, id_col, text), "sets")
-    rows = measured.where("n is not null").select("id", "n", "s1", "s2")
+    rows = measured.where("n is not null").select("id", "row", "n", "s1", "s2")
     top = measured.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     values, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(values)
@@ -305,23 +305,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     roots = connected(links.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b")))
     ends = links.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(links.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
     rooted = ends.withColumn("node", node).join(roots, "node").join(each, ["s1", "s2"]).select("s1", "s2", "root", "rep")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("s1", "s2", "component")
-    return rows, each.join(named, ["s1", "s2"], "left").select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("s1", "s2", "root", "component")
+    return rows, each.join(named, ["s1", "s2"], "left").select("s1", "s2", "rep", F.coalesce("root", node).alias("root"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id of each row of docs."""
     rows, each = classes(docs, id_col, text)
-    out = rows.join(each.drop("rep"), ["s1", "s2"], "left")
+    out = rows.join(each.drop("rep", "root"), ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the row of the smallest id; of several such rows, the first by text. A document without
-    words is a component of its own."""
-    found = components(docs, id_col, text)
-    stay, turn = fresh(docs, "_stay", "_turn")
-    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(stay)).distinct()
-    kept = docs.join(ids, docs[id_col].eqNullSafe(ids[stay]), "left_semi")
-    first = kept.withColumn(turn, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text))))
-    return first.where(F.col(turn) == 1).drop(turn)
+    """docs with one row of each component: the row of the smallest id that isn't null; of several such rows, the first by text. A
+    row without words is a component of its own."""
+    rows, each = classes(docs, id_col, text)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    of_class = rows.where("n > 0").groupBy("s1", "s2").agg(first)
+    of_root = of_class.join(each.select("s1", "s2", "root"), ["s1", "s2"]).groupBy("root").agg(F.min("first").alias("first"))
+    bare = rows.where("n = 0").select("id", "row").distinct()
+    stay, row, turn = fresh(docs, "_stay", "_row", "_turn")
+    # only rows that share id and text move again, to leave one of them; rows without words all stay
+    again = rows.where("n > 0").groupBy(F.col("id").alias(stay), F.col("row").alias(row)).count().where("count > 1").select(stay, row).withColumn(turn, F.lit(True))
+    first = of_root.select(F.col("first.id").alias("id"), F.col("first.row").alias("row"))
+    many = F.coalesce(F.col(turn), F.lit(False)).alias(turn)
+    chosen = first.join(again, first["id"].eqNullSafe(again[stay]) & (first["row"] == again[row]), "left").select(first["id"].alias(stay), first["row"].alias(row), many)
+    chosen = cut(chosen.unionByName(bare.select(F.col("id").alias(stay), F.col("row").alias(row), F.lit(False).alias(turn))), "chosen")
+    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen[stay]) & (F.xxhash64(body(docs[text])) == chosen[row]))
+    once = kept.where(~F.col(turn)).select(*docs.columns)
+    return once.unionByName(kept.where(F.col(turn)).dropDuplicates([stay, row]).select(*docs.columns))

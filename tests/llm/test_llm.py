@@ -327,6 +327,39 @@ def test_jaccard(docs, rows, empty, monkeypatch):
     assert jaccard.dedup(docs).columns == docs.columns
 
 
+def test_jaccard_dedup_keeps_a_row_of_each_component(docs, rows, spark):
+    """Null ids and repeated ids with unlike texts: a row per component, of its smallest id, and each row without words."""
+
+    def want(rows):
+        sets = []
+        for _, t in rows:
+            w = WORD.findall((t or "").translate(LOWER))
+            sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        root = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                x, y = sets[a], sets[b]
+                if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    root = [root[b] if r == root[a] else r for r in root]
+        out = collections.defaultdict(list)
+        for r, s, row in zip(root, sets, rows, strict=True):
+            out[r if s else object()].append(row)
+        return list(out.values())
+
+    def check(df, rows):
+        left = list(map(tuple, df.select("doc_id", "text").collect()))
+        assert len(left) == len(want(rows))
+        for group in want(rows):
+            least = min((i for i, _ in group if i is not None), default=None)
+            own = next(x for x in left if x[0] == least and x in group)
+            left.remove(own)
+
+    check(jaccard.dedup(docs), [(i, t) for i, t, _, _ in rows])
+    prose = lambda k: " ".join(f"{c}{k}" for c in "abcdefghij")
+    more = [(None, prose(k)) for k in range(9)] + [(None, prose(3)), (None, None), (None, ""), (7, prose(20)), (7, prose(21)), (7, prose(21).upper()), (3, prose(21)), (None, prose(20)), (5, " "), (5, " "), (None, "")]
+    check(jaccard.dedup(spark.createDataFrame(more, "doc_id long, text string").repartition(3)), more)
+
+
 def test_jaccard_near_the_threshold(spark, monkeypatch):
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(400)]
