@@ -1,7 +1,11 @@
 """Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Each step is an aggregate with map-side combine and an equi join, so a node with very many edges is combined before it is moved, and AQE
-may split its join. Rounds grow with the logarithm of the longest path. Edges are cut to the shared folder after each round.
+may split its join. Rounds grow with the logarithm of the longest path. Edges are cut to the shared folder after each round, and those of
+the round before are deleted.
+
+Defined cases: an empty table of edges has no nodes; loops and repeated edges count for nothing; a null end makes no edge; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut
+from ledgerloom.session import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +40,8 @@ def _is_forest(edges: DataFrame) -> bool:
 def connected(edges: DataFrame) -> DataFrame:
     """(a, b) of long ids -> (node, root) for each node with an edge to another node; root is one of the component's ids, the same for all.
     Edges that are stars already, as most callers' are, take no round."""
-    edges = cut(edges.where("a <> b").distinct(), "edges")
+    edges = cut(edges.select("a", "b").where("a <> b").distinct(), "edges")
     while not _is_forest(edges):
-        edges = cut(_star(_star(edges, True), False), "edges")
+        last, edges = edges, cut(_star(_star(edges, True), False), "edges")
+        drop(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

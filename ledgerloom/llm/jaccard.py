@@ -4,11 +4,15 @@ A document's set is its distinct word shingles (hashes). Documents with equal se
 at least 3/4 share several tokens among the first of each in any common order (see prefixes); sets with fewer shared prefix tokens
 are linked with nothing. Frequent tokens come last in the order, so a passage that many documents share counts little.
 
-The others are partitioned into tiles by their least shared token, which near copies have in common. The table of (token, tile) is the
-token-group matrix: the number of a set's prefix tokens that a tile has bounds what it shares with any member, and a set visits only tiles that
-reach its bound, besides its own. In a tile the same is done with groups of at most GROUP sets and all tokens: only groups whose bound
+The others are partitioned into tiles of bounded size and searched there: groups of at most GROUP sets store the union of their tokens,
+the table of (token, group) is the token-group matrix, which bounds what a query shares with any member of a group; only groups whose bound
 reaches 3/4 of the query are opened and counted member by member, and not those whose members are in the query's component already.
-Links of all tiles are joined by connected components.
+
+A set meets one tile at a time. Rounds deal the sets by another token each (near copies have nearly all in common; one too large for a
+tile is dealt anew by chance), and join what is linked to components. A prefix token that only one component or only one tile holds can make
+no new link, so it goes, and with it every set left with fewer tokens than a link needs: after a round or two nearly all have gone. For what is left after
+ROUNDS the matrix is applied to the tiles themselves: a set visits each tile that holds enough of its tokens in other components. So no
+link is lost, and the last step is small.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; with fewer than five words the whole sequence is
 the one token; equal rows are one class; rows of one doc_id with different texts are judged apart; a null doc_id takes part and
@@ -24,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import sketch
 from ledgerloom.llm.components import connected
-from ledgerloom.llm.text import LOWER, MULT2, body, mix, pieces, rolling, utf8, word_hashes, word_spans
-from ledgerloom.session import cut, fresh
+from ledgerloom.llm.text import LOWER, MULT2, body, bucket_of, mix, pieces, rolling, utf8, word_hashes, word_spans
+from ledgerloom.session import cut, drop, fresh
 
 SHINGLE = 5
 #: The order of tokens puts at most this many frequent ones last. It changes the work, never the result.
@@ -34,8 +39,13 @@ FREQUENT = 1 << 16
 FREQUENT_IN_PIECE = 8
 GROUP = 64
 TILE_TOKENS = 500_000
+#: Rounds in which a set meets one tile. The step after them finds what they leave: their number changes the work, never the result.
+ROUNDS = 3
 BUCKET_TOKENS = 1_500_000
 FLUSH = 1_000_000
+KNOWN = 65_536
+#: A set of 2 ** 64 tokens would be in band 154.
+BANDS = 255
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +68,15 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def set_ids(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set, as signed numbers."""
+    """Two hashes of each set, as signed 64-bit numbers. The low BAND_BITS of the first are the set's size band: sets whose bands differ
+    by more than one have sizes too unlike to be linked."""
     out = []
     sizes = np.diff(offsets)
+    band = np.floor(np.log(np.maximum(sizes, 1)) / (np.log(4 / 3) + 1e-9)).astype(np.uint64)
     for salt in (1, 2):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(salt * int(MULT2) % 2**64)))))
         out.append(mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes.astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+    return ((out[0].view(np.uint64) & ~np.uint64(BANDS)) | band).view(np.int64), out[1]
 
 
 def measure(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -115,37 +127,34 @@ def prefixes(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rank
 
 
 def repeated(tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, set) in order, and whether their token is in more than one set."""
-    order = np.lexsort((sets, tokens))
-    tokens, sets = tokens[order], sets[order]
+    """Distinct (token, set) by token and size band, and whether their token is in another set of their band or the next."""
+    band = sets & BANDS
+    order = np.lexsort((sets, band, tokens))
+    tokens, sets, band = tokens[order], sets[order], band[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
-    tokens, sets = tokens[new], sets[new]
+    tokens, sets, band = tokens[new], sets[new], band[new]
     many = np.zeros(len(tokens), bool)
-    same = tokens[1:] == tokens[:-1]
-    many[1:] |= same
-    many[:-1] |= same
+    near = (tokens[1:] == tokens[:-1]) & (band[1:] - band[:-1] <= 1)
+    many[1:] |= near
+    many[:-1] |= near
     return tokens, sets, many
 
 
 def shared_tokens(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
-    """(token, s1) of prefix tokens that several sets have. Tasks send packed numbers, a row per bucket: of a token that a task meets
-    in several sets one record goes to the token's bucket and all are sent on as known, spread over the buckets. So no bucket grows with
-    the number of sets that have a token. A bucket keeps 32 bits of a token: a rare collision adds work, no result."""
+    """(token, s1) of prefix tokens that several sets of like size have. Tasks send packed numbers, a row per bucket: of a token that a task
+    meets in several such sets one record for each size band goes to the token's bucket and all are sent on as known, spread over the buckets. So
+    no bucket grows with the number of sets that have a token. A bucket keeps 32 bits of a token: a rare collision adds work, no result."""
 
     def emit(tokens: list[np.ndarray], sets: list[np.ndarray], turn: int) -> pa.RecordBatch:
         t, s, many = repeated(np.concatenate(tokens), np.concatenate(sets))
         first = np.ones(len(t), bool)
-        first[1:] = t[1:] != t[:-1]
-        known_t, known_s, to = t[many], s[many], (np.arange(int(many.sum())) // 4096 + turn) % buckets
+        first[1:] = (t[1:] != t[:-1]) | (s[1:] & BANDS != s[:-1] & BANDS)
+        known_t, known_s = t[many], s[many]
         t, s = t[first], s[first]
-        # tokens are sorted, and buckets are ranges of them
-        edge = np.searchsorted(t, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-        rows = []
-        for i, (x, y) in enumerate(zip(np.split(t, edge), np.split(s, edge), strict=True)):
-            mine = to == i
-            if len(x) or mine.any():
-                rows.append((i, x.astype(np.uint32).tobytes(), y.tobytes(), known_t[mine].tobytes(), known_s[mine].tobytes()))
+        to = bucket_of(t, buckets)  # ascending, as t is
+        rows = [(int(to[x[0]]), t[x].astype(np.uint32).tobytes(), s[x].tobytes(), b"", b"") for x in np.split(np.arange(len(t)), np.flatnonzero(np.diff(to)) + 1) if len(x)]
+        rows += [((lo // KNOWN + turn) % buckets, b"", b"", known_t[lo : lo + KNOWN].tobytes(), known_s[lo : lo + KNOWN].tobytes()) for lo in range(0, len(known_t), KNOWN)]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "t", "s", "kt", "ks"])
 
@@ -170,9 +179,7 @@ def shared_tokens(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.nda
         high = np.uint64(rows.column("bucket")[0].as_py() << 32)
         # known tokens are named as their own bucket names them
         kt = joined("kt", np.uint64)
-        limit = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
-        bucket = np.searchsorted(limit, kt, "right")
-        named = (bucket.astype(np.uint64) << np.uint64(32)) | (kt & np.uint64(0xFFFFFFFF))
+        named = (bucket_of(kt, buckets).astype(np.uint64) << np.uint64(32)) | (kt & np.uint64(0xFFFFFFFF))
         token = np.concatenate([high | t[many].astype(np.uint64), named]).view(np.int64)
         return pa.table({"token": pa.array(token), "s1": pa.array(np.concatenate([s[many], joined("ks", np.int64)]))})
 
@@ -185,31 +192,50 @@ def least_shared() -> Column:
     return 1 + F.floor(3 * F.floor((3 * F.col("n") + 3) / 4) / 20)
 
 
-def tiled(shared: DataFrame, each: DataFrame) -> DataFrame:
-    """(s1, tiles): the tiles that each set which may have a link is searched in."""
-    sizes = each.groupBy("s1").agg(F.min("n").alias("n"))
-
-    def able(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("s1").count().join(sizes, "s1").where(F.col("count") >= least_shared()).select("s1")
-
-    rows = shared.join(able(shared), "s1", "left_semi").distinct()
-    rows = cut(rows.join(rows.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "shared-active")
-    sets = cut(rows.groupBy("s1").agg(F.count("*").alias("count"), F.min("token").alias("least")).join(sizes, "s1").where(F.col("count") >= least_shared()), "active")
+def active(sets: DataFrame) -> DataFrame:
+    """Of s1, s2, n, comp, tokens, tile: tokens that sets of several components and several tiles hold (sets of one tile have been compared), and
+    sets that have enough of them to be linked with another."""
+    rows = sets.select("s1", "s2", F.explode("tokens").alias("token"))
+    held = sets.select("comp", "tile", F.explode("tokens").alias("token")).groupBy("token")
+    spread = held.agg(*[f(x).alias(f"{f.__name__}_{x}") for x in ("comp", "tile") for f in (F.min, F.max)]).where("min_comp <> max_comp and min_tile <> max_tile").select("token")
+    left = rows.join(spread, "token", "left_semi").groupBy("s1", "s2").agg(F.collect_list("token").alias("tokens"))
+    return left.join(sets.drop("tokens", "tile"), ["s1", "s2"]).where(F.size("tokens") >= least_shared()).select("s1", "s2", "n", "comp", "tokens")
+
+
+def placed(sets: DataFrame, turn: int) -> DataFrame:
+    """sets with the tile of each: in turns by the least of its tokens, in an order of this turn, and by the token that most sets have. What is
+    too large for a tile is dealt to several."""
+    if turn % 2 == 0:
+        sets = sets.withColumn("least", F.array_min(F.transform("tokens", lambda t: F.xxhash64(F.lit(turn), t))))
+    else:
+        rows = sets.select("s1", "s2", F.explode("tokens").alias("token"))
+        most = rows.join(rows.groupBy("token").count(), "token").groupBy("s1", "s2").agg(F.max(F.struct("count", "token"))["token"].alias("least"))
+        sets = sets.join(most, ["s1", "s2"])
+    weight = sets.groupBy("least").agg(F.sum("n").alias("weight"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = F.ceil(F.col("weight") / TILE_TOKENS)
-    weight = sets.groupBy("least").agg(F.sum("n").alias("weight"))
-    tile = F.when(parts > 1, F.xxhash64("least", F.pmod(F.xxhash64("s1"), parts))).otherwise(F.pmod(F.xxhash64("least"), F.lit(total // TILE_TOKENS + 1)))
-    own = cut(sets.join(weight, "least").select("s1", "n", tile.alias("tile")), "tiles")
-    placed = rows.join(own, "s1")
-    matrix = placed.select("token", F.col("tile").alias("other")).distinct()
-    visits = placed.join(matrix, "token").where("tile <> other").groupBy("s1", "n", "other").count().where(F.col("count") >= least_shared())
-    return own.select("s1", "tile").unionByName(visits.select("s1", F.col("other").alias("tile"))).groupBy("s1").agg(F.collect_set("tile").alias("tiles"))
-
-
-def link(sets: list[np.ndarray]) -> np.ndarray:
-    """For sets of tokens (sorted, distinct): the number of the component of each. The token-group matrix search."""
+    part = F.xxhash64("least", F.pmod(F.xxhash64(F.lit(turn), "s1", "s2"), parts))
+    tile = F.when(parts > 1, part).otherwise(F.pmod("least", F.lit(total // TILE_TOKENS + 1)))
+    return sets.join(weight, "least").withColumn("tile", tile).drop("least", "weight")
+
+
+def visits(sets: DataFrame, turn: int) -> DataFrame:
+    """s1, s2, comp and tile of each set's own tile and of those that hold enough of its tokens in other components: the matrix over tiles,
+    with a row for each token, tile and size band."""
+    own = cut(placed(sets, turn), "tiles")
+    band = F.col("s1").bitwiseAND(F.lit(BANDS)).alias("band")
+    rows = own.select("s1", "s2", "n", "comp", "tile", band, F.explode("tokens").alias("token"))
+    matrix = rows.groupBy("token", F.col("tile").alias("other"), F.col("band").alias("near")).agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+    met = rows.join(matrix, "token").where("tile <> other and abs(band - near) <= 1 and (comp <> a or comp <> b)")
+    far = met.groupBy("s1", "s2", "n", "comp", "other").agg(F.count_distinct("token").alias("shared")).where(F.col("shared") >= least_shared())
+    return own.select("s1", "s2", "comp", "tile").unionByName(far.select("s1", "s2", "comp", F.col("other").alias("tile")))
+
+
+def link(sets: list[np.ndarray], label: np.ndarray | None = None) -> np.ndarray:
+    """For sets of tokens (sorted, distinct): the number of the component of each. The token-group matrix search. label: components
+    known so far, as numbers below the number of sets."""
     m = len(sets)
-    label = np.arange(m)
+    label = np.arange(m) if label is None else label.copy()
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     names, ids = np.unique(flat, return_inverse=True)
@@ -261,6 +287,46 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
+def token_sets(docs: DataFrame, id_col: str, text: str, sets: DataFrame) -> DataFrame:
+    """s1, s2, tokens of the sets, each from one document, whose key the sets have. Tasks know the documents by a sketch of the keys,
+    so no text is moved; what the sketch lets through besides finds no set in the join that follows."""
+    bits = sketch.bits_for(sets.count())
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)
+
+    maps = docs.sparkSession.sparkContext.broadcast(sketch.build(sets.select("key"), twice, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            hit = np.flatnonzero(sketch.repeated(maps.value, keys.view(np.uint64)))
+            hit = [i for i, k in zip(hit.tolist(), keys[hit].tolist(), strict=True) if not (k in seen or seen.add(k))]
+            for part in pieces(iter([batch.take(pa.array(hit, pa.int64()))]), "text"):
+                tokens, offsets = shingle_sets(part.column(1))
+                s1, s2 = set_ids(tokens, offsets)
+                blobs = [tokens[lo:hi].tobytes() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(blobs, pa.binary())], names=["s1", "s2", "tokens"])
+
+    return docs.select(F.xxhash64(F.lit(6), F.col(id_col), F.xxhash64(body(text))).alias("key"), F.col(text).alias("text")).mapInArrow(run, "s1 long, s2 long, tokens binary")
+
+
+def search(rows: pa.Table) -> pa.Table:
+    """Pairs of components that links between sets of a tile join."""
+    s1, s2, comp = (rows.column(c).to_numpy() for c in ("s1", "s2", "comp"))
+    order = np.lexsort((s2, s1))
+    first = np.ones(len(order), bool)
+    first[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+    own = order[first]  # a class that several equal rows stand for counts once
+    names, label = np.unique(comp[own], return_inverse=True)
+    blobs = rows.column("tokens")
+    found = link([np.frombuffer(blobs[i].as_py(), np.uint64) for i in own.tolist()], label)
+    moved = np.flatnonzero(found != label)
+    return pa.table({"a": pa.array(names[label[moved]], pa.int64()), "b": pa.array(names[found[moved]], pa.int64())}).group_by(["a", "b"]).aggregate([])
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, row, n, s1, s2) per row of docs, and (s1, s2, rep, root, component_id) per class of equal sets."""
     measured = cut(measure(docs, id_col, text), "sets")
@@ -271,40 +337,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, counts))] = np.arange(len(values))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    each = cut(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
-    shared = cut(shared_tokens(docs, text, values[order], rank[order], max(1, total * 2 // 5 // BUCKET_TOKENS + 1)), "shared")
-    active = each.join(tiled(shared, each), "s1").select("s1", "s2", "rep", "tiles")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    found = texts.join(active, texts["id"].eqNullSafe(active["rep"]))
-
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            tokens, offsets = shingle_sets(batch.column(0))
-            s1, s2 = set_ids(tokens, offsets)
-            ok = np.flatnonzero((s1 == batch.column(1).to_numpy()) & (s2 == batch.column(2).to_numpy()))
-            out = batch.take(pa.array(ok)).select(["s1", "s2", "tiles"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([tokens[offsets[i] : offsets[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["s1", "s2", "tiles", "tokens"])
-
-    members = found.select("text", "s1", "s2", "tiles").mapInArrow(tokenise, "s1 long, s2 long, tiles array<long>, tokens binary")
-    work = members.select("s1", "s2", "tokens", F.explode("tiles").alias("tile"))
-
-    def search(rows: pa.Table) -> pa.Table:
-        s1, s2 = (rows.column(c).to_numpy() for c in ("s1", "s2"))
-        order = np.lexsort((s2, s1))
-        first = np.ones(len(order), bool)
-        first[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-        own = order[first]  # a class that several equal rows stand for counts once
-        blobs = rows.column("tokens")
-        label = link([np.frombuffer(blobs[i].as_py(), np.uint64) for i in own.tolist()])
-        moved = label != np.arange(len(own))
-        a, b = own[moved], own[label[moved]]
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a1", s1[a]), ("a2", s2[a]), ("b1", s1[b]), ("b2", s2[b]))})
-
-    links = cut(work.groupBy("tile").applyInArrow(search, "a1 long, a2 long, b1 long, b2 long"), "links")
-    node = F.xxhash64("s1", "s2")
-    roots = connected(links.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b")))
-    ends = links.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(links.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
-    rooted = ends.withColumn("node", node).join(roots, "node").join(each, ["s1", "s2"]).select("s1", "s2", "root", "rep")
+    key, node = F.min(F.xxhash64(F.lit(6), "id", "row")).alias("key"), F.xxhash64("s1", "s2")
+    each = cut(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), key), "classes")
+    shared = shared_tokens(docs, text, values[order], rank[order], max(1, total * 2 // 5 // BUCKET_TOKENS + 1))
+    sets = shared.groupBy("s1").agg(F.collect_set("token").alias("tokens")).join(each, "s1").where(F.size("tokens") >= least_shared())
+    held = cut(sets.select("s1", "s2", "n", node.alias("comp"), "tokens"), "candidates")
+    members = cut(token_sets(docs, id_col, text, held.join(each.select("s1", "s2", "key"), ["s1", "s2"])), "members")
+    links, sets = None, None
+    for turn in range(ROUNDS + 1):
+        if sets is not None:
+            last, held = held, cut(active(sets), "active")
+            drop(last)
+        if not held.limit(1).count():
+            break
+        plan = placed(held, turn) if turn < ROUNDS else visits(held, turn)
+        found = cut(plan.select("s1", "s2", "comp", "tile").join(members, ["s1", "s2"]).groupBy("tile").applyInArrow(search, "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        if turn < ROUNDS:
+            moved = connected(found)
+            sets = plan.join(moved, plan["comp"] == moved["node"], "left").select("s1", "s2", "n", F.coalesce("root", "comp").alias("comp"), "tokens", "tile")
+    if links is None:
+        return rows, each.select("s1", "s2", "rep", node.alias("root"), F.col("rep").alias("component_id"))
+    roots = connected(links)
+    rooted = each.withColumn("node", node).join(roots, "node").select("s1", "s2", "root", "rep")
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("s1", "s2", "root", "component")
     return rows, each.join(named, ["s1", "s2"], "left").select("s1", "s2", "rep", F.coalesce("root", node).alias("root"), F.coalesce("component", "rep").alias("component_id"))
 

@@ -2,7 +2,7 @@
 
 1. Each window is represented by the least of its runs of GRAM words, which equal windows share at the same place. Tasks sketch the distinct
    places of those runs; merged, the count-min sketch overestimates how often each run, hence each window, occurs.
-2. Only windows estimated repeated are hashed (128 bits) and grouped exactly, by ranges of the hash. A task first groups its own, and sends one
+2. Only windows estimated repeated are hashed (128 bits, from two independent hashes of each word) and grouped exactly, by ranges of the hash. A task first groups its own, and sends one
    record for a window it met several times, so the records of a window number the tasks at most.
 3. Places found go back packed by part of the documents, and meet the texts there, which are moved once.
 
@@ -12,7 +12,7 @@ doc_id are separate texts; an empty table gives an empty result; extra columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import sketch
-from ledgerloom.llm.text import MULT, MULT2, body, pieces, rolling, same_document, utf8, word_hashes, word_spans
+from ledgerloom.llm.text import MULT, MULT2, body, bucket_of, pieces, rolling, same_document, utf8, word_hashes, word_spans
 
 WINDOW = 35
 #: About half a window: shorter runs repeat by chance.
@@ -32,8 +32,8 @@ PART_BYTES = 12_000_000
 FLUSH = 500_000
 
 
-def anchors(batch: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, word offsets, run hashes, start of each whole window, and the place of its least run."""
+def anchors(batch: pa.Array, window: int = WINDOW) -> tuple[Callable[[int], np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes (by salt), word offsets, run hashes, start of each whole window, and the place of its least run."""
     raw, offsets = utf8(batch)
     starts, ends, at = word_spans(raw, offsets)
     hashes = word_hashes(raw, starts, ends)
@@ -41,7 +41,7 @@ def anchors(batch: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     runs = rolling(hashes, gram)
     place = sketch.minimizers(runs, window - gram + 1)
     ok = np.flatnonzero(same_document(at, window))
-    return hashes, at, runs, ok, place[ok]
+    return lambda salt: word_hashes(raw, starts, ends, salt) if salt else hashes, at, runs, ok, place[ok]
 
 
 def with_key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -103,9 +103,10 @@ def repeated_places(rows: DataFrame, window: int, parts: int) -> DataFrame:
         first, known = np.flatnonzero(new), many[new]
         doc = np.where(known, -1, doc[first])
         # equal windows have equal least runs, so the buckets may be ranges of those
-        edge = np.searchsorted(anchor[first], (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-        for i, part in enumerate(np.split(np.arange(len(first)), edge)):
+        to = bucket_of(anchor[first], buckets)
+        for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(to)) + 1):
             if len(part):
+                i = int(to[part[0]])
                 own, local = np.unique(doc[part], return_inverse=True)
                 lead = int(len(own) and own[0] == -1)
                 at = first[part]
@@ -125,7 +126,7 @@ def repeated_places(rows: DataFrame, window: int, parts: int) -> DataFrame:
                 starts, place = starts[hit], place[hit]
             if len(starts):
                 doc = np.searchsorted(at, starts, "right") - 1
-                held.append((runs[place], rolling(hashes, window, MULT)[starts], rolling(hashes, window, MULT2)[starts], doc + docs, starts - at[doc]))
+                held.append((runs[place], rolling(hashes(0), window, MULT)[starts], rolling(hashes(1), window, MULT2)[starts], doc + docs, starts - at[doc]))
                 keys.append(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1))
                 docs += batch.num_rows
                 n += len(starts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,16 +121,27 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Random numbers by place in the word and byte, for two independent hashes; longer words are hashed by blake2b.
+SHORT = 32
+PLACE_BYTE = _rng.integers(0, 2**64, (2, SHORT * 256), dtype=np.uint64)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits of each word: the sum of a random number for each byte at each place (no power of a base, so words built of repeated
+    patterns don't meet). salt 1 is a hash independent of salt 0."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    base = np.concatenate(([0], np.cumsum(lengths)))
-    within = np.arange(base[-1]) - np.repeat(base[:-1], lengths)
-    at = within + np.repeat(starts, lengths)
-    vals = BYTE[raw[at]]
-    vals *= powers(MULT, int(lengths.max()))[within]
-    return mix(np.add.reduceat(vals, base[:-1]) + lengths.astype(np.uint64))
+    cut = np.minimum(lengths, SHORT)
+    base = np.concatenate(([0], np.cumsum(cut)))
+    within = np.arange(base[-1]) - np.repeat(base[:-1], cut)
+    at = within + np.repeat(starts, cut)
+    within <<= 8
+    within += raw[at]
+    out = mix(np.add.reduceat(PLACE_BYTE[salt][within], base[:-1]) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([salt])).digest(), "little")
+    return out
 
 
 def rolling(values: np.ndarray, k: int, mult: np.uint64 = MULT) -> np.ndarray:
@@ -149,6 +161,11 @@ def rolling(values: np.ndarray, k: int, mult: np.uint64 = MULT) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * powers(inverse, n - k + 1))
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of `buckets` equal ranges of 64 bits each hash lies in: ascending hashes have ascending buckets."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def same_document(offsets: np.ndarray, k: int) -> np.ndarray:
     """For each start of k consecutive items: do all lie in one document? offsets: item offsets by document."""
     n = int(offsets[-1])
