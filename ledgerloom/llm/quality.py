@@ -1,10 +1,12 @@
 """Operator 8, quality rules (DataFrame functions only).
 
-Weak supervision: each rule votes good (1), bad (-1) or abstains (0); expectation-maximisation over the counts of vote patterns
-estimates how far each rule can be trusted; a document is kept when its posterior probability of being good reaches one half.
+Weak supervision: each rule votes good (1), bad (-1) or abstains (0), and rules overlap; expectation-maximisation over the counts of vote
+patterns estimates, for good and for bad texts, how often each rule gives each answer, and the share of good texts; a document
+is kept when its posterior probability of being good reaches one half. So one bad vote of a rule that often errs doesn't reject a
+document, and one that no rule votes against is rejected if too many abstain that answer on nearly all good texts.
 
-The patterns number at most 3 ** len(RULES) at any input size, so the driver holds a bounded table. The posterior of
-independent voters is a logistic sum, so it goes back into the plan as literal weights: no join, no UDF.
+The patterns number at most 3 ** RULES at any input size, so the driver holds a bounded table. The posterior of rules that are independent
+given the truth is a logistic sum, so it goes back into the plan as literal weights: no join, no UDF.
 
 Defined cases: a null text has no words and fails the base test; an empty table gives an empty result; repeated rows are judged
 one by one; extra columns are passed through by `keep`, whatever their names.
@@ -12,8 +14,7 @@ one by one; extra columns are passed through by `keep`, whatever their names.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,17 @@ from ledgerloom.session import cut, fresh
 REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct", "n_stutters")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct", "n_bare", "n_ends")
+
+
+#: A word without a letter, and an end of a sentence.
+BARE_RE = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
+END_RE = r"[.!?](?![^\x20\x09-\x0D])"
+#: Answers of a rule, in the order of the model's tables.
+ANSWERS = (-1, 0, 1)
+#: What a rule is taken to answer on bad and on good texts before any text is seen, worth PRIOR_TEXTS texts of each kind.
+PRIOR = ((0.5, 0.2, 0.3), (0.1, 0.2, 0.7))
+PRIOR_TEXTS = 20.0
 
 
 def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -70,7 +81,8 @@ def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[
             names["n_lines"]: F.size(tmp["lines"]).cast("long"),
             names["n_letters"]: (F.char_length(text_col) - F.char_length(F.regexp_replace(text_col, r"\p{L}+", ""))).cast("long"),
             names["n_distinct"]: F.size(F.array_distinct(tmp["words"])).cast("long"),
-            names["n_stutters"]: F.size(F.filter(tmp["words"], lambda w, i: F.coalesce(w == F.get(F.col(tmp["words"]), i - 1), F.lit(False)))).cast("long"),
+            names["n_bare"]: F.regexp_count(text_col, F.lit(BARE_RE)).cast("long"),
+            names["n_ends"]: F.regexp_count(text_col, F.lit(END_RE)).cast("long"),
         }
     ).drop(*tmp.values()), names
 
@@ -80,62 +92,61 @@ def base_failed(n: dict[str, str]) -> Column:
 
 
 def votes(n: dict[str, str]) -> list[Column]:
-    """One column of 1, -1 or 0 per rule. All are ratios of counts, compared in whole numbers. A rule that looks for a defect
-    abstains where it finds none: a text without symbols may still be bad."""
+    """One column of 1, -1 or 0 per rule. All are ratios of counts, compared in whole numbers; between its two bounds a rule abstains."""
     c = {k: F.col(v) for k, v in n.items()}
 
-    def rule(bad: Column, good: Column | None = None) -> Column:
-        out = F.when(bad, -1)
-        return (out if good is None else out.when(good, 1)).otherwise(0)
+    def rule(bad: Column, good: Column) -> Column:
+        return F.when(bad, -1).when(good, 1).otherwise(0)
 
     return [
-        rule(10 * c["n_symbols"] > c["n_words"]),
-        rule(100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"]),
-        rule(10 * c["n_dup_lines"] > 4 * c["n_lines"]),
-        rule((2 * c["word_chars"] < 5 * c["n_words"]) | (c["word_chars"] > 12 * c["n_words"])),
-        rule(2 * c["n_letters"] < c["word_chars"], 100 * c["n_letters"] >= 92 * c["word_chars"]),
-        rule(10 * c["n_distinct"] < c["n_words"]),
-        rule(c["n_words"] < MIN_WORDS),
-        rule(4 * c["n_stutters"] > c["n_words"]),
+        rule(10 * c["n_symbols"] > c["n_words"], c["n_symbols"] == 0),
+        rule(100 * c["n_symbols"] > 3 * c["word_chars"], 200 * c["n_symbols"] < c["word_chars"]),
+        rule(10 * c["n_letters"] < 7 * c["word_chars"], 10 * c["n_letters"] >= 8 * c["word_chars"]),
+        rule(5 * c["n_bare"] > c["n_words"], 20 * c["n_bare"] <= c["n_words"]),
+        rule((c["word_chars"] < 3 * c["n_words"]) | (2 * c["word_chars"] > 15 * c["n_words"]), (2 * c["word_chars"] >= 7 * c["n_words"]) & (2 * c["word_chars"] <= 13 * c["n_words"])),
+        rule((100 * c["n_ends"] < c["n_words"]) | (10 * c["n_ends"] > 4 * c["n_words"]), (50 * c["n_ends"] >= c["n_words"]) & (10 * c["n_ends"] <= 3 * c["n_words"])),
+        rule(10 * c["n_dup_lines"] > 3 * c["n_lines"], c["n_dup_lines"] == 0),
+        rule(10 * c["n_repeat_words"] > c["n_words"], 50 * c["n_repeat_words"] <= c["n_words"]),
+        rule(10 * c["n_distinct"] < 3 * c["n_words"], 2 * c["n_distinct"] >= c["n_words"]),
+        rule(c["n_words"] < 2 * MIN_WORDS, c["n_words"] >= 5 * MIN_WORDS),
     ]
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.5, rounds: int = 100) -> tuple[float, list[float]]:
-    """From counts of vote patterns to (bias, weights): log odds of good = bias + sum of weight * vote.
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[tuple[float, ...]]]:
+    """From counts of vote patterns to (bias, weights): log odds of good = bias + for each rule the weight of its answer (in the order of
+    ANSWERS).
 
-    Voters are taken as independent given the truth; a rule is right with one probability whenever it votes. It starts at 0.8
-    for all and even odds. Rates are smoothed by one vote and kept at 0.5 at least, so no rule gets an infinite or a reversed
-    weight. The odds before any vote stay at `prior`: with free odds, a lone voter and the share of good texts explain each
-    other away, and all texts come out good. No patterns: no weights, everything is kept.
-    """
-    rules = len(patterns[0][0]) if patterns else 0
-    bias, weights = math.log(prior / (1 - prior)), [math.log(4.0)] * rules
+    Rules are taken as independent given the truth. A rule has a rate for each answer on good and on bad texts, and the share of good texts is
+    fitted too; PRIOR, worth a few texts, says which kind is called good and keeps all rates above 0. It starts from the balance of votes.
+    No patterns: no weights, everything is kept."""
+    if not patterns:
+        return 0.0, []
+    p, n = np.array([x for x, _ in patterns]), np.array([k for _, k in patterns], float)
+    answers = np.stack([p == a for a in ANSWERS], 2)  # pattern, rule, answer
+    good = 1 / (1 + np.exp(-p.sum(1)))
     for _ in range(rounds):
-        post = [1 / (1 + math.exp(-(bias + sum(w * v for v, w in zip(p, weights, strict=True))))) for p, _ in patterns]
-        new = []
-        for j in range(rules):
-            voted = sum(n for p, n in patterns if p[j])
-            right = sum(n * (q if p[j] > 0 else 1 - q) for (p, n), q in zip(patterns, post, strict=True) if p[j])
-            rate = max(0.5, (right + 0.8) / (voted + 1))
-            new.append(math.log(rate / (1 - rate)))
-        moved = max((abs(a - b) for a, b in zip(new, weights, strict=True)), default=0.0)
-        weights = new
-        if moved < 1e-9:
+        kinds = np.stack([(1 - good) * n, good * n])
+        share = (kinds.sum(1) + PRIOR_TEXTS) / (n.sum() + 2 * PRIOR_TEXTS)
+        rates = np.einsum("kp,pja->kja", kinds, answers) + PRIOR_TEXTS * np.array(PRIOR)[:, None, :]
+        rates /= rates.sum(2, keepdims=True)
+        weights, bias = np.log(rates[1] / rates[0]), float(np.log(share[1] / share[0]))
+        last, good = good, 1 / (1 + np.exp(-np.clip(bias + (answers * weights).sum((1, 2)), -700, 700)))
+        if np.abs(good - last).max() < 1e-9:
             break
-    return bias, weights
+    return bias, [tuple(map(float, w)) for w in weights]
 
 
-def fit(measured: DataFrame, names: dict[str, str]) -> tuple[float, list[float]]:
+def fit(measured: DataFrame, names: dict[str, str]) -> tuple[float, list[tuple[float, ...]]]:
     cols = votes(names)
     rows = measured.groupBy(*[v.alias(f"v{j}") for j, v in enumerate(cols)]).count().collect()  # at most 3 ** len(cols) rows
     return expectation_maximisation(sorted((tuple(r[:-1]), r[-1]) for r in rows))
 
 
-def posterior(names: dict[str, str], model: tuple[float, list[float]]) -> Column:
+def posterior(names: dict[str, str], model: tuple[float, list[tuple[float, ...]]]) -> Column:
     bias, weights = model
     odds = F.lit(bias)
-    for v, weight in zip(votes(names), weights, strict=False):
-        odds = odds + v * F.lit(weight)
+    for vote, (bad, none, good) in zip(votes(names), weights, strict=False):
+        odds = odds + F.when(vote < 0, bad).when(vote > 0, good).otherwise(none)
     return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds))))
 
 
@@ -151,8 +162,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs. Texts are measured once; the measured table is reread."""
+    """The rows of docs that are kept, with the columns of docs. Texts are measured once to fit and once to filter, which costs less than
+    to write them all, or to join their measures to them."""
     df, names = with_features(docs, text)
-    measured = cut(df, "quality-docs")
-    model = fit(measured, names)
-    return measured.where(~base_failed(names) & (posterior(names, model) >= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = fit(df, names)
+    (once,) = fresh(df, "_once")
+    # a filter isn't pushed below a column that isn't deterministic, where it would measure the text anew for each use of a measure
+    df = df.withColumn(once, F.spark_partition_id())
+    return df.where((F.col(once) >= 0) & ~base_failed(names) & (posterior(names, model) >= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])
