@@ -290,13 +290,7 @@ def link(sets: list[np.ndarray], label: np.ndarray | None = None) -> np.ndarray:
 def token_sets(docs: DataFrame, id_col: str, text: str, sets: DataFrame) -> DataFrame:
     """s1, s2, tokens of the sets, each from one document, whose key the sets have. Tasks know the documents by a sketch of the keys,
     so no text is moved; what the sketch lets through besides finds no set in the join that follows."""
-    bits = sketch.bits_for(sets.count())
-
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            yield np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)
-
-    maps = docs.sparkSession.sparkContext.broadcast(sketch.build(sets.select("key"), twice, bits))
+    maps = docs.sparkSession.sparkContext.broadcast(sketch.of_keys(sets.select("key"), sets.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -378,14 +372,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     of_class = rows.where("n > 0").groupBy("s1", "s2").agg(first)
     of_root = of_class.join(each.select("s1", "s2", "root"), ["s1", "s2"]).groupBy("root").agg(F.min("first").alias("first"))
-    bare = rows.where("n = 0").select("id", "row").distinct()
-    stay, row, turn = fresh(docs, "_stay", "_row", "_turn")
-    # only rows that share id and text move again, to leave one of them; rows without words all stay
-    again = rows.where("n > 0").groupBy(F.col("id").alias(stay), F.col("row").alias(row)).count().where("count > 1").select(stay, row).withColumn(turn, F.lit(True))
-    first = of_root.select(F.col("first.id").alias("id"), F.col("first.row").alias("row"))
-    many = F.coalesce(F.col(turn), F.lit(False)).alias(turn)
-    chosen = first.join(again, first["id"].eqNullSafe(again[stay]) & (first["row"] == again[row]), "left").select(first["id"].alias(stay), first["row"].alias(row), many)
-    chosen = cut(chosen.unionByName(bare.select(F.col("id").alias(stay), F.col("row").alias(row), F.lit(False).alias(turn))), "chosen")
-    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen[stay]) & (F.xxhash64(body(docs[text])) == chosen[row]))
-    once = kept.where(~F.col(turn)).select(*docs.columns)
-    return once.unionByName(kept.where(F.col(turn)).dropDuplicates([stay, row]).select(*docs.columns))
+    chosen = of_root.select(F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    stay, row, left = fresh(docs, "_id", "_row", "_stays")
+    own = rows.where("n > 0").groupBy("id", "row").count()
+    own = own.join(chosen.select(F.col("id").alias(stay), F.col("row").alias(row), "stays"), own["id"].eqNullSafe(F.col(stay)) & (own["row"] == F.col(row)), "left")
+    # most rows stay and have no equals: only the others, and those without words never, are moved to be joined with what becomes of them
+    doubt = cut(own.where("stays is null or count > 1").select(F.col("id").alias(stay), F.col("row").alias(row), F.coalesce("stays", F.lit(False)).alias(left)), "doubt")
+    key = lambda i, r: F.xxhash64(F.lit(6), i, r)
+    text_hash = F.xxhash64(body(docs[text]))
+    may = sketch.among(doubt.select(key(F.col(stay), F.col(row))), key(docs[id_col], text_hash))
+    met = docs.where(may).join(doubt, docs[id_col].eqNullSafe(doubt[stay]) & (F.xxhash64(body(docs[text])) == doubt[row]), "left")
+    once = met.where(F.col(left)).dropDuplicates([stay, row])
+    return docs.where(~may).unionByName(met.where(F.col(left).isNull()).select(*docs.columns)).unionByName(once.select(*docs.columns))

@@ -49,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.kept(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import mix
 
@@ -86,6 +88,29 @@ def repeated(bitmaps: list[np.ndarray], items: np.ndarray) -> np.ndarray:
     return out
 
 
+def of_keys(keys: DataFrame, n: int) -> list[np.ndarray]:
+    """Bitmaps of a column of about n distinct long keys."""
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield np.repeat(np.unique(batch.column(0).to_numpy()).view(np.uint64), 2)
+
+    return build(keys, twice, bits_for(n))
+
+
+def among(keys: DataFrame, key: str | Column) -> Column:
+    """May the key be among the keys (one long column)? Never False for one that is. Rows that it rules out need no join with the keys' table,
+    so are not moved; what it lets through besides, the join takes out."""
+    spark = keys.sparkSession
+    maps = spark.sparkContext.broadcast(of_keys(keys, keys.count()))
+
+    @F.pandas_udf("boolean")
+    def may(column: pd.Series) -> pd.Series:
+        return pd.Series(repeated(maps.value, column.to_numpy().view(np.uint64)))
+
+    return may(key)
+
+
 _LOW = np.uint64((1 << 22) - 1)
 
 

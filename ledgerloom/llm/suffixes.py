@@ -1,13 +1,14 @@
-"""Operator 9, suffix-array dedup: bytes covered by a string of 400 bytes that occurs more than once.
+"""Operator 9, suffix-array dedup: bytes covered by a string of 400 bytes that occurs more than once are removed; those covered by a
+repeated string of REPORT bytes, shorter passages that are too short to remove, are counted besides (n_repeated).
 
-1. Each string of 400 bytes is represented by the least of its runs of GRAM bytes; a count-min sketch (see sketch.py) of the distinct places of those
+1. Each string of REPORT bytes is represented by the least of its runs of GRAM bytes; a count-min sketch (see sketch.py) of the distinct places of those
    runs overestimates how often each occurs. Neighbouring strings that may be repeated make a segment of their text.
 2. Equal segments are one: if there are several, all of it is repeated. Segments that share runs, over any chain, form components, and only
    segments of one component can share a string. Components are dealt to shards; one above SHARD_BYTES is cut into tiles.
 3. A shard's suffix array is refined by prefix doubling of the groups not yet sorted (Larsson and Sadakane), in numpy; common prefixes follow by Kasai's
-   algorithm, run in lanes. Strings with a common prefix of 400 bytes are repeated. Two tiles of a component are merged by binary search of one's
-   suffixes in the other's array.
-4. Repeated places go back to all texts that hold the segment, and are joined with the texts, which are moved once.
+   algorithm, run in lanes. Strings with a common prefix of 400 (or REPORT) bytes are repeated. Two tiles of a component are merged by binary
+   search of one's suffixes in the other's array.
+4. Runs of repeated places go back to all texts that hold the segment, and are joined with those texts; the others aren't moved.
 
 Defined cases: null and empty texts have no bytes; texts under 400 bytes lose nothing; equal rows repeat each other; rows of one doc_id are
 separate texts; an empty table gives an empty result; extra columns are not looked at.
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import sketch
 from ledgerloom.llm.components import connected
-from ledgerloom.llm.substrings import covered, with_key
+from ledgerloom.llm.substrings import with_key
 from ledgerloom.llm.text import BYTE, pieces, rolling, same_document, utf8
 from ledgerloom.session import cut
 
 WINDOW = 400
-#: Half a window: shorter runs (a licence line) would tie together texts that share no whole window.
-GRAM = 200
+#: Some 50 words in a language of short ones.
+REPORT = 256
+#: Half of that: shorter runs (a licence line) would tie together texts that share no whole string.
+GRAM = 128
 SHARD_BYTES = 3_000_000
 
 
@@ -128,14 +131,16 @@ def kasai(text: np.ndarray, order: np.ndarray, most: int, lane: int = 64) -> np.
     return prefix[order]
 
 
-def repeated_in(text: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which valid places start a string that another valid place starts too; and the suffix array of the text."""
-    order = suffix_array(text, window)
-    common = kasai(text, order, window)
-    group = np.cumsum(common < window)
-    counts = np.bincount(group[valid[order]], minlength=int(group[-1]) + 1 if len(group) else 0)
-    out = np.zeros(len(text), bool)
-    out[order] = valid[order] & (counts[group] >= 2)
+def repeated_in(text: np.ndarray, valid: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """For each length of strings, which of its valid places start one that another valid place starts too; and the suffix array of the text."""
+    order = suffix_array(text, max(valid))
+    common = kasai(text, order, max(valid))
+    out = {}
+    for window, ok in valid.items():
+        group = np.cumsum(common < window)
+        counts = np.bincount(group[ok[order]], minlength=int(group[-1]) + 1 if len(group) else 0)
+        out[window] = np.zeros(len(text), bool)
+        out[window][order] = ok[order] & (counts[group] >= 2)
     return out, order
 
 
@@ -228,45 +233,59 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.concatenate(values))], names=["seg", "run"])
 
 
-def search(window: int):
+def runs_of(places: np.ndarray) -> np.ndarray:
+    """Ascending places as (first, number) of each run."""
+    begin = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    return np.stack([places[begin], np.diff(np.append(begin, len(places)))], 1).astype(np.uint32)
+
+
+def search(windows: tuple[int, ...]):
     def run(rows: pa.Table) -> pa.Table:
-        """Repeated places of the segments of a shard. Where its rows are of several tiles, each tile has its own array."""
+        """Runs of repeated places of the segments of a shard, for each length of strings. Where its rows are of several tiles, each tile has its
+        own array."""
         # rows that are equal hold equal segments at one place: they count once
         name = np.stack([rows.column(c).to_numpy() for c in ("tile", "s1", "s2")], 1)
         rows = rows.take(pa.array(np.sort(np.unique(name, axis=0, return_index=True)[1])))
         tiles = rows.column("tile").to_numpy()
-        out: list[list[bytes]] = [[] for _ in range(rows.num_rows)]
+        out: list[list[bytes]] = [[b""] * rows.num_rows for _ in windows]
         done = []
         for tile in np.unique(tiles).tolist():
             own = np.flatnonzero(tiles == tile)
             data = [np.frombuffer(rows.column("data")[i].as_py(), np.uint8) for i in own.tolist()]
-            sizes = np.array([len(d) for d in data])
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(np.array([len(d) for d in data]))
             text = np.concatenate(data)
-            valid = np.ones(len(text), bool)
-            tail = np.arange(window - 1)
-            valid[(ends[:, None] - 1 - tail).ravel()] = False
-            hit, order = repeated_in(text, valid, window)
+            where = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(text))  # bytes from each place to the end of its segment
+            valid = {w: where >= w for w in windows}
+            hit, order = repeated_in(text, valid)
             for other in done:
-                a, b = merge(other[0], other[1], other[2], text, np.flatnonzero(valid), window)
-                other[3][a] = True
-                hit[b] = True
+                for w in windows:
+                    a, b = merge(other[0], other[1], other[2][w], text, np.flatnonzero(valid[w]), w)
+                    other[3][w][a] = True
+                    hit[w][b] = True
             done.append((text, order, valid, hit, own, ends))
         for _, _, _, hit, own, ends in done:
-            places = np.flatnonzero(hit)
-            where = np.searchsorted(ends, places, "right")
-            for k in np.unique(where).tolist():
-                begin = int(ends[k - 1]) if k else 0
-                out[own[k]].append((places[where == k] - begin).astype(np.uint32).tobytes())
-        took = [i for i, x in enumerate(out) if x]
-        return pa.table({"s1": rows.column("s1").take(pa.array(took, pa.int64())), "s2": rows.column("s2").take(pa.array(took, pa.int64())), "places": pa.array([b"".join(out[i]) for i in took], pa.binary())})
+            for k, w in enumerate(windows):
+                places = np.flatnonzero(hit[w])
+                for i, part in zip(own.tolist(), np.split(places, np.searchsorted(places, ends[:-1])), strict=True):
+                    if len(part):
+                        out[k][i] = runs_of(part).tobytes()
+            for i, begin in zip(own.tolist(), [0, *ends[:-1].tolist()], strict=True):
+                for k in range(len(windows)):
+                    if out[k][i]:
+                        moved = np.frombuffer(out[k][i], np.uint32).reshape(-1, 2).copy()
+                        moved[:, 0] -= begin
+                        out[k][i] = moved.tobytes()
+        took = [i for i in range(rows.num_rows) if any(x[i] for x in out)]
+        at = pa.array(took, pa.int64())
+        return pa.table({"s1": rows.column("s1").take(at), "s2": rows.column("s2").take(at), **{f"w{k}": pa.array([x[i] for i in took], pa.binary()) for k, x in enumerate(out)}})
 
     return run
 
 
-def repeated_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, row, start, length, places: of each segment, where it lies and the starts in it of repeated strings; places is null for all of it."""
-    held = cut(segments(rows, window), "segments")
+def repeated_places(rows: DataFrame, windows: tuple[int, ...] = (WINDOW, REPORT)) -> DataFrame:
+    """key, row, start, length, w0, w1: of each segment, where it lies and the runs of starts of repeated strings of each length in it; null for
+    all of it."""
+    held = cut(segments(rows, min(windows)), "segments")
     where = held.select("s1", "s2", "key", "row", "start", F.length("data").alias("length"))
     kinds = held.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "start")).alias("at"), F.first(F.length("data")).alias("length"))
     kinds = cut(kinds.select("s1", "s2", "n", "length", F.xxhash64("s1", "s2").alias("seg"), F.col("at.key").alias("key"), F.col("at.row").alias("row"), F.col("at.start").alias("start")), "segment-kinds")
@@ -285,37 +304,47 @@ def repeated_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     # of each kind of segment, one is searched
     plan = plan.select("s1", "s2", "key", "row", "start", shard.alias("shard"), F.when(F.col("tiles") == 1, 0).otherwise(F.col("tile")).cast("long").alias("tile"))
     work = held.select("s1", "s2", "key", "row", "start", "data").join(plan, ["s1", "s2", "key", "row", "start"]).select("s1", "s2", "data", "shard", "tile")
-    found = work.groupBy("shard").applyInArrow(search(window), "s1 long, s2 long, places binary")
-    several = kinds.where("n > 1").select("s1", "s2", F.lit(None).cast("binary").alias("places"))
-    return where.join(several.unionByName(found), ["s1", "s2"]).select("key", "row", "start", "length", "places")
-
-
-def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (bytes that stay) of each row of docs."""
+    names = [f"w{k}" for k in range(len(windows))]
+    found = work.groupBy("shard").applyInArrow(search(windows), ", ".join(["s1 long, s2 long", *(f"{n} binary" for n in names)]))
+    # a segment that is met in several shards has runs from each
+    several = kinds.where("n > 1").select("s1", "s2", *[F.lit(None).cast("binary").alias(n) for n in names])
+    return where.join(several.unionByName(found), ["s1", "s2"]).select("key", "row", "start", "length", *names)
+
+
+def gone(length: int, found: list[dict], name: str, window: int) -> np.ndarray:
+    """Which of `length` bytes the strings that the runs start cover."""
+    marks = np.zeros(length + 1, np.int32)
+    for f in found:
+        runs = np.array([[0, f["length"] - window + 1]]) if f[name] is None else np.frombuffer(f[name], np.uint32).reshape(-1, 2).astype(np.int64)
+        runs = runs[runs[:, 1] > 0]
+        np.add.at(marks, f["start"] + runs[:, 0], 1)
+        np.add.at(marks, f["start"] + runs[:, 0] + runs[:, 1] + window - 1, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, report: int = REPORT) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, n_repeated, kept (bytes that stay) of each row of docs."""
     rows = with_key(docs, id_col, text)
-    found = repeated_places(rows, window).groupBy("key", "row").agg(F.collect_list(F.struct("start", "length", "places")).alias("found"))
+    places = cut(repeated_places(rows, (window, report)), "places")
+    found = places.groupBy("key", "row").agg(F.collect_list(F.struct("start", "length", "w0", "w1")).alias("found"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             raw, offsets = utf8(batch.column(1))
-            n_removed, n_spans, texts = [], [], []
+            n_removed, n_spans, n_repeated, texts = [], [], [], []
             for lo, hi, found in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist(), strict=True):
-                own = raw[lo:hi]
+                own, off, near = raw[lo:hi], np.zeros(hi - lo, bool), 0
                 if found:
-                    places = []
-                    for f in found:
-                        at = np.arange(f["length"] - window + 1) if f["places"] is None else np.frombuffer(f["places"], np.uint32)
-                        places.append((at + f["start"]).astype(np.uint32))
-                    gone = covered(hi - lo, [np.unique(np.concatenate(places)).tobytes()], window)
-                    n_removed.append(int(gone.sum()))
-                    n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    own = own[~gone]
-                else:
-                    n_removed.append(0)
-                    n_spans.append(0)
-                texts.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(texts, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = rows.join(found, ["key", "row"], "left").select("id", "text", "found")
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+                    off, near = gone(hi - lo, found, "w0", window), int(gone(hi - lo, found, "w1", report).sum())
+                n_removed.append(int(off.sum()))
+                n_spans.append(int(off[:1].sum()) + int((off[1:] & ~off[:-1]).sum()))
+                n_repeated.append(near)
+                texts.append((own[~off] if n_removed[-1] else own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *(pa.array(x, pa.int64()) for x in (n_removed, n_spans, n_repeated)), pa.array(texts, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
+
+    # texts without repeated strings are known by a sketch of the others' keys and not moved
+    may = sketch.among(places.select("key").distinct(), "key")
+    none = F.lit(None).cast(found.schema["found"].dataType).alias("found")
+    joined = rows.where(may).join(found, ["key", "row"], "left").select("id", "text", "found").unionByName(rows.where(~may).select("id", "text", none))
+    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary").withColumnRenamed("id", id_col)

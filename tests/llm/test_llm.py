@@ -246,6 +246,25 @@ def brute_cover(items, window):
     return out
 
 
+def thue_morse(n):
+    """Two unlike words of 2 ** n letters that have equal hashes in any polynomial modulo 2 ** 64."""
+    bits = "a"
+    for _ in range(n):
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    return bits, bits.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_are_told_apart(spark):
+    """In word dedup, the Jaccard join and word counts."""
+    a, b = thue_morse(10)
+    body = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*body[:30], a, *body[30:]])), (2, " ".join([*body[:30], b, *body[30:]])), (3, a), (4, b), (6, " ".join(body[:34]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(substrings.kept(df), "doc_id", "n_removed") == collections.Counter((i, 0) for i, _ in rows)
+    assert bag(jaccard.components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert {r["doc_id"]: r["n_known"] for r in ppm.scores(df).collect()}[4] == 1 + (zlib.crc32(b"4") % 5 != 1)
+
+
 def test_substring_dedup(docs, rows, empty):
     items = [(t or "").encode().split() for _, t, _, _ in rows]
     want = collections.Counter()
@@ -257,18 +276,24 @@ def test_substring_dedup(docs, rows, empty):
 
 
 def test_suffix_dedup(docs, rows, empty, monkeypatch):
-    short = [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t, _, _ in rows]
+    passage = "a passage of less than four hundred bytes that two texts share " * 5
+    short = [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t, _, _ in rows] + [(900, "one " + passage + "end of it"), (901, passage + "and another end")]
     items = [(t or "").encode() for _, t in short]
-    count = collections.Counter(x[j : j + 400] for x in items for j in range(len(x) - 399))
     want = collections.Counter()
-    for (i, _), x in zip(short, items, strict=True):
-        gone = bytearray(len(x))
-        for j in range(len(x) - 399):
-            if count[x[j : j + 400]] > 1:
-                gone[j : j + 400] = b"\1" * 400
-        want[i, len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(a for a, b in zip(x, gone, strict=True) if not b))] += 1
+    marks = {}
+    for w in (256, 400):
+        count = collections.Counter(x[j : j + w] for x in items for j in range(len(x) - w + 1))
+        for k, x in enumerate(items):
+            gone = marks[w, k] = bytearray(len(x))
+            for j in range(len(x) - w + 1):
+                if count[x[j : j + w]] > 1:
+                    gone[j : j + w] = b"\1" * w
+    for k, ((i, _), x) in enumerate(zip(short, items, strict=True)):
+        gone = marks[400, k]
+        want[i, len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))), sum(marks[256, k]), sha(bytes(a for a, b in zip(x, gone, strict=True) if not b))] += 1
+    assert any(r[4] > r[2] for r in want)
     df = docs.sparkSession.createDataFrame(short, "doc_id long, text string").repartition(3)
-    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", F.sha2("kept", 256))
     assert bag(suffixes.kept(df), *cols) == want
     monkeypatch.setattr(suffixes, "SHARD_BYTES", 600)  # tiles, merged by binary search
     assert bag(suffixes.kept(df), *cols) == want
