@@ -18,7 +18,7 @@ SAFE_NAME = r"^(?!\.{1,2}$)[^/\\]+$"
 
 def submissions(spark: SparkSession, path: str) -> DataFrame:
     """path, text of each submission file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def headers(subs: DataFrame) -> DataFrame:
