@@ -239,9 +239,9 @@ def to_long(pages: DataFrame, keys: list[str], grid: str = "grid", page_text: st
 
     at = lambda name: F.col(f"_{name}")
     df = pages.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(grid).alias("_grid"), F.coalesce(F.col(page_text), F.lit("")).alias("_text"), *([F.col(words).alias("_words")] if words else []))
-    df = df.withColumn("_rows", row_parts("_grid")).withColumn("_n", modal_width(data_rows("_rows"))).where("_n > 0")
+    df = df.withColumn("_rows", row_parts("_grid")).withColumn("_n", modal_width(data_rows("_rows")))
     first = F.array_position(F.transform("_rows", lambda r: (F.size(r["numbers"]) >= 2) & ~is_year_row(r["labels"], r["numbers"])), F.lit(True)).cast("int")
-    above = F.filter(F.flatten(F.slice(at("grid"), F.lit(1), first - 1)), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+    above = F.filter(F.flatten(F.slice(at("grid"), F.lit(1), F.greatest(first - 1, F.lit(0)))), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
     table, share = page_scale("_text")
     df = df.withColumns({"_fallback": column_labels(above, at("n")), "_scale": table, "_share": share, "_lines": text_lines("_text")})
     df = df.withColumns({"_heads": header_blocks("_lines", at("n")), "_match": matched("_rows", "_lines", at("n"))})
@@ -251,9 +251,10 @@ def to_long(pages: DataFrame, keys: list[str], grid: str = "grid", page_text: st
         of_block = lambda b: F.filter(F.transform(F.filter("_match.met", lambda m: F.get(at("heads"), m["at"])["block"] == b), lambda m: F.get(at("place"), m["at"])), lambda p: p.isNotNull())
         blocks = F.array_distinct(F.transform("_match.met", lambda m: F.get(at("heads"), m["at"])["block"]))
         df = df.withColumn("_units", F.map_from_entries(F.transform(blocks, lambda b: F.struct(b, column_units("_word_rows", of_block(b), at("n"), at("share"))))))
-    df = df.withColumn("_skipped", F.col("_match.skipped") + F.col("_labelled.bare"))
+    # the filter that Spark infers from the explode isn't pushed below a column that isn't deterministic, where it would repeat all of the above
+    df = df.withColumn("_once", F.spark_partition_id()).withColumn("_skipped", F.col("_match.skipped") + F.col("_labelled.bare"))
     ks = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*ks, "_text", "_n", "_scale", "_share", "_fallback", "_skipped", *(["_units"] if words else []), F.posexplode("_labelled.rows").alias("row_no", "_row"))
+    rows = df.select(*ks, "_text", "_n", "_scale", "_share", "_fallback", (F.col("_skipped") + F.least("_once", F.lit(0))).alias("_skipped"), *(["_units"] if words else []), F.posexplode("_labelled.rows").alias("row_no", "_row"))
     cells = rows.select("*", F.posexplode("_row.numbers").alias("col_no", "raw"))
     row = F.col("_row")
     plain = F.concat(F.lit("col"), (F.col("col_no") + 1).cast("string"))

@@ -124,3 +124,26 @@ def length_histogram(df: DataFrame, length: str, bins: int = 40, top: int = 2000
 def metric_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     a, b = old.select(*keys, F.col(value).alias("old")), new.select(*keys, F.col(value).alias("new"))
     return a.join(b, keys, "full_outer").withColumn("change", F.col("new") - F.col("old"))
+
+
+def _agreement(found: DataFrame, truth: DataFrame, table: list[str], key: list[str], name: str) -> DataFrame:
+    """F1 of the cells of each table by key, repeats counted. Both sides become counts with a sign in one aggregate, so no join is needed."""
+    both = found.select(*table, *key, F.lit(1).alias("h"), F.lit(0).alias("r")).unionByName(truth.select(*table, *key, F.lit(0).alias("h"), F.lit(1).alias("r")))
+    counts = both.groupBy(*table, *key).agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    return counts.groupBy(*table).agg((2.0 * F.sum(F.least("h", "r")) / F.sum(F.col("h") + F.col("r"))).alias(name))
+
+
+def cell_scores(found: DataFrame, truth: DataFrame, table: list[str]) -> DataFrame:
+    """cell_f1 (label, column, value in full units), raw_f1 (label, column, printed value) and value_f1 (value alone) of each table, from cells with
+    label, col_index, raw and scale. A table that one side lacks scores 0; null labels equal each other."""
+    full = [x.withColumn("value", F.col("raw") * F.col("scale")) for x in (found, truth)]
+    out = _agreement(*full, table, ["label", "col_index", "value"], "cell_f1")
+    out = out.join(_agreement(*full, table, ["label", "col_index", "raw"], "raw_f1"), table)
+    return out.join(_agreement(*full, table, ["value"], "value_f1"), table)
+
+
+def side_by_side(scores: DataFrame, table: list[str], path: str, score: str, paths: list[str], only: str) -> DataFrame:
+    """A column for each path, for the tables that the path `only` has."""
+    one = lambda p: F.max(F.when(F.col(path) == p, F.col(score))).alias(p)
+    has = F.count_if(F.col(path) == only).alias("_has")
+    return scores.groupBy(*table).agg(*[one(p) for p in paths], has).where("_has > 0").drop("_has")
