@@ -465,7 +465,9 @@ def section_carry(spark: SparkSession, d: str) -> DataFrame:
     return sections.carry_sections(c, ["conv_id"], ["turn"]).select("conv_id", "turn", "section")
 
 
-BLOCK_SQL = "regexp_extract_all(html, '(?is)<(h1|li|p)(?:\\s[^>]*)?>(.*?)</(?:h1|li|p)>', {})"
+# A block also ends where the next one begins.
+ENDED_SQL = "regexp_replace(regexp_replace(html, '<br\\s*/?>', ' ', 'gi'), '<(/?(?:h[1-6]|li|p|div|section|article|main|ul|ol|nav|header|footer|aside|form|table|body)[\\s>])', '</p><\\1', 'gi')"
+BLOCK_SQL = f"regexp_extract_all({ENDED_SQL}, '(?is)<(h1|li|p)(?:\\s[^>]*)?>(.*?)</(?:h1|li|p)>', {{}})"
 BLOCKS_SQL = rf"""b AS (SELECT page_id, unnest({BLOCK_SQL.format(1)}) AS tag, regexp_replace(unnest({BLOCK_SQL.format(2)}), '<[^>]*>', '', 'g') AS raw,
  generate_subscripts({BLOCK_SQL.format(1)}, 1) AS pos FROM pages),
 k AS (SELECT page_id, pos, CASE tag WHEN 'h1' THEN 'Title' WHEN 'li' THEN 'List' ELSE 'Text' END AS block_type, trim(regexp_replace(replace(replace(raw, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b),
@@ -658,7 +660,7 @@ LINE_NAME = "'Item ' || chr(96 + l_linenumber)"
 
 
 @query(
-    f"""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), '(' || l_partkey || ')') - 1 AS INTEGER) AS row_no, {LINE_NAME} AS row_label, k AS col_no,
+    f"""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey, k ORDER BY l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), '(' || l_partkey || ')') - 1 AS INTEGER) AS row_no, {LINE_NAME} AS row_label, k AS col_no,
  CASE k WHEN 0 THEN '2025-09-27' ELSE '2024-09-28' END AS col_label, CASE k WHEN 0 THEN l_quantity ELSE -l_partkey END * 1000.0::DOUBLE AS value, 1000.0::DOUBLE AS scale, 0 AS skipped
 FROM lineitem, (SELECT unnest([0, 1]) AS k) WHERE l_linenumber BETWEEN 1 AND 26"""
 )
