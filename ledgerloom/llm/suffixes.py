@@ -35,7 +35,7 @@ WINDOW = 400
 REPORT = 256
 #: Half of that: shorter runs (a licence line) would tie together texts that share no whole string.
 GRAM = 128
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_500_000
 
 
 def byte_anchors(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,6 +70,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     sorted_key = key[order]
     head = np.ones(n, bool)
     head[1:] = sorted_key[1:] != sorted_key[:-1]
+    del key, sorted_key
     first = np.flatnonzero(head)
     rank = np.empty(n + 1, np.int64)
     rank[order] = first[np.cumsum(head) - 1] + 1  # a group's number is its first place; 0 is the end of the text
@@ -137,7 +138,7 @@ def repeated_in(text: np.ndarray, valid: dict[int, np.ndarray]) -> tuple[dict[in
     common = kasai(text, order, max(valid))
     out = {}
     for window, ok in valid.items():
-        group = np.cumsum(common < window)
+        group = np.cumsum(common < window, dtype=np.int32)
         counts = np.bincount(group[ok[order]], minlength=int(group[-1]) + 1 if len(group) else 0)
         out[window] = np.zeros(len(text), bool)
         out[window][order] = ok[order] & (counts[group] >= 2)
@@ -254,15 +255,16 @@ def search(windows: tuple[int, ...]):
             data = [np.frombuffer(rows.column("data")[i].as_py(), np.uint8) for i in own.tolist()]
             ends = np.cumsum(np.array([len(d) for d in data]))
             text = np.concatenate(data)
-            where = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(text))  # bytes from each place to the end of its segment
+            where = np.repeat(ends.astype(np.int32), np.diff(ends, prepend=0)) - np.arange(len(text), dtype=np.int32)  # bytes from each place to the end of its segment
             valid = {w: where >= w for w in windows}
+            del data, where
             hit, order = repeated_in(text, valid)
             for other in done:
                 for w in windows:
                     a, b = merge(other[0], other[1], other[2][w], text, np.flatnonzero(valid[w]), w)
                     other[3][w][a] = True
                     hit[w][b] = True
-            done.append((text, order, valid, hit, own, ends))
+            done.append((text, order.astype(np.int32), valid, hit, own, ends))
         for _, _, _, hit, own, ends in done:
             for k, w in enumerate(windows):
                 places = np.flatnonzero(hit[w])
