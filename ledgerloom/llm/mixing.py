@@ -4,7 +4,9 @@ Each document starts with the copy number target / source size, of which the who
 probability. Two documents of a source are paired and mass moves from one to the other, weighed by their sizes so that the expected
 words don't change, until one fraction becomes 0 or 1; which way is drawn with the odds that keep both expectations. A leaf (some
 thousand documents of one source, by hash) leaves one fractional document; leaves of a source meet in a tree of fan-in FAN_IN until one is
-left, which is rounded by its own draw. So a source's words miss its target by less than one document.
+left, which is rounded by its own draw. That draw moves the words of the source by up to one document, maybe its longest; documents that the
+last round made integral go back, longest first, as long as they bring the words nearer to the target (`settle`). What a draw upwards
+takes from them and one downwards gives them is equal in expectation.
 
 Only ids, sizes and fractions are moved, never texts. A source is split into leaves by its count, so a hot source is many groups.
 Leaves, pairs and draws follow from hashes of the rows alone: reruns agree, whatever the partitioning.
@@ -103,15 +105,32 @@ def pivot(size: np.ndarray, fraction: np.ndarray, draw: np.ndarray) -> tuple[np.
     return np.array(p), open_at
 
 
+def settle(size: np.ndarray, fraction: np.ndarray, rounded: np.ndarray) -> np.ndarray:
+    """Rounded fractions, some turned over, the longest first, until no single turn brings their words nearer to those of `fraction`."""
+    out, sizes, turned = rounded.copy(), size.tolist(), True
+    missing = float((size * (fraction - rounded)).sum())
+    loose = np.flatnonzero((fraction > EPS) & (fraction < 1 - EPS))
+    longest_first = loose[np.argsort(-size[loose], kind="stable")].tolist()
+    while turned:
+        turned = False
+        for i in longest_first:
+            step = sizes[i] if out[i] == 0 else -sizes[i]
+            if abs(missing - step) < abs(missing) - EPS:
+                out[i], missing, turned = 1 - out[i], missing - step, True
+    return out
+
+
 def _rounder(level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "size", "fraction"], kind="stable").reset_index(drop=True)
         key = rows["key"].to_numpy() + rows.index.to_numpy() * (rows["key"].duplicated().to_numpy())
-        out, left = pivot(rows["size"].to_numpy(np.float64), rows["fraction"].to_numpy(np.float64), _draw(key, level + 1))
+        size, fraction = rows["size"].to_numpy(np.float64), rows["fraction"].to_numpy(np.float64)
+        out, left = pivot(size, fraction, _draw(key, level + 1))
         done = np.ones(len(rows), bool)
         if left >= 0:
             if last:
                 out[left] = float(_draw(key[left : left + 1], level + 101)[0] < out[left])
+                out = settle(size, fraction, out)
             else:
                 done[left] = False
         return rows.assign(fraction=out, done=done)

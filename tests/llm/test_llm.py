@@ -97,6 +97,24 @@ def test_pivot_keeps_the_words(spark):
     assert abs((out * size).sum() - (p * size).sum()) < 1e-6 and ((out == 0) | (out == 1) | (np.arange(500) == left)).all()
 
 
+def test_settle_brings_a_long_remainder_near():
+    import numpy as np
+
+    size = np.array([5000.0, *range(1, 301)])
+    p = np.full(301, 0.4)
+    for seed in range(20):
+        draw = np.random.default_rng(seed).random(301)
+        out, left = mixing.pivot(size, p, draw)
+        if left >= 0:
+            out[left] = float(draw[0] < out[left])
+        before, out = (size * (p - out)).sum(), mixing.settle(size, p, out)
+        after = (size * (p - out)).sum()
+        assert set(out.tolist()) <= {0.0, 1.0} and abs(after) <= abs(before) and abs(after) < 0.001 * (size * p).sum()
+        turns = after - size * (1 - 2 * out)  # what is missing after each single turn
+        assert (abs(turns) >= abs(after) - 1e-6).all()
+    assert mixing.settle(size[:1], p[:1], np.zeros(1)).tolist() == [0.0]
+
+
 def test_pivot_tree(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 16)
     monkeypatch.setattr(mixing, "FAN_IN", 4)
