@@ -8,7 +8,8 @@ left are equal. The trie keeps every context of the training texts.
 A group of documents asks for its distinct words and its distinct n-grams (context and byte), by hash bucket; buckets add up what all groups
 counted and answer in the order asked: counts of words, code lengths of n-grams. A bucket of n-grams holds all that share the last SHARED bytes of
 the context, so it has every context longer than that whole; the shorter ones (at most 65,793 of 2, 1 and 0 bytes, whatever the input) are
-counted first and broadcast. So a frequent word or n-gram is one record per group, not per occurrence.
+counted first and broadcast. So a frequent word or n-gram is one record per group, not per occurrence; a bucket that a group asks nothing of
+gets no row from it.
 
 Defined cases: a null or empty text is the end symbol alone; without training documents the trie is uniform and all counts are 0; a null id counts as
 the text '' for the split; repeated rows are trained on and scored as often as they occur; an empty table gives an empty result.
@@ -43,7 +44,7 @@ def held_out(id_col: str = "id"):
 
 
 def contexts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context (the last 7 bytes as a number, EDGE before the text), byte and document of each byte to predict, the end of each text last."""
+    """Context (the last ORDER bytes as a number, EDGE before the text), byte and document of each byte to predict, the end of each text last."""
     sizes = np.diff(offsets)
     n = len(sizes)
     ends = np.cumsum(sizes + 1)
@@ -122,7 +123,8 @@ def count(groups: DataFrame, buckets: int) -> DataFrame:
             pa.array(np.full(buckets, g, np.int32)),
             *(pa.array([x.tobytes() for x in np.split(v, c)], pa.binary()) for v, c in ((words, cut_w), (seen.astype(np.uint32), cut_w), (grams[order], cut_g), (n.astype(np.uint32)[order], cut_g))),
         ]
-        return pa.table(cols, names=["bucket", "g", "words", "seen", "grams", "n"])
+        asked = np.diff(np.concatenate([[0], cut_w, [len(words)]])) + np.diff(np.concatenate([[0], cut_g, [len(grams)]])) > 0
+        return pa.table(cols, names=["bucket", "g", "words", "seen", "grams", "n"]).filter(pa.array(asked))
 
     return groups.groupBy("g").applyInArrow(run, "bucket int, g int, words binary, seen binary, grams binary, n binary")
 
