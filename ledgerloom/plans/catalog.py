@@ -713,3 +713,130 @@ def paths_side_by_side(spark: SparkSession, d: str) -> DataFrame:
     has = truth.where("l_orderkey % 3 = 0")
     managed = scoring.cell_scores(has, has, ["l_orderkey"]).select("l_orderkey", F.lit("managed").alias("path"), F.col("cell_f1").alias("score"))
     return scoring.side_by_side(own.unionByName(managed), ["l_orderkey"], "path", "score", ["own", "managed"], "managed")
+
+
+# ---------------------------------------------------------------- columns and filters on whole tables
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 0.5::DOUBLE ELSE round(0.5 * pow(10, 5 - l_linenumber), 6) END AS tol, count(*) AS n FROM lineitem GROUP BY ALL")
+def digit_tolerances(spark: SparkSession, d: str) -> DataFrame:
+    """Half a unit of the last digit; exact and blank decimals have 0.5."""
+    n = F.col("l_linenumber")
+    decimals = F.when(n == 1, "INF").when(n == 2, "").otherwise((n - 5).cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", n, F.round(reconcile.tolerance(decimals), 6).alias("tol")).groupBy("l_orderkey", "l_linenumber", "tol").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, 'priority=' || o_orderpriority || ';status=' || o_orderstatus AS dims FROM orders")
+def dimension_strings(spark: SparkSession, d: str) -> DataFrame:
+    dims = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
+    return table(spark, d, "orders").withColumn("dims", dims).select("o_orderkey", facts.canonical_dims("dims").alias("dims"))
+
+
+@query(
+    f"""WITH {BOX_SQL} SELECT id, round(greatest(0, least(x0 * 0.4, 60)), 2)::DOUBLE AS x0, round(greatest(0, least(top * 0.4, 90)), 2)::DOUBLE AS top,
+round(greatest(0, least(x1 * 0.4, 60)), 2)::DOUBLE AS x1, round(greatest(0, least(bottom * 0.4, 90)), 2)::DOUBLE AS bottom FROM bx"""
+)
+def boxes_in_points(spark: SparkSession, d: str) -> DataFrame:
+    return box_rows(spark, d).select("id", B.to_points(as_box(), 0.4, F.lit(60.0), F.lit(90.0)).alias("b")).select("id", "b.*")
+
+
+@query(f"WITH {BOX_SQL} SELECT id, x0 + 3 AS x0, 792 - top + 4 AS top, x1 + 3 AS x1, 792 - bottom + 4 AS bottom FROM bx")
+def boxes_flipped(spark: SparkSession, d: str) -> DataFrame:
+    return box_rows(spark, d).select("id", B.flip(as_box(), F.lit(792.0), F.lit(3.0), F.lit(4.0)).alias("b")).select("id", "b.*")
+
+
+@query("SELECT o_orderkey, (o_orderkey % 8) / 8.0 * 612 AS x0, (o_orderkey % 4) / 4.0 * 792 AS top, ((o_orderkey % 8) / 8.0 + 0.125) * 612 AS x1, ((o_orderkey % 4) / 4.0 + 0.25) * 792 AS bottom FROM orders".replace("8.0", "8::DOUBLE").replace("4.0", "4::DOUBLE"))
+def boxes_of_fractions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    b = B.from_fractions(k % 8 / 8, k % 4 / 4, F.lit(0.125), F.lit(0.25), F.lit(612.0), F.lit(792.0))
+    return table(spark, d, "orders").select("o_orderkey", b.alias("b")).select("o_orderkey", "b.*")
+
+
+@query(f"WITH {BOX_SQL} SELECT id, (x0 + x1) / 2 BETWEEN 45 AND 125 AND (top + bottom) / 2 BETWEEN 20 AND 90 AS inside FROM bx")
+def boxes_inside(spark: SparkSession, d: str) -> DataFrame:
+    outer = F.struct(F.lit(50.0).alias("x0"), F.lit(20.0).alias("top"), F.lit(120.0).alias("x1"), F.lit(90.0).alias("bottom"))
+    return box_rows(spark, d).select("id", B.centre_inside(as_box(), outer, 5.0).alias("inside"))
+
+
+@query(
+    """SELECT source, status, count(*) AS pages FROM (SELECT source, CASE WHEN n_chars // 1500 > 0 THEN 'ok' WHEN n_chars // 700 = 0 THEN 'blank' ELSE 'missed' END AS status FROM documents) GROUP BY ALL"""
+)
+def page_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by status: with blocks, without words, with words but no blocks."""
+    docs = table(spark, d, "documents").withColumns({"n_blocks": F.floor(F.col("n_chars") / 1500), "n_words": F.floor(F.col("n_chars") / 700)})
+    return docs.withColumn("status", records.page_status("n_blocks", "n_words")).groupBy("source", "status").agg(F.count("*").alias("pages"))
+
+
+@query(
+    """WITH b AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN text WHEN 'user' THEN CASE WHEN turn % 3 = 0 THEN text END END AS section FROM conversations)
+SELECT conv_id, turn, coalesce(section, last_value(nullif(section, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS section FROM b"""
+)
+def sections_filled(spark: SparkSession, d: str) -> DataFrame:
+    heads = F.when(F.col("role") == "system", F.col("text")).when((F.col("role") == "user") & (F.col("turn") % 3 == 0), F.col("text"))
+    return sections.fill_sections(table(spark, d, "conversations").select("conv_id", "turn", heads.alias("section")), ["conv_id"], ["turn"])
+
+
+@query(
+    """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' AND turn % 4 <> 3 THEN substr(split_part(text, chr(10), 1), 1, 200) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section
+FROM conversations"""
+)
+def titles_carried(spark: SparkSession, d: str) -> DataFrame:
+    """The last title that is no footer, its first line, over the blocks after it."""
+    blocks = table(spark, d, "conversations").withColumns({"block_type": F.when(F.col("role") == "user", "Title").otherwise("Text"), "footer": F.col("turn") % 4 == 3})
+    return sections.carry_titles(blocks, ["conv_id"], ["turn"]).select("conv_id", "turn", "section")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'opening' WHEN 1 THEN 'end' ELSE '' END AS instant, DATE '2024-01-01' + CAST(p_partkey % 300 AS INTEGER) AS s, DATE '2024-12-31' AS e FROM part)
+SELECT p_partkey, instant, CASE WHEN p_partkey % 5 = 0 THEN 'FY24' WHEN instant = 'end' THEN '2024-12-31' WHEN instant = 'opening' THEN strftime(s - 1, '%Y-%m-%d') ELSE 'FY24|2024-12-31|' || strftime(s - 1, '%Y-%m-%d') END AS options FROM p"""
+)
+def balance_directions(spark: SparkSession, d: str) -> DataFrame:
+    """Which instant a balance line means by its words, and the options that leaves of its column's period."""
+    k = F.col("p_partkey")
+    label = F.concat(F.when(k % 4 == 0, "Cash, beginning balances ").when(k % 4 == 1, "Ending balances ").otherwise("Weekend and bookending "), k.cast("string"))
+    start = F.when(k % 5 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")))
+    rows = table(spark, d, "part").select("p_partkey", P.instant_of_label(label).alias("instant"), start.alias("start"), F.lit("2024-12-31").cast("date").alias("end"), F.lit("FY24").alias("period"))
+    return rows.select("p_partkey", "instant", F.array_join(P.instant_options(P.period_options("period", "start", "end"), "instant"), "|").alias("options"))
+
+
+@query("SELECT event_type AS period_label, CAST(arg_min(ts, event_id) AS DATE) AS start, CAST(arg_min(ts, event_id) AS DATE) + CAST(min(event_id) % 90 AS INTEGER) AS \"end\" FROM events WHERE event_id % 3 <> 0 GROUP BY event_type")
+def first_period_bounds(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("ts").cast("date")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("period_label"), F.when(F.col("event_id") % 3 == 0, "instant").otherwise("duration").alias("period_type"), day.alias("start"), F.date_add(day, (F.col("event_id") % 90).cast("int")).alias("end"), F.col("event_id").alias("ord"))
+    return facts.period_bounds(rows)
+
+
+@query("SELECT event_id, event_type AS concept, value FROM events WHERE event_type <> 'click' AND event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 2 = 0 AND value IS NOT NULL")
+def numeric_face_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric facts with a concept and a value, without dimensions."""
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", F.nullif("event_type", F.lit("click")).alias("concept"), "value", (k % 5 != 0).alias("is_numeric"), (k % 7 == 0).alias("is_nil"), (k % 2).alias("n_dims"))
+    return facts.face(facts.numeric_facts(rows)).select("event_id", "concept", "value")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS cleaned, replace(p_name, ' ', '/') AS path FROM part")
+def cleaned_names(spark: SparkSession, d: str) -> DataFrame:
+    """White space cleaned, nothing left is null; paths with forward slashes."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit(" \n ")), F.lit("  ")))
+    return table(spark, d, "part").select("p_partkey", T.clean_text(name).alias("cleaned"), T.forward_slashes(F.replace("p_name", F.lit(" "), F.lit("\\"))).alias("path"))
+
+
+@query("SELECT p_partkey, '(' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ')' ELSE '' END AS cell FROM part")
+def closed_parens(spark: SparkSession, d: str) -> DataFrame:
+    """A lost closing parenthesis comes back where the page prints it."""
+    cell = F.concat(F.lit("("), F.col("p_partkey").cast("string"))
+    page = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Loss "), cell, F.lit(" ) in all"))).otherwise(F.concat(F.lit("Loss "), cell))
+    return table(spark, d, "part").select("p_partkey", N.closed_paren(cell, page).alias("cell"))
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 = 0 AND l_quantity > 0.25 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) THEN '{reconcile.NEGATED_CAUSE}' ELSE '' END AS cause FROM lineitem"""
+)
+def sign_causes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines whose sign differs, and whether the filing presents their concept negated."""
+    q = F.col("l_quantity").cast("double")
+    status = reconcile.status(F.when(F.col("l_linenumber") % 2 == 0, -q).otherwise(q), q, F.lit(0.5))
+    same = [F.lit("a_10K_2024").alias("stem"), F.lit("us-gaap").alias("prefix")]
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *same, F.col("l_partkey").alias("concept"), status.alias("status"))
+    negated = table(spark, d, "part").where("p_partkey % 3 = 0").select(*same, F.col("p_partkey").alias("concept"))
+    return reconcile.with_cause(lines, negated).select("l_orderkey", "l_linenumber", "l_partkey", "cause")
