@@ -36,6 +36,10 @@ LATER_LETTERS = """0558 058b-058c 088f 0c5c 0cdc 208f 209d-209f a7ce-a7cf a7d2 a
 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5
 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
 LATER_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+# Marks and a vowel sign (11930) that the tokenizer's composition tables don't know; there they neither move nor let a letter and a mark past them compose.
+LATER_MARKS = """07fd 0898-089f 08ca-08d3 09fe 0c3c 0d3b-0d3c 0eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50
+10f82-10f85 11070 1133b 1145e 11839-1183a 1193d-1193e 11930 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1
+1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"""
 LATER_LOWER = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
 
 CHUNK = 1 << 16
@@ -59,6 +63,11 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def code_points(ranges: str) -> str:
+    """Hexadecimal ranges as the inside of a character class."""
+    return "".join(rf"\U{int(a, 16):08x}-\U{int(b or a, 16):08x}" for x in ranges.split() for a, _, b in [x.partition("-")])
+
+
 class Merges:
     """Merge list over symbol ids: rank and product of each pair, and the symbols a product is made of."""
 
@@ -160,8 +169,9 @@ class Transducer:
         # the pattern's white space is the Unicode property
         pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.word = regex.compile(pattern, regex.V1)
-        later = "".join(rf"\U{int(a, 16):08x}-\U{int(b or a, 16):08x}" for x in f"{LATER_LETTERS} {LATER_NUMBERS}".split() for a, _, b in [x.partition("-")])
+        later = code_points(f"{LATER_LETTERS} {LATER_NUMBERS}")
         self.later = regex.compile(f"[{later}]")
+        self.apart = regex.compile(f"([{code_points(LATER_MARKS)}])")
         # what the older tables don't know is neither a letter nor a number
         known = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{later}])").replace(r"[\p{L}]", rf"[\p{{L}}--[{later}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{later}]]")
         self.old_word = regex.compile(known, regex.V1)
@@ -190,7 +200,9 @@ class Transducer:
         """Composed form, runs of white space as one space, lower case by code point (no final sigma)."""
         if text.isascii():
             return text.lower()
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        # capturing, the split keeps the marks it splits at
+        parts = self.apart.split(text) if max(text) >= "\u07fd" else [text]
+        text = self.space.sub(" ", "".join([unicodedata.normalize("NFC", x) for x in parts]))
         if max(text, default="") > "\u0557":
             text = text.translate(self.lower)
         return text.replace("Σ", "σ").lower()
