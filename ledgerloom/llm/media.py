@@ -1,7 +1,7 @@
 """Operator 2, media columns: content-addressed payloads in tar shards.
 
-A payload is stored under its digest as a PNG of 8-bit gray samples (rows of WIDTH) in a tar shard in the shared folder; rows carry
-digest, shard, offset and length. Header-only range reads (HEADER bytes an object) fill the metadata columns; full range reads return the
+A payload is stored under its digest as a PNG of 8-bit gray samples (rows of WIDTH) in a tar shard in the shared folder; the last member of
+a shard, INDEX, says where in it each digest lies, and rows carry digest, shard, offset and length. Header-only range reads (HEADER bytes an object) fill the metadata columns; full range reads return the
 samples. Neither texts nor media are shuffled: a task stores each of its payloads once, where it reads it, and the catalog, which is
 small, names one place for each digest. A payload that several tasks hold has a copy from each; moving all media to spare those would cost more.
 
@@ -15,6 +15,8 @@ repeated rows and extra columns don't matter. Text of any length is one object (
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import tarfile
 import zlib
@@ -36,6 +38,8 @@ SHARD_BYTES = 256 << 20
 PACK_BYTES = 1 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
+#: Member of a shard with a JSON line (digest, offset, length) for each of its objects.
+INDEX = "index.jsonl"
 CATALOG = "digest string, shard string, offset long, length long"
 
 
@@ -87,13 +91,13 @@ def png_header(start: bytes) -> tuple[int, ...]:
 
 class Shard:
     """Tar files whose members are packs of objects, PACK_BYTES or one object each: a header and padding per object would cost as much as
-    a small object itself. An object is found by its offset in the file."""
+    a small object itself. An object is found by its offset in the file, which the index at the file's end gives for its digest."""
 
     def __init__(self, fs: pafs.FileSystem, path: str, stem: str):
         self.fs, self.path, self.stem, self.files, self.out, self.name = fs, path, stem, 0, None, ""
-        self.at, self.pack, self.held = 0, [], 0
+        self.at, self.pack, self.held, self.index = 0, [], 0, []
 
-    def add(self, data: bytes) -> tuple[str, int]:
+    def add(self, digest: str, data: bytes) -> tuple[str, int]:
         """File and offset of the object."""
         if self.held and self.held + len(data) > PACK_BYTES:
             self.flush()
@@ -103,39 +107,52 @@ class Shard:
         place = self.at + 512 + self.held
         self.pack.append(data)
         self.held += len(data)
+        self.index.append((digest, place, len(data)))
         return self.name, place
 
     def flush(self) -> None:
         if not self.pack:
             return
-        info = tarfile.TarInfo(f"{self.stem}-{self.at:012d}.pngs")
-        info.size = self.held
-        self.out.write(info.tobuf(tarfile.USTAR_FORMAT))
-        for data in self.pack:
-            self.out.write(data)
-        self.out.write(bytes(-self.held % 512))
-        self.at += 512 + self.held + -self.held % 512
+        self.member(f"{self.stem}-{self.at:012d}.pngs", self.pack, self.held)
         self.pack, self.held = [], 0
         if self.at >= SHARD_BYTES:
             self.close()
 
+    def member(self, name: str, parts: list[bytes], size: int) -> None:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        self.out.write(info.tobuf(tarfile.USTAR_FORMAT))
+        for data in parts:
+            self.out.write(data)
+        self.out.write(bytes(-size % 512))
+        self.at += 512 + size + -size % 512
+
     def close(self) -> None:
-        self.flush()
+        if self.pack:
+            self.flush()
         if self.out is not None:
+            lines = [json.dumps({"digest": d, "offset": a, "length": n}).encode() + b"\n" for d, a, n in self.index]
+            self.member(INDEX, lines, sum(map(len, lines)))
+            self.index = []
             self.out.write(bytes(1024))
             self.out.close()
             self.out = None
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a folder as Spark names it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """digest, shard, offset, length of each distinct payload. The shards are written when this returns."""
     spark = docs.sparkSession
     base = shared_path(spark, "media")
-    pafs_fs, pafs_path = pafs.FileSystem.from_uri(base)
+    pafs_fs, pafs_path = file_system(base)
     pafs_fs.create_dir(pafs_path, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(base)
+        fs, path = file_system(base)
         task = TaskContext.get()
         rows: list[tuple[str, str, int, int]] = []
         seen: set[bytes] = set()
@@ -147,7 +164,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
                 if key.digest() not in seen:
                     seen.add(key.digest())
                     data = encode_png(samples)
-                    rows.append((key.hexdigest(), *shard.add(data), len(data)))
+                    rows.append((key.hexdigest(), *shard.add(key.hexdigest(), data), len(data)))
         shard.close()
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["digest", "shard", "offset", "length"])
@@ -173,7 +190,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], header_only: bool) -> Iterator[tu
                 if shard != name:
                     if opened is not None:
                         opened.close()
-                    fs, path = pafs.FileSystem.from_uri(shard)
+                    fs, path = file_system(shard)
                     opened, name = fs.open_input_file(path), shard
                 data.append(opened.read_at(min(length, HEADER) if header_only else length, offset))
             yield part, data
