@@ -6,9 +6,10 @@
 2. Votes are added up by host and path in Spark, with map-side combine; a host's heaviest path wins.
 3. Each page is read again and yields the text under the elements on its host's path. A page without that path uses its own best.
 
-Elements that are never part of an article (menus, page headers and footers, sidebars, notices, adverts, forms, comments, scripts)
+Elements that are never part of an article (menus, page headers and footers, sidebars, notices with dialogs, adverts, forms, comments, scripts)
 are left out by tag, role or class word in both passes. A class word leaves out no element that holds the page's article, or, where
-its name also says other things (`content has-sidebar`), most of the text.
+its name also says other things (`content has-sidebar`), most of the text; nor does a form that spans the page's article or most of its
+paragraphs. Inside an article, names such as `share-price` or `related-work` leave out only what is mostly links.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; a null url is a host of its own; equal rows are extracted alike;
 an empty table gives an empty result; markup may be cut off or unbalanced anywhere.
@@ -30,7 +31,7 @@ BLOCK = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside address form fieldset details summary hr center".split()
 )
 #: Left out with all they hold.
-NEVER = set("head title nav footer aside form script style noscript template iframe svg canvas object button select option textarea dialog menu audio video math".split())
+NEVER = set("head title nav footer aside script style noscript template iframe svg canvas button select option textarea dialog menu audio video".split())
 RAW = set("script style noscript template iframe textarea title svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = set("body main article section div td blockquote".split())
@@ -39,6 +40,8 @@ NEVER_ROLES = set("navigation banner contentinfo complementary search form dialo
 NEVER_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar footer comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar masthead skip".split()
 )
+#: Of these, words that also occur in the names of an article's own parts.
+DOUBTFUL = {"share", "related", "recommended", "social", "menu", "skip"}
 #: Outside an article only: a headline may stand in a header of its article.
 HEADER_WORDS = {"header", "topbar"}
 #: Say nothing of what an element holds.
@@ -51,13 +54,14 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "out", "body", "path", "score", "article", "worded", "mixed")
+    __slots__ = ("tag", "label", "parent", "out", "body", "path", "score", "article", "worded", "mixed", "doubtful")
 
     def __init__(self, tag: str, label: str, parent: Element | None, out: bool, article: bool):
         self.tag, self.label, self.parent, self.out, self.article = tag, label, parent, out, article
         self.path = f"{parent.path}/{label}" if parent else label
         self.score = 0.0
-        self.worded = self.mixed = False  # has a class word of what is left out; has other words too
+        # has a class word of what is left out; has other words too; may be a part of the article all the same
+        self.worded = self.mixed = self.doubtful = False
 
     def chain(self) -> Iterator[Element]:
         up: Element | None = self
@@ -67,7 +71,7 @@ class Element:
 
     @property
     def soft(self) -> bool:
-        """Left out by its class word alone."""
+        """Left out by its class word alone, or as a form."""
         return self.worded and self.tag not in ("html", "body", "article", "main")
 
 
@@ -78,7 +82,7 @@ def _attributes(text: str) -> dict[str, str]:
 def _open(tag: str, attrs: str, parent: Element | None) -> Element:
     out = parent is not None and parent.out
     article = tag in ("article", "main") or parent is not None and parent.article
-    label, worded, mixed = tag, False, False
+    label, worded, mixed, doubtful = tag, False, False, False
     if tag in NEVER or tag == "header" and not article:
         out = True
     if attrs.strip(" /"):
@@ -91,8 +95,9 @@ def _open(tag: str, attrs: str, parent: Element | None) -> Element:
             out = True
         if a.get("class"):
             label = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in a["class"].split())])
+        doubtful = tag != "form" and mixed and bool(found & NEVER_WORDS) and found & NEVER_WORDS <= DOUBTFUL and not found & HEADER_WORDS
     element = Element(tag, label, parent, out, article)
-    element.worded, element.mixed = worded, mixed
+    element.worded, element.mixed, element.doubtful = worded or tag == "form", mixed, doubtful
     return element
 
 
@@ -101,9 +106,17 @@ def _worth(element: Element, text: str, linked: int) -> float:
 
 
 def _without_soft(found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
-    """Blocks outside elements that a class word leaves out, unless these hold the page's article or most of its text."""
+    """Blocks outside forms and elements that a class word leaves out, unless these hold the page's article or most of its text, or are parts
+    of an article with a doubtful name and more plain than linked text."""
     if not any(x.soft for element, _, _ in found for x in element.chain()):
         return found
+    plain: dict[Element, int] = {}
+    for element, text, linked in found:
+        for x in element.chain():
+            if x.doubtful and x.article:
+                plain[x] = plain.get(x, 0) + len(text) - 2 * linked
+    for x, n in plain.items():
+        x.worded = n <= 0
     left = [f for f in found if not any(x.soft for x in f[0].chain())]
     if not any(x.tag in ("article", "main") for element, _, _ in left for x in element.chain()):
         weight: dict[Element, float] = {}
@@ -118,7 +131,12 @@ def _without_soft(found: list[tuple[Element, str, int]]) -> list[tuple[Element,
             back = set(best[0].chain())
         else:
             total = sum(_worth(*f) for f in found)
-            back = {x for x in weight if x.mixed and 2 * weight[x] > total}
+            prose: dict[Element, float] = {}
+            for f in found:
+                for x in f[0].chain():
+                    if x.tag == "form" and f[0].tag in ("p", "pre", "blockquote"):
+                        prose[x] = prose.get(x, 0.0) + _worth(*f)
+            back = {x for x in weight if 2 * (prose.get(x, 0.0) if x.tag == "form" else weight[x] * x.mixed) > total}
         for x in back:
             x.worded = False
     return [f for f in found if not any(x.soft for x in f[0].chain())]
@@ -196,7 +214,7 @@ def blocks(source: str) -> list[tuple[Element, str, int]]:
         else:
             if tag == "a":
                 in_link += 1
-            if m[3].strip(" /") and not m[3].rstrip().endswith("/") and ((inline := _open(tag, m[3], None)).out or inline.soft):
+            if m[3].strip(" /") and not m[3].rstrip().endswith("/") and ((inline := _open(tag, m[3], None)).out or inline.soft and (tag == "a" or not inline.doubtful)):
                 inline_out.append(tag)
     if not inline_out and at < len(source):
         text.append(source[at:])

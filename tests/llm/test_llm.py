@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -148,8 +150,12 @@ def test_shards_are_tar_files(spark, docs):
     for shard in {r["shard"] for r in catalog}:
         path = shard.removeprefix("file://")
         with tarfile.open(path) as t:
-            assert all(m.name.endswith(".pngs") for m in t.getmembers())
+            assert all(m.name.endswith(".pngs") or m.name == media.INDEX for m in t.getmembers())
+            index = [json.loads(x) for x in t.extractfile(media.INDEX).read().splitlines()]
         data = open(path, "rb").read()
+        for x in index:  # each object is found in the shard by its digest
+            assert sha(media.decode_png(data[x["offset"] : x["offset"] + x["length"]])) == x["digest"]
+        assert {r["digest"] for r in catalog if r["shard"] == shard} <= {x["digest"] for x in index}
         for r in catalog:
             if r["shard"] == shard:
                 assert sha(media.decode_png(data[r["offset"] : r["offset"] + r["length"]])) == r["digest"]
@@ -213,6 +219,17 @@ def test_bpe_odd_texts(coder):
         assert [int.from_bytes(parts[k : k + 4], "little") for k in range(0, len(parts), 4)] == t.encode(x, add_special_tokens=False).ids, x[:60]
 
 
+def test_bpe_marks_that_the_library_does_not_know(coder):
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(bpe.vocabulary_path()), random.Random(9)
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    cases = ["\U00011935\U00011930", "\U00011938", *("".join(chr(r.choice([r.choice(marks), r.choice(marks), r.randint(0x61, 0x17F), 0x20])) for _ in range(10)) for _ in range(3000))]
+    for x in cases:
+        parts = b"".join(coder.encode(x))
+        assert [int.from_bytes(parts[k : k + 4], "little") for k in range(0, len(parts), 4)] == t.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
 def test_the_lookahead_suffices():
     """On a small merge list: what ends `ahead` before the end never changes, whatever follows."""
     r = random.Random(4)
@@ -644,3 +661,22 @@ def test_pipeline(spark, tmp_path, rows):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.count() == df.count() > 0
     assert final.agg(F.sum("n_tokens")).first()[0] == corpus_pipeline.STAGES[-1][1](spark, df, "").agg(F.sum("n_tokens")).first()[0]
+
+
+PROSE = "Some plain words of the article that go on for a while, as they do. " * 3
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        (f"<body><form id=aspnet><nav>x</nav><div class=c><article><h1>T</h1><p>{PROSE}</p></article></div></form></body>", f"T\n{PROSE.strip()}"),
+        (f"<body><form id=aspnet><nav>x</nav><div class=c><p>{PROSE}</p><p>{PROSE}</p></div></form></body>", f"{PROSE.strip()}\n{PROSE.strip()}"),
+        (f"<article><p>{PROSE}</p><form><label>Mail</label><p>Write to us.</p></form></article>", PROSE.strip()),
+        ("<body><form><label>Name</label><input><label>Mail</label></form></body>", ""),
+        (f"<article><p>{PROSE}</p><p class='share-price'>It rose.</p><section class='related-work'><p>Earlier work.</p></section></article>", f"{PROSE.strip()}\nIt rose.\nEarlier work."),
+        (f"<article><p>{PROSE}</p><div class='related-posts'><a href=1>One</a> <a href=2>Two</a></div></article>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p><p>a <math><mi>x</mi></math> <span class='share-price'>12</span></p></article>", f"{PROSE.strip()}\na x 12"),
+    ],
+)
+def test_html_keeps_parts_of_an_article(source, text):
+    assert html.extract(source) == text
