@@ -4,7 +4,8 @@ repeated string of REPORT bytes, shorter passages that are too short to remove,
 1. Each string of REPORT bytes is represented by the least of its runs of GRAM bytes; a count-min sketch (see sketch.py) of the distinct places of those
    runs overestimates how often each occurs. Neighbouring strings that may be repeated make a segment of their text.
 2. Equal segments are one: if there are several, all of it is repeated. Segments that share runs, over any chain, form components, and only
-   segments of one component can share a string. Components are dealt to shards; one above SHARD_BYTES is cut into tiles.
+   segments of one component can share a string. A component of one segment is not searched, unless one of its runs stands at several places
+   of it. The others are dealt to shards; one above SHARD_BYTES is cut into tiles. A shard is searched in parts of whole components.
 3. A shard's suffix array is refined by prefix doubling of the groups not yet sorted (Larsson and Sadakane), in numpy; common prefixes follow by Kasai's
    algorithm, run in lanes. Strings with a common prefix of 400 (or REPORT) bytes are repeated. Two tiles of a component are merged by binary
    search of one's suffixes in the other's array.
@@ -36,6 +37,10 @@ REPORT = 256
 #: Half of that: shorter runs (a licence line) would tie together texts that share no whole string.
 GRAM = 128
 SHARD_BYTES = 1_500_000
+#: Texts that are hashed at once, unless one is longer.
+PIECE_BYTES = 1_000_000
+#: Components of about so many bytes share an array: a bound on memory where none is larger.
+PART_BYTES = 1_000_000
 
 
 def byte_anchors(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,14 +71,15 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Places of the text in the order of their suffixes, or of their next `depth` bytes at least; equals then stay in the order of places."""
     n = len(text)
     key = words8(text)
-    order = np.argsort(key, kind="stable")
+    small = np.int32 if n < 2**31 - 1 else np.int64
+    order = np.argsort(key, kind="stable").astype(small)
     sorted_key = key[order]
     head = np.ones(n, bool)
     head[1:] = sorted_key[1:] != sorted_key[:-1]
     del key, sorted_key
-    first = np.flatnonzero(head)
-    rank = np.empty(n + 1, np.int64)
-    rank[order] = first[np.cumsum(head) - 1] + 1  # a group's number is its first place; 0 is the end of the text
+    first = np.flatnonzero(head).astype(small)
+    rank = np.empty(n + 1, small)
+    rank[order] = first[np.cumsum(head, dtype=small) - 1] + 1  # a group's number is its first place; 0 is the end of the text
     rank[n] = 0
     h = 8
     while depth is None or h < depth:
@@ -82,26 +88,24 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         if not len(open_):
             break
         at = order[open_]
-        group = rank[at]
-        pair = (group.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + h, n)].astype(np.uint64)
+        pair = rank[at].astype(np.uint64) << np.uint64(32)
+        pair |= rank[np.minimum(at + h, n)].astype(np.uint64)
         by = np.argsort(pair, kind="stable")
         at, pair = at[by], pair[by]
         order[open_] = at
         new = np.ones(len(at), bool)
         new[1:] = pair[1:] != pair[:-1]
         head[open_] = new
-        place = open_[new]
-        rank[at] = place[np.cumsum(new) - 1] + 1
+        place = open_[new].astype(small)
+        rank[at] = place[np.cumsum(new, dtype=small) - 1] + 1
         h *= 2
     return order
 
 
 def _equal_bytes(x: np.ndarray) -> np.ndarray:
     """Leading zero bytes of 64-bit differences."""
-    out = np.zeros(len(x), np.int64)
-    for shift in (56, 48, 40, 32, 24, 16, 8, 0):
-        out += (x >> np.uint64(shift)) == 0
-    return out
+    # without neighbouring ones a number isn't rounded up to the next power of two, so the exponent is its length in bits
+    return (64 - np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1]) >> 3
 
 
 def kasai(text: np.ndarray, order: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
@@ -110,9 +114,9 @@ def kasai(text: np.ndarray, order: np.ndarray, most: int, lane: int = 64) -> np.
     depth the one before may be another, and the place starts anew."""
     n = len(text)
     wide = words8(np.concatenate([text, np.zeros(most + 16, np.uint8)]))
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
-    prefix = np.zeros(n, np.int64)
+    prefix = np.zeros(n, np.int32)
     starts = np.arange(0, n, lane)
     h, last = np.zeros(len(starts), np.int64), np.full(len(starts), -2, np.int64)
     for t in range(lane):
@@ -189,20 +193,20 @@ def merge(a: np.ndarray, a_order: np.ndarray, a_places: np.ndarray, b: np.ndarra
 
 
 def segments(rows: DataFrame, window: int) -> DataFrame:
-    """seg (two hashes), key, row, start, data, runs (packed hashes) of each segment."""
+    """seg (two hashes), key, row, start, data, runs (packed hashes), own (does a run stand at several places of it?) of each segment."""
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(total * 2 / (window - min(GRAM, window) + 2))
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             _, _, runs, _, place = byte_anchors(batch.column(0), window)
             yield runs[np.unique(place)]
 
     maps = spark.sparkContext.broadcast(sketch.build(rows.select("text"), items, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             raw, offsets, runs, starts, place = byte_anchors(batch.column(0), window)
             if len(starts):
                 near = np.ones(len(place), bool)
@@ -213,17 +217,19 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
                 continue
             doc = np.searchsorted(offsets, starts, "right") - 1
             cuts = np.flatnonzero((np.diff(starts) > 1) | (np.diff(doc) > 0)) + 1
-            out: dict[str, list] = {k: [] for k in ("s1", "s2", "key", "row", "start", "data", "runs")}
+            out: dict[str, list] = {k: [] for k in ("s1", "s2", "key", "row", "start", "data", "runs", "own")}
             keys, names = batch.column(1), batch.column(2)
             for s, p, d in zip(np.split(starts, cuts), np.split(place, cuts), doc[np.concatenate(([0], cuts))].tolist(), strict=True):
                 data = raw[s[0] : s[-1] + window].tobytes()
                 digest = np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64)
-                for k, v in zip(out, (int(digest[0]), int(digest[1]), keys[d].as_py(), names[d].as_py(), int(s[0] - offsets[d]), data, np.unique(runs[p]).tobytes()), strict=True):
+                distinct = np.unique(runs[p])
+                own = len(distinct) < len(np.unique(p))
+                for k, v in zip(out, (int(digest[0]), int(digest[1]), keys[d].as_py(), names[d].as_py(), int(s[0] - offsets[d]), data, distinct.tobytes(), own), strict=True):
                     out[k].append(v)
-            kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+            kinds = [pa.int64()] * 5 + [pa.binary()] * 2 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return rows.select("text", "key", "row").mapInArrow(run, "s1 long, s2 long, key long, row long, start long, data binary, runs binary")
+    return rows.select("text", "key", "row").mapInArrow(run, "s1 long, s2 long, key long, row long, start long, data binary, runs binary, own boolean")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +253,12 @@ def search(windows: tuple[int, ...]):
         # rows that are equal hold equal segments at one place: they count once
         name = np.stack([rows.column(c).to_numpy() for c in ("tile", "s1", "s2")], 1)
         rows = rows.take(pa.array(np.sort(np.unique(name, axis=0, return_index=True)[1])))
+        roots, at = np.unique(rows.column("root").to_numpy(), return_inverse=True)
+        size = np.bincount(at, [len(x.as_buffer()) for x in rows.column("data")], len(roots))
+        part = ((np.cumsum(size) - size) // PART_BYTES)[at]
+        return pa.concat_tables([searched(rows.take(pa.array(np.flatnonzero(part == k)))) for k in np.unique(part)])
+
+    def searched(rows: pa.Table) -> pa.Table:
         tiles = rows.column("tile").to_numpy()
         out: list[list[bytes]] = [[b""] * rows.num_rows for _ in windows]
         done = []
@@ -289,13 +301,15 @@ def repeated_places(rows: DataFrame, windows: tuple[int, ...] = (WINDOW, REPORT)
     all of it."""
     held = cut(segments(rows, min(windows)), "segments")
     where = held.select("s1", "s2", "key", "row", "start", F.length("data").alias("length"))
-    kinds = held.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "start")).alias("at"), F.first(F.length("data")).alias("length"))
-    kinds = cut(kinds.select("s1", "s2", "n", "length", F.xxhash64("s1", "s2").alias("seg"), F.col("at.key").alias("key"), F.col("at.row").alias("row"), F.col("at.start").alias("start")), "segment-kinds")
+    kinds = held.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "start")).alias("at"), F.first(F.length("data")).alias("length"), F.first("own").alias("own"))
+    kinds = cut(kinds.select("s1", "s2", "n", "own", "length", F.xxhash64("s1", "s2").alias("seg"), F.col("at.key").alias("key"), F.col("at.row").alias("row"), F.col("at.start").alias("start")), "segment-kinds")
     runs = cut(held.select(F.xxhash64("s1", "s2").alias("seg"), "runs").mapInArrow(_unpacked, "seg long, run long").distinct(), "runs")
     heads = runs.groupBy("run").agg(F.min("seg").alias("b"), F.max("seg").alias("last")).where("b <> last").drop("last")
     roots = connected(runs.join(heads, "run").where("seg <> b").select(F.col("seg").alias("a"), "b"))
-    placed = kinds.join(roots, kinds["seg"] == roots["node"], "left").select("s1", "s2", "key", "row", "start", "seg", "length", F.coalesce("root", "seg").alias("root"))
-    weight = cut(placed.groupBy("root").agg(F.sum("length").alias("bytes"), F.count("*").alias("segs")), "weights")
+    placed = kinds.join(roots, kinds["seg"] == roots["node"], "left").select("s1", "s2", "key", "row", "start", "seg", "length", "n", "own", F.coalesce("root", "seg").alias("root"))
+    weight = placed.groupBy("root").agg(F.sum("length").alias("bytes"), F.count("*").alias("segs"), F.max("n").alias("n"), F.max("own").alias("own"))
+    # of a single kind of segment, several are repeated as a whole, and one can only repeat itself
+    weight = cut(weight.where("segs > 1 or n = 1 and own").select("root", "bytes"), "weights")
     total = weight.agg(F.sum("bytes")).first()[0] or 0
     shards = int(total // SHARD_BYTES) + 1
     # a shard holds whole components, or two tiles of one that is too large
@@ -304,8 +318,8 @@ def repeated_places(rows: DataFrame, windows: tuple[int, ...] = (WINDOW, REPORT)
     plan = plan.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).where("tiles = 1 or tile <> other")
     shard = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(shards))).otherwise(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")))
     # of each kind of segment, one is searched
-    plan = plan.select("s1", "s2", "key", "row", "start", shard.alias("shard"), F.when(F.col("tiles") == 1, 0).otherwise(F.col("tile")).cast("long").alias("tile"))
-    work = held.select("s1", "s2", "key", "row", "start", "data").join(plan, ["s1", "s2", "key", "row", "start"]).select("s1", "s2", "data", "shard", "tile")
+    plan = plan.select("s1", "s2", "key", "row", "start", "root", shard.alias("shard"), F.when(F.col("tiles") == 1, 0).otherwise(F.col("tile")).cast("long").alias("tile"))
+    work = held.select("s1", "s2", "key", "row", "start", "data").join(plan, ["s1", "s2", "key", "row", "start"]).select("s1", "s2", "data", "root", "shard", "tile")
     names = [f"w{k}" for k in range(len(windows))]
     found = work.groupBy("shard").applyInArrow(search(windows), ", ".join(["s1 long, s2 long", *(f"{n} binary" for n in names)]))
     # a segment that is met in several shards has runs from each
@@ -332,7 +346,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             raw, offsets = utf8(batch.column(1))
             n_removed, n_spans, n_repeated, texts = [], [], [], []
             for lo, hi, found in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist(), strict=True):
