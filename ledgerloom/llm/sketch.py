@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import mix
+from ledgerloom.llm.text import lean, mix
 
 DEPTH = 2
 MIN_BITS, MAX_BITS = 20, 29
@@ -70,7 +70,7 @@ def build(texts: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator
             twice[np.frombuffer(b.as_py(), np.uint32)] = True
         return pa.table({"row": rows.column("row")[:1], "block": rows.column("block")[:1], "bitmap": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
-    merged = texts.mapInArrow(run, "row int, block int, once binary, more binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bitmap binary")
+    merged = texts.mapInArrow(lean(run), "row int, block int, once binary, more binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bitmap binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(DEPTH)]
     size = 1 << (BLOCK_BITS - 3)
     for row, block, bitmap in zip(*(c.to_pylist() for c in merged.toArrow().columns), strict=True):

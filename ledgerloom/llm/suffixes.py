@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import sketch
 from ledgerloom.llm.components import connected
 from ledgerloom.llm.substrings import with_key
-from ledgerloom.llm.text import BYTE, pieces, rolling, same_document, utf8
+from ledgerloom.llm.text import BYTE, give_back, lean, pieces, rolling, same_document, utf8
 from ledgerloom.session import cut
 
 WINDOW = 400
@@ -229,7 +229,7 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.binary()] * 2 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return rows.select("text", "key", "row").mapInArrow(run, "s1 long, s2 long, key long, row long, start long, data binary, runs binary, own boolean")
+    return rows.select("text", "key", "row").mapInArrow(lean(run), "s1 long, s2 long, key long, row long, start long, data binary, runs binary, own boolean")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,11 @@ def search(windows: tuple[int, ...]):
         roots, at = np.unique(rows.column("root").to_numpy(), return_inverse=True)
         size = np.bincount(at, [len(x.as_buffer()) for x in rows.column("data")], len(roots))
         part = ((np.cumsum(size) - size) // PART_BYTES)[at]
-        return pa.concat_tables([searched(rows.take(pa.array(np.flatnonzero(part == k)))) for k in np.unique(part)])
+        found = []
+        for k in np.unique(part):
+            found.append(searched(rows.take(pa.array(np.flatnonzero(part == k)))))
+            give_back()
+        return pa.concat_tables(found)
 
     def searched(rows: pa.Table) -> pa.Table:
         tiles = rows.column("tile").to_numpy()
@@ -303,7 +307,7 @@ def repeated_places(rows: DataFrame, windows: tuple[int, ...] = (WINDOW, REPORT)
     where = held.select("s1", "s2", "key", "row", "start", F.length("data").alias("length"))
     kinds = held.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "start")).alias("at"), F.first(F.length("data")).alias("length"), F.first("own").alias("own"))
     kinds = cut(kinds.select("s1", "s2", "n", "own", "length", F.xxhash64("s1", "s2").alias("seg"), F.col("at.key").alias("key"), F.col("at.row").alias("row"), F.col("at.start").alias("start")), "segment-kinds")
-    runs = cut(held.select(F.xxhash64("s1", "s2").alias("seg"), "runs").mapInArrow(_unpacked, "seg long, run long").distinct(), "runs")
+    runs = cut(held.select(F.xxhash64("s1", "s2").alias("seg"), "runs").mapInArrow(lean(_unpacked), "seg long, run long").distinct(), "runs")
     heads = runs.groupBy("run").agg(F.min("seg").alias("b"), F.max("seg").alias("last")).where("b <> last").drop("last")
     roots = connected(runs.join(heads, "run").where("seg <> b").select(F.col("seg").alias("a"), "b"))
     placed = kinds.join(roots, kinds["seg"] == roots["node"], "left").select("s1", "s2", "key", "row", "start", "seg", "length", "n", "own", F.coalesce("root", "seg").alias("root"))
@@ -363,4 +367,4 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
     may = sketch.among(places.select("key").distinct(), "key")
     none = F.lit(None).cast(found.schema["found"].dataType).alias("found")
     joined = rows.where(may).join(found, ["key", "row"], "left").select("id", "text", "found").unionByName(rows.where(~may).select("id", "text", none))
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary").withColumnRenamed("id", id_col)
