@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import c
 
 # Shapes of printed numbers.
-NUMBER = r"^\(?-?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?\)?$"
-FOOTNOTE_MARK = "(\\(\\d\\)|\\*+|†|‡)$"
+PLAIN = r"\(?-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?"
+NUMBER = f"^{PLAIN}$"
+FOOTNOTE_MARK = r"(?:\(\d\)|\*+|†|‡)"
+#: A number and one footnote mark. As `$` does, the number may end before a line's end.
+MARKED_NUMBER = rf"^({PLAIN}){FOOTNOTE_MARK}$|^({PLAIN}(?:\r\n|[\n\r\u0085\u2028\u2029])){FOOTNOTE_MARK}\z"
 DASHES = ["-", "—", "–", "−"]
+NUMBER_OR_DASH = f"{NUMBER}|^[{''.join(DASHES)}]\\z"
 YEAR = r"^(19|20)\d{2}$"
 FOOTNOTE_REFERENCE = r"^\(\d\)$"
 NUMERIC_TOKEN = r"\(?-?\$?\d[\d,]*(?:\.\d+)?\)?%?"
@@ -19,19 +25,20 @@ JUNK_TOKEN = "\\(cid:\\d+\\)|�"
 
 def cell_token(cell: str | Column) -> Column:
     """The cell without '$' and spaces, and without one footnote mark if a number is left then."""
-    token = F.trim(F.translate(c(cell), "$ ", ""))
-    bare = F.regexp_replace(token, FOOTNOTE_MARK, "")
-    return F.when((bare != "") & bare.rlike(NUMBER), bare).otherwise(token)
+    return F.regexp_replace(F.trim(F.translate(c(cell), "$ ", "")), MARKED_NUMBER, "$1$2")
 
 
 def is_number(cell: str | Column) -> Column:
-    token = cell_token(cell)
-    return token.isin(DASHES) | token.rlike(NUMBER)
+    return cell_token(cell).rlike(NUMBER_OR_DASH)
 
 
 def full_value(cell: str | Column, scale: float | Column = 1.0) -> Column:
     """Value in full units. Any parenthesis or a leading minus is negative, a dash is 0, what is no number is null."""
-    token = cell_token(cell)
+    return token_value(cell_token(cell), scale)
+
+
+def token_value(token: Column, scale: float | Column = 1.0) -> Column:
+    """full_value of a cell_token."""
     scale = scale if isinstance(scale, Column) else F.lit(float(scale))
     size = F.regexp_replace(token, "[(),-]", "").try_cast("double")
     sign = F.when(token.contains("(") | token.contains(")") | token.startswith("-"), -1.0).otherwise(1.0)
@@ -59,15 +66,25 @@ def closed_paren(cell: str | Column, page_text: str | Column) -> Column:
     return F.when(cut_off & F.replace(c(page_text), F.lit(" "), F.lit("")).contains(F.concat(token, F.lit(")"))), F.concat(F.rtrim(c(cell)), F.lit(")"))).otherwise(c(cell))
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), computing value once: inside a lambda, Spark computes an expression anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_year_row(labels: Column, numbers: Column) -> Column:
     return (F.size(labels) == 0) & F.forall(numbers, lambda x: cell_token(x).rlike(YEAR))
 
 
 def is_data_line(line: str | Column) -> Column:
     """A label and at least one number that is neither a year nor a footnote reference."""
-    tokens = F.filter(F.split(c(line), UNQUOTED_SPACE), lambda x: x != "")
-    counted = F.filter(tokens, lambda x: is_number(x) & ~cell_token(x).rlike(YEAR) & ~x.rlike(FOOTNOTE_REFERENCE))
-    return (F.size(counted) > 0) & (F.size(tokens) > F.size(counted))
+    kinds = F.transform(F.filter(F.split(c(line), UNQUOTED_SPACE), lambda x: x != ""), is_counted)
+    return F.array_contains(kinds, True) & F.array_contains(kinds, False)
+
+
+def is_counted(token: str | Column) -> Column:
+    """Is a token of a line a number that makes it a data line?"""
+    x = c(token)
+    return is_number(x) & ~cell_token(x).rlike(YEAR) & ~x.rlike(FOOTNOTE_REFERENCE)
 
 
 UNQUOTED_SPACE = r"\s+"

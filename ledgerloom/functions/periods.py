@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.numbers import named
 from ledgerloom.functions.text import c, label_form
 
 MONTHS = "January February March April May June July August September October November December".split()
@@ -48,20 +49,28 @@ def column_labels(cells: str | Column, n_cols: int | Column) -> Column:
     """Period labels of n_cols columns from header cells; col1 to coln where dates don't add up."""
     n = n_cols if isinstance(n_cols, Column) else F.lit(n_cols)
     joined = F.regexp_replace(F.array_join(c(cells), "|"), r"\s+", "|")
-    squeezed = F.replace(joined, F.lit("|"), F.lit(""))
+    return named(joined, lambda j: named(F.replace(j, F.lit("|"), F.lit("")), lambda s: _labels(j, s, n)))
+
+
+def _labels(joined: Column, squeezed: Column, n: Column) -> Column:
     month = "(" + "|".join(MONTHS) + r")(\d{1,2})"
     names, days = F.regexp_extract_all(squeezed, F.lit(month), F.lit(1)), F.regexp_extract_all(squeezed, F.lit(month), F.lit(2))
     years = F.regexp_extract_all(joined, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1))
     numbers = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(f"{i:02d}"))])
-    dates = F.transform(F.arrays_zip(names.alias("m"), days.alias("d"), years.alias("y")), lambda x: F.concat_ws("-", x["y"], F.element_at(numbers, x["m"]), F.lpad(x["d"], 2, "0")))
+    day_of = lambda names, days, years: F.transform(F.arrays_zip(names.alias("m"), days.alias("d"), years.alias("y")), lambda x: F.concat_ws("-", x["y"], F.element_at(numbers, x["m"]), F.lpad(x["d"], 2, "0")))
     low = F.lower(squeezed)
     found = F.array_sort(F.filter(F.array(*[F.struct(F.instr(low, p).alias("at"), F.lit(tag).alias("tag")) for p, tag in PHRASES]), lambda x: x["at"] > 0))
-    tags = F.array_distinct(F.transform(found, lambda x: x["tag"]))
     with_tag = lambda tag, d: F.concat(tag, F.lit(" ended "), d)
-    labelled = (
-        F.when(F.size(tags) == 1, F.transform(dates, lambda d: with_tag(F.get(tags, F.lit(0)), d)))
-        .when((F.size(tags) == 2) & (n % 2 == 0), F.transform(dates, lambda d, i: with_tag(F.get(tags, F.when(i < n / 2, 0).otherwise(1)), d)))
-        .otherwise(dates)
-    )
+
+    def tagged(tags: Column, dates: Column) -> Column:
+        return (
+            F.when(F.size(tags) == 1, F.transform(dates, lambda d: with_tag(F.get(tags, F.lit(0)), d)))
+            .when((F.size(tags) == 2) & (n % 2 == 0), F.transform(dates, lambda d, i: with_tag(F.get(tags, F.when(i < n / 2, 0).otherwise(1)), d)))
+            .otherwise(dates)
+        )
+
+    tags = F.array_distinct(F.transform(found, lambda x: x["tag"]))
     plain = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("col"), i.cast("string")))
-    return F.when((F.size(names) == n) & (F.size(years) == n), labelled).otherwise(plain)
+    parts = F.struct(names.alias("m"), days.alias("d"), years.alias("y"))
+    labelled = lambda p: named(tags, lambda t: named(day_of(p["m"], p["d"], p["y"]), lambda d: tagged(t, d)))
+    return named(parts, lambda p: F.when((F.size(p["m"]) == n) & (F.size(p["y"]) == n), labelled(p)).otherwise(plain))

@@ -6,13 +6,11 @@ are arrays, and what depends on order (headers in force, the cursor of the match
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.boxes import distance_to_span, word_lines
-from ledgerloom.functions.numbers import closed_paren, full_value, header_unit, is_data_line, is_number, is_year_row, page_scale, row_scale
+from ledgerloom.functions.numbers import cell_token, closed_paren, full_value, header_unit, is_counted, is_data_line, is_number, is_year_row, named, page_scale, row_scale, token_value
 from ledgerloom.functions.periods import MONTHS, column_labels
 from ledgerloom.functions.text import c, key_form
 
@@ -22,15 +20,15 @@ LEAST_FRAGMENT, LEAST_LABEL = 3, 6
 DATED = "(" + "|".join(MONTHS) + r")\d{1,2}"
 
 
-def named(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), computing value once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def amount(cell: Column) -> Column:
+    """full_value, for use in a lambda (a lambda's second parameter is the place, not the scale)."""
+    return named(cell_token(cell), lambda token: token_value(token))
+
+
 def last_of(items: Column) -> Column:
     return F.get(items, F.size(items) - 1)
 
@@ -46,10 +44,12 @@ def text_lines(page_text: str | Column) -> Column:
 
         def cut(parts: Column) -> Column:
             wordy = F.transform(parts, lambda t, i: F.when(is_number(t) | (t == "$"), 0).otherwise(i + 1))
-            n = F.coalesce(F.array_max(wordy), F.lit(0))
-            label = F.array_join(F.slice(parts, F.lit(1), n), " ")
-            values = F.transform(F.filter(F.slice(parts, n + 1, F.size(parts)), lambda t: t != "$"), full_value)
-            return F.struct(text.alias("text"), label.alias("label"), key_form(label).alias("key"), values.alias("values"), is_data_line(text).alias("data"))
+            return named(F.coalesce(F.array_max(wordy), F.lit(0)), lambda n: named(F.array_join(F.slice(parts, F.lit(1), n), " "), lambda label: told(parts, n, label)))
+
+        def told(parts: Column, n: Column, label: Column) -> Column:
+            values = F.transform(F.filter(F.slice(parts, n + 1, F.size(parts)), lambda t: t != "$"), amount)
+            data = named(F.transform(parts, is_counted), lambda kinds: F.array_contains(kinds, True) & F.array_contains(kinds, False))
+            return F.struct(text.alias("text"), label.alias("label"), key_form(label).alias("key"), values.alias("values"), data.alias("data"))
 
         return named(tokens, cut)
 
@@ -58,10 +58,12 @@ def text_lines(page_text: str | Column) -> Column:
 
 def modal_width(data: Column) -> Column:
     """Most common number of values of the data rows, the first seen on ties; null without rows."""
-    widths = F.transform(data, lambda r: F.size(r["numbers"]))
-    kinds = F.array_distinct(widths)
-    counts = F.transform(kinds, lambda k: F.size(F.filter(widths, lambda w: w == k)))
-    return F.get(kinds, (F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
+
+    def most(widths: Column, kinds: Column) -> Column:
+        counts = F.transform(kinds, lambda k: F.size(F.filter(widths, lambda w: w == k)))
+        return F.get(kinds, named(counts, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int")))
+
+    return named(F.transform(data, lambda r: F.size(r["numbers"])), lambda widths: named(F.array_distinct(widths), lambda kinds: most(widths, kinds)))
 
 
 def header_blocks(lines: str | Column, n: Column) -> Column:
@@ -72,7 +74,9 @@ def header_blocks(lines: str | Column, n: Column) -> Column:
     start = F.struct(empty("string").alias("run"), F.lit(None).cast("array<string>").alias("periods"), F.lit(0).alias("block"), empty("struct<periods:array<string>,block:int>").alias("out"))
 
     def headed(state: Column) -> Column:
-        heads = F.filter(state["run"], lambda t: ~F.rtrim(t).endswith(":"))
+        return named(F.filter(state["run"], lambda t: ~F.rtrim(t).endswith(":")), read)
+
+    def read(heads: Column) -> Column:
         tails = F.transform(heads, lambda _, i: column_labels(F.slice(heads, i + 1, F.size(heads)), n))
         found = F.get(F.filter(tails, lambda x: ~F.get(x, F.lit(0)).startswith("col")), F.lit(0))
         dated = F.regexp_replace(F.array_join(heads, ""), r"\s", "").rlike(DATED)
@@ -101,10 +105,8 @@ def matched(rows: str | Column, lines: str | Column, n: Column) -> Column:
 
     def step(state: Column, row: Column) -> Column:
         numbers = F.slice(row["numbers"], F.greatest(F.size(row["numbers"]) - n, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
-        want = F.transform(numbers, full_value)
-        own = key_form(F.array_join(row["labels"], ""))
 
-        def chosen(same: Column) -> Column:
+        def chosen(same: Column, own: Column) -> Column:
             def fits(i: Column) -> Column:
                 line, above = F.get(lines, i), F.get(lines, i - 1)
                 before = F.when((i > 0) & (F.size(above["values"]) == 0), above["key"]).otherwise(F.lit(""))
@@ -113,16 +115,22 @@ def matched(rows: str | Column, lines: str | Column, n: Column) -> Column:
             evident = F.when(F.char_length(own) >= LEAST_FRAGMENT, F.get(F.filter(same, fits), F.lit(0)))
             return F.coalesce(evident, F.when(F.size(same) == 1, F.get(same, F.lit(0))))
 
-        same = F.filter(F.transform(lines, lambda _, i: i), lambda i: (i >= state["free"]) & (F.get(lines, i)["values"] == want))
-        at = F.when(F.size(numbers) == n, named(same, chosen))
+        def alike(want: Column) -> Column:
+            return F.filter(F.transform(lines, lambda x, i: F.when((i >= state["free"]) & (x["values"] == want), i)), lambda i: i.isNotNull())
 
-        def after(i: Column) -> Column:
+        def place(numbers: Column) -> Column:
+            own = key_form(F.array_join(row["labels"], ""))
+            same = named(F.transform(numbers, amount), alike)
+            at = F.when(F.size(numbers) == n, named(same, lambda s: named(own, lambda o: chosen(s, o))))
+            return named(at, lambda i: after(i, numbers))
+
+        def after(i: Column, numbers: Column) -> Column:
             hit = F.struct(state["free"].alias("free"), i.alias("at"), numbers.alias("numbers"))
             return F.struct(
                 F.coalesce(i + 1, state["free"]).alias("free"), (state["skipped"] + i.isNull().cast("int")).alias("skipped"), F.when(i.isNull(), state["met"]).otherwise(F.array_append(state["met"], hit)).alias("met")
             )
 
-        return named(at, after)
+        return named(numbers, place)
 
     counted = F.filter(rows, lambda r: (F.size(r["numbers"]) > 0) & ~is_year_row(r["labels"], r["numbers"]))
     return F.aggregate(counted, start, step)
@@ -136,8 +144,10 @@ def labelled(met: str | Column, lines: str | Column, heads: str | Column) -> Col
     start = F.struct(F.lit("").alias("section"), F.lit(-1).alias("block"), F.lit(0).alias("bare"), empty(row).alias("rows"))
 
     def step(state: Column, m: Column) -> Column:
-        head = F.get(heads, m["at"])
         passed = F.filter(F.slice(lines, m["free"] + 1, m["at"] - m["free"]), lambda x: (F.size(x["values"]) > 0) | (x["label"] != ""))
+        return named(F.get(heads, m["at"]), lambda head: named(passed, lambda p: labelled_by(state, m, head, p)))
+
+    def labelled_by(state: Column, m: Column, head: Column, passed: Column) -> Column:
         bare = lambda x: F.size(x["values"]) == 0
         opened = last_of(F.filter(passed, lambda x: bare(x) & x["label"].endswith(":")))["label"]
         section = F.coalesce(F.trim(F.substring(opened, F.lit(1), F.char_length(opened) - 1)), F.when(head["block"] == state["block"], state["section"]).otherwise(F.lit("")))

@@ -95,3 +95,32 @@ def test_suppression_is_greedy(spark):
     rows = [(0.9, 1, 0.0, 0.0, 10.0, 10.0), (0.8, 2, 1.0, 1.0, 11.0, 11.0), (0.7, 3, 9.0, 9.0, 19.0, 19.0)]
     df = spark.createDataFrame([(rows,)], "b array<struct<score:double,id:int,x0:double,top:double,x1:double,bottom:double>>")
     assert [x["id"] for x in df.select(B.suppress("b", 0.5)).first()[0]] == [1, 3]
+
+
+def test_cell_tokens_lose_one_mark(spark):
+    """The rule step by step: a mark goes if a number is left."""
+    import itertools
+    import re
+
+    from ledgerloom.functions import numbers as N
+
+    number, mark = re.compile(r"^\(?-?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?\)?$"), re.compile(r"(\(\d\)|\*+|†|‡)$")
+    cells = ["".join(x) for n in range(5) for x in itertools.product("1(-)*\n.", repeat=n)] + ["$ 1,234 (2)", "1,23*", "7†", "7‡†", "—", "—*", "12(5)", "(5)(1)", "1,234.5)**", "1\n*\n"]
+    want = []
+    for x in cells:
+        token = x.replace("$", "").replace(" ", "")
+        bare = mark.sub("", token)
+        token = bare if bare and number.search(bare) else token
+        want.append((token, token in N.DASHES or bool(number.search(token))))
+    rows = spark.createDataFrame(list(enumerate(cells)), "i int, x string").select("i", N.cell_token("x").alias("t"), N.is_number("x").alias("n")).orderBy("i").collect()
+    assert [(r["t"], r["n"]) for r in rows] == want
+
+
+def test_values_are_read_once(spark):
+    """A lambda computes an expression wherever it stands: one read of a cell takes one replacement."""
+    from ledgerloom.operators import contract
+
+    df = spark.createDataFrame([(["(5)"],)], "x array<string>").select(F.transform("x", contract.amount).alias("v"))
+    assert df.first()["v"] == [-5.0]
+    plan = contract.text_lines(F.lit("a 1 2"))
+    assert spark.range(1).select(plan)._jdf.queryExecution().analyzed().toString().count("‡") <= 16  # 108 when each use of a token read the cell anew

@@ -150,6 +150,11 @@ def test_repeated_values_need_label_evidence(spark):
     assert tables.to_long(df, ["k"]).count() == 0
 
 
+def test_rows_that_differ_in_their_first_number_only(spark):
+    df = spark.createDataFrame([([["", "30", "20"]], "Total assets 10 20\nTotal liabilities 30 20", 1)], "grid array<array<string>>, page_text string, k int")
+    assert [r["row_label"] for r in tables.to_long(df, ["k"]).where("col_no = 0").collect()] == ["Total liabilities"]
+
+
 def test_column_units_from_words(spark):
     page = "Total Number Average Price\nof Shares Paid Per Share\nJuly 10 230.5\nAugust 20 240.5"
     word = lambda t, x, y: {"text": t, "x0": float(x), "x1": float(x + 6 * len(t)), "top": float(y), "bottom": float(y + 8)}
