@@ -5,7 +5,8 @@ repeated string of REPORT bytes, shorter passages that are too short to remove,
    runs overestimates how often each occurs. Neighbouring strings that may be repeated make a segment of their text.
 2. Equal segments are one: if there are several, all of it is repeated. Segments that share runs, over any chain, form components, and only
    segments of one component can share a string. A component of one segment is not searched, unless one of its runs stands at several places
-   of it. The others are dealt to shards; one above SHARD_BYTES is cut into tiles. A shard is searched in parts of whole components.
+   of it. The others are dealt to shards; one above 2 * SHARD_BYTES is cut into tiles, and each two of them are a shard with one array. A shard is
+   searched in parts of whole components.
 3. A shard's suffix array is refined by prefix doubling of the groups not yet sorted (Larsson and Sadakane), in numpy; common prefixes follow by Kasai's
    algorithm, run in lanes. Strings with a common prefix of 400 (or REPORT) bytes are repeated. Two tiles of a component are merged by binary
    search of one's suffixes in the other's array.
@@ -315,12 +316,13 @@ def repeated_places(rows: DataFrame, windows: tuple[int, ...] = (WINDOW, REPORT)
     total = weight.agg(F.sum("bytes")).first()[0] or 0
     shards = int(total // SHARD_BYTES) + 1
     # a shard holds whole components, or two tiles of one that is too large
-    tiles = F.when(F.col("bytes") > 2 * SHARD_BYTES, F.ceil(F.col("bytes") / SHARD_BYTES)).otherwise(F.lit(1))
+    # two tiles share an array, which is then as large as that of the largest part: PART_BYTES and a component of 2 * SHARD_BYTES
+    tiles = F.when(F.col("bytes") > 2 * SHARD_BYTES, F.ceil(F.col("bytes") * 3 / (4 * SHARD_BYTES))).otherwise(F.lit(1))
     plan = placed.join(weight.withColumn("tiles", tiles), "root").withColumn("tile", F.pmod("seg", F.col("tiles")))
     plan = plan.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).where("tiles = 1 or tile <> other")
     shard = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(shards))).otherwise(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")))
-    # of each kind of segment, one is searched
-    plan = plan.select("s1", "s2", "key", "row", "start", "root", shard.alias("shard"), F.when(F.col("tiles") == 1, 0).otherwise(F.col("tile")).cast("long").alias("tile"))
+    # of each kind of segment, one is searched; two tiles are sorted together, which costs less than to merge their arrays
+    plan = plan.select("s1", "s2", "key", "row", "start", "root", shard.alias("shard"), F.lit(0).cast("long").alias("tile"))
     work = held.select("s1", "s2", "key", "row", "start", "data").join(plan, ["s1", "s2", "key", "row", "start"]).select("s1", "s2", "data", "root", "shard", "tile")
     names = [f"w{k}" for k in range(len(windows))]
     found = work.groupBy("shard").applyInArrow(search(windows), ", ".join(["s1 long, s2 long", *(f"{n} binary" for n in names)]))

@@ -680,3 +680,19 @@ PROSE = "Some plain words of the article that go on for a while, as they do. " *
 )
 def test_html_keeps_parts_of_an_article(source, text):
     assert html.extract(source) == text
+
+
+def test_two_tiles_have_one_array(spark, monkeypatch):
+    """The tiles of a large component are sorted two at a time, not merged pair by pair."""
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 600)
+    monkeypatch.setattr(suffixes, "merge", None)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = text(700)
+    docs = [(i, text(rng.randrange(300)) + common[i * 20 : i * 20 + 450] + text(rng.randrange(300))) for i in range(12)]
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffixes.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    starts = collections.Counter(t[i : i + 400] for _, t in docs for i in range(len(t) - 399))
+    for i, t in docs:
+        off = {j + k for j in range(len(t) - 399) if starts[t[j : j + 400]] > 1 for k in range(400)}
+        assert got[i] == (len(off), "".join(x for j, x in enumerate(t) if j not in off).encode())
+    assert sum(n for n, _ in got.values())
