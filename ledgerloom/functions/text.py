@@ -28,6 +28,9 @@ CONVENTIONS = [
 ]
 #: White space as the scored texts know it: the Unicode property, which includes no-break spaces.
 UNICODE_SPACE = r"(?U)\s+"
+#: White space as the SQL of the blocks knows it: a run of these inside a text, and the Unicode spaces (Zs) that its trim takes off the ends.
+PLAIN_SPACE = r"[\t\n\f\r ]+"
+ENDS = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 ITEM = r"(?i)^\s*item\s+\d+[a-z]?\b"
 RUNNING_FOOTER = r"(?i)form\s+10-[kq]\s*\|\s*\d+\s*$"
 
@@ -56,6 +59,11 @@ def clean_text(x: str | Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(c(x), UNICODE_SPACE, " ")), F.lit(""))
 
 
+def plain_text(x: str | Column) -> Column:
+    """Single spaces for plain white space; no-break and other spaces stay, but not at the ends. Nothing left is null."""
+    return F.nullif(F.trim(F.regexp_replace(c(x), PLAIN_SPACE, " "), F.lit(ENDS)), F.lit(""))
+
+
 def fold_signs(x: str | Column) -> Column:
     """The substitutions of CONVENTIONS, without composition and entities (see fold_conventions)."""
     out = c(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import c, clean_text
+from ledgerloom.functions.text import c, plain_text
 from ledgerloom.operators.tables import table_text
 
 VERSION = "1.0"
@@ -52,7 +52,7 @@ def validated(records: DataFrame) -> DataFrame:
 
 def with_text(blocks: DataFrame) -> DataFrame:
     """Blocks that say something; table placeholders are not theirs to emit."""
-    return blocks.withColumn("text", clean_text("text")).where(F.col("text").isNotNull() & (F.col("block_type") != "Table"))
+    return blocks.withColumn("text", plain_text("text")).where(F.col("text").isNotNull() & (F.col("block_type") != "Table"))
 
 
 def page_status(n_blocks: str | Column, n_words: str | Column) -> Column:
