@@ -93,8 +93,9 @@ def markdown(blocks: DataFrame, doc: list[str], page: str, order: list[str], pro
     return rows.groupBy(*doc).agg(F.concat(F.lit("# "), F.first("_title"), F.lit("\n\n\n\n"), joined, F.lit("\n")).alias("markdown"))
 
 
-def absorbed(blocks: DataFrame, table_tokens: DataFrame, page: list[str], block: str, tokens: str, share: float = 0.8) -> DataFrame:
-    """Text blocks of which at least `share` of the tokens stand in the page's tables. A block without tokens stays."""
-    rows = blocks.select(*page, block, F.explode(tokens).alias("token"))
-    hits = rows.join(table_tokens.select(*page, "token").distinct().withColumn("_hit", F.lit(1)), [*page, "token"], "left")
-    return hits.groupBy(*page, block).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("share")).where(F.col("share") >= share)
+def absorbed(blocks: DataFrame, in_table: Column, page: list[str], block: str, tokens: str, share: float = 0.8) -> DataFrame:
+    """Text blocks of which at least `share` of the tokens stand in the page's tables. A block without tokens stays.
+    in_table: is this row a table's. Rows that are dealt by page are not moved again."""
+    rows = blocks.select(*page, block, F.coalesce(in_table, F.lit(False)).cast("int").alias("_in"), F.explode(tokens).alias("_token"))
+    hits = rows.withColumn("_hit", F.max("_in").over(Window.partitionBy(*page, "_token")))
+    return hits.groupBy(*page, block).agg(F.avg("_hit").alias("share")).where(F.col("share") >= share)
