@@ -12,14 +12,18 @@ def area(b: Column) -> Column:
     return (b["x1"] - b["x0"]) * (b["bottom"] - b["top"])
 
 
-def overlap(a: str | Column, b: str | Column) -> Column:
-    """Shared area over the smaller area."""
-    a, b = c(a), c(b)
-    zero = F.lit(0.0)
+def shared(a: str | Column, b: str | Column) -> Column:
+    """Shared area."""
+    a, b, zero = c(a), c(b), F.lit(0.0)
     width = F.greatest(zero, F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
     height = F.greatest(zero, F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"]))
-    smaller = F.least(area(a), area(b))
-    return F.when(smaller > 0, width * height / smaller).otherwise(zero)
+    return width * height
+
+
+def overlap(a: str | Column, b: str | Column) -> Column:
+    """Shared area over the smaller area."""
+    smaller = F.least(area(c(a)), area(c(b)))
+    return F.when(smaller > 0, shared(a, b) / smaller).otherwise(F.lit(0.0))
 
 
 def suppress(boxes: str | Column, most: float) -> Column:
