@@ -3,14 +3,15 @@ repeated string of REPORT bytes, shorter passages that are too short to remove,
 
 1. Each string of REPORT bytes is represented by the least of its runs of GRAM bytes; a count-min sketch (see sketch.py) of the distinct places of those
    runs overestimates how often each occurs. Neighbouring strings that may be repeated make a segment of their text.
-2. Equal segments are one: if there are several, all of it is repeated. Segments that share runs, over any chain, form components, and only
-   segments of one component can share a string. A component of one segment is not searched, unless one of its runs stands at several places
-   of it. The others are dealt to shards; one above 2 * SHARD_BYTES is cut into tiles, and each two of them are a shard with one array. A shard is
-   searched in parts of whole components.
+2. Equal segments are one: if there are several, all of it is repeated. A run that stands at one place of one segment only represents no repeated
+   string. The others lead back to the least segment that holds them, and a segment is cut into pieces, strings whose runs lead to one
+   segment: equal strings have one run, so their pieces meet in one group. (Chains of shared runs tie a share of the corpus together that grows
+   with it; a group holds no chains.) Groups are dealt to shards; one above 2 * SHARD_BYTES is cut into tiles, and each two of them are a shard
+   with one array. A shard is searched in parts of whole groups.
 3. A shard's suffix array is refined by prefix doubling of the groups not yet sorted (Larsson and Sadakane), in numpy; common prefixes follow by Kasai's
    algorithm, run in lanes. Strings with a common prefix of 400 (or REPORT) bytes are repeated. Two tiles of a component are merged by binary
    search of one's suffixes in the other's array.
-4. Runs of repeated places go back to all texts that hold the segment, and are joined with those texts; the others aren't moved.
+4. Runs of repeated places, each found in the one piece that its string starts in, go back to all texts that hold the segment, and are joined with those texts; the others aren't moved.
 
 Defined cases: null and empty texts have no bytes; texts under 400 bytes lose nothing; equal rows repeat each other; rows of one doc_id are
 separate texts; an empty table gives an empty result; extra columns are not looked at.
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import sketch
-from ledgerloom.llm.components import connected
 from ledgerloom.llm.substrings import with_key
 from ledgerloom.llm.text import BYTE, give_back, lean, pieces, rolling, same_document, utf8
 from ledgerloom.session import cut
@@ -38,8 +38,10 @@ REPORT = 256
 #: Half of that: shorter runs (a licence line) would tie together texts that share no whole string.
 GRAM = 128
 SHARD_BYTES = 1_500_000
-#: Components of about so many bytes share an array: a bound on memory where none is larger.
+#: Groups of about so many bytes share an array: a bound on memory where none is larger.
 PART_BYTES = 1_000_000
+#: Bytes of pieces that leave a task at once.
+SENT_BYTES = 2_000_000
 
 
 def byte_anchors(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +194,8 @@ def merge(a: np.ndarray, a_order: np.ndarray, a_places: np.ndarray, b: np.ndarra
 
 
 def segments(rows: DataFrame, window: int) -> DataFrame:
-    """seg (two hashes), key, row, start, data, runs (packed hashes), own (does a run stand at several places of it?) of each segment."""
+    """seg (two hashes), key, row, start, data, runs (packed hashes of the strings' least runs, in their order) and at (packed, the first
+    string of each) of each segment."""
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(total * 2 / (window - min(GRAM, window) + 2))
@@ -216,27 +219,67 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
                 continue
             doc = np.searchsorted(offsets, starts, "right") - 1
             cuts = np.flatnonzero((np.diff(starts) > 1) | (np.diff(doc) > 0)) + 1
-            out: dict[str, list] = {k: [] for k in ("s1", "s2", "key", "row", "start", "data", "runs", "own")}
+            out: dict[str, list] = {k: [] for k in ("s1", "s2", "key", "row", "start", "data", "runs", "at")}
             keys, names = batch.column(1), batch.column(2)
             for s, p, d in zip(np.split(starts, cuts), np.split(place, cuts), doc[np.concatenate(([0], cuts))].tolist(), strict=True):
                 data = raw[s[0] : s[-1] + window].tobytes()
                 digest = np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64)
-                distinct = np.unique(runs[p])
-                own = len(distinct) < len(np.unique(p))
-                for k, v in zip(out, (int(digest[0]), int(digest[1]), keys[d].as_py(), names[d].as_py(), int(s[0] - offsets[d]), data, distinct.tobytes(), own), strict=True):
+                new = np.flatnonzero(np.diff(p, prepend=-1))
+                for k, v in zip(out, (int(digest[0]), int(digest[1]), keys[d].as_py(), names[d].as_py(), int(s[0] - offsets[d]), data, runs[p[new]].tobytes(), new.astype(np.uint32).tobytes()), strict=True):
                     out[k].append(v)
-            kinds = [pa.int64()] * 5 + [pa.binary()] * 2 + [pa.bool_()]
+            kinds = [pa.int64()] * 5 + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return rows.select("text", "key", "row").mapInArrow(lean(run), "s1 long, s2 long, key long, row long, start long, data binary, runs binary, own boolean")
+    return rows.select("text", "key", "row").mapInArrow(lean(run), "s1 long, s2 long, key long, row long, start long, data binary, runs binary, at binary")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seg, run, several (places of that segment?)"""
     for batch in batches:
-        values = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-        n = [len(v) for v in values]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.concatenate(values))], names=["seg", "run"])
+        values = [np.unique(np.frombuffer(x.as_py(), np.int64), return_counts=True) for x in batch.column(1)]
+        if values:
+            seg = np.repeat(batch.column(0).to_numpy(), [len(v) for v, _ in values])
+            run, times = (np.concatenate(x) for x in zip(*values, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(run), pa.array(times > 1)], names=["seg", "run", "several"])
+
+
+def _cut_up(window: int, most: int):
+    """Segments with the groups of their runs -> pieces: the group (root), at which place of the segment it begins, how many strings start in it,
+    and its bytes, up to the end of the longest string (`most`)."""
+
+    names = ("s1", "s2", "alone", "root", "first", "starts", "data", "length")
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+
+    def cut_up(row: dict) -> Iterator[tuple]:
+        data, runs, at = row["data"].as_py(), np.frombuffer(row["runs"].as_py(), np.int64), np.frombuffer(row["at"].as_py(), np.uint32).astype(np.int64)
+        heads, roots = row["heads"].values.to_numpy(), row["roots"].values.to_numpy()
+        order = np.argsort(heads)
+        near = order[np.minimum(np.searchsorted(heads, runs, sorter=order), len(heads) - 1)]
+        known, root = heads[near] == runs, roots[near]
+        new = np.ones(len(runs), bool)
+        new[1:] = (root[1:] != root[:-1]) | (known[1:] != known[:-1])
+        begin = np.flatnonzero(new)
+        ends = np.append(at[begin[1:]], len(data) - window + 1)
+        for g, lo, hi in zip(root[begin][known[begin]].tolist(), at[begin][known[begin]].tolist(), ends[known[begin]].tolist(), strict=True):
+            part = data[lo : hi - 1 + most]
+            yield g, lo, hi - lo, part, len(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda out: pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        out, size = [], 0
+        for batch in batches:
+            for row in (dict(zip(batch.schema.names, x, strict=True)) for x in zip(*batch.columns, strict=True)):
+                name = tuple(row[n].as_py() for n in names[:3])
+                for part in cut_up(row):
+                    out.append(name + part)
+                    size += part[-1]
+                if size >= SENT_BYTES:
+                    yield packed(out)
+                    out, size = [], 0
+        if out:
+            yield packed(out)
+
+    return lean(run)
 
 
 def runs_of(places: np.ndarray) -> np.ndarray:
@@ -247,10 +290,10 @@ def runs_of(places: np.ndarray) -> np.ndarray:
 
 def search(windows: tuple[int, ...]):
     def run(rows: pa.Table) -> pa.Table:
-        """Runs of repeated places of the segments of a shard, for each length of strings. Where its rows are of several tiles, each tile has its
+        """Runs of repeated places of the pieces of a shard, for each length of strings. Where its rows are of several tiles, each tile has its
         own array."""
         # rows that are equal hold equal segments at one place: they count once
-        name = np.stack([rows.column(c).to_numpy() for c in ("tile", "s1", "s2")], 1)
+        name = np.stack([rows.column(c).to_numpy() for c in ("tile", "s1", "s2", "first")], 1)
         rows = rows.take(pa.array(np.sort(np.unique(name, axis=0, return_index=True)[1])))
         roots, at = np.unique(rows.column("root").to_numpy(), return_inverse=True)
         size = np.bincount(at, [len(x.as_buffer()) for x in rows.column("data")], len(roots))
@@ -262,7 +305,7 @@ def search(windows: tuple[int, ...]):
         return pa.concat_tables(found)
 
     def searched(rows: pa.Table) -> pa.Table:
-        tiles = rows.column("tile").to_numpy()
+        tiles, firsts = rows.column("tile").to_numpy(), rows.column("first").to_pylist()
         out: list[list[bytes]] = [[b""] * rows.num_rows for _ in windows]
         done = []
         for tile in np.unique(tiles).tolist():
@@ -270,9 +313,11 @@ def search(windows: tuple[int, ...]):
             data = [np.frombuffer(rows.column("data")[i].as_py(), np.uint8) for i in own.tolist()]
             ends = np.cumsum(np.array([len(d) for d in data]))
             text = np.concatenate(data)
-            where = np.repeat(ends.astype(np.int32), np.diff(ends, prepend=0)) - np.arange(len(text), dtype=np.int32)  # bytes from each place to the end of its segment
-            valid = {w: where >= w for w in windows}
-            del data, where
+            sizes = np.diff(ends, prepend=0)
+            where = np.repeat(ends.astype(np.int32), sizes) - np.arange(len(text), dtype=np.int32)  # bytes from each place to the end of its piece
+            starts = where > np.repeat((sizes - rows.column("starts").to_numpy()[own]).astype(np.int32), sizes)  # what follows starts in another piece
+            valid = {w: starts & (where >= w) for w in windows}
+            del data, where, starts
             hit, order = repeated_in(text, valid)
             for other in done:
                 for w in windows:
@@ -289,10 +334,11 @@ def search(windows: tuple[int, ...]):
             for i, begin in zip(own.tolist(), [0, *ends[:-1].tolist()], strict=True):
                 for k in range(len(windows)):
                     if out[k][i]:
-                        moved = np.frombuffer(out[k][i], np.uint32).reshape(-1, 2).copy()
-                        moved[:, 0] -= begin
-                        out[k][i] = moved.tobytes()
-        took = [i for i in range(rows.num_rows) if any(x[i] for x in out)]
+                        moved = np.frombuffer(out[k][i], np.uint32).reshape(-1, 2) + np.array([firsts[i] - begin, 0])
+                        out[k][i] = moved.astype(np.uint32).tobytes()
+        # of several equal segments all is repeated, without a search
+        alone = rows.column("alone").to_pylist()
+        took = [i for i in range(rows.num_rows) if alone[i] and any(x[i] for x in out)]
         at = pa.array(took, pa.int64())
         return pa.table({"s1": rows.column("s1").take(at), "s2": rows.column("s2").take(at), **{f"w{k}": pa.array([x[i] for i in took], pa.binary()) for k, x in enumerate(out)}})
 
@@ -304,30 +350,29 @@ def repeated_places(rows: DataFrame, windows: tuple[int, ...] = (WINDOW, REPORT)
     all of it."""
     held = cut(segments(rows, min(windows)), "segments")
     where = held.select("s1", "s2", "key", "row", "start", F.length("data").alias("length"))
-    kinds = held.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "start")).alias("at"), F.first(F.length("data")).alias("length"), F.first("own").alias("own"))
-    kinds = cut(kinds.select("s1", "s2", "n", "own", "length", F.xxhash64("s1", "s2").alias("seg"), F.col("at.key").alias("key"), F.col("at.row").alias("row"), F.col("at.start").alias("start")), "segment-kinds")
-    runs = cut(held.select(F.xxhash64("s1", "s2").alias("seg"), "runs").mapInArrow(lean(_unpacked), "seg long, run long").distinct(), "runs")
-    heads = runs.groupBy("run").agg(F.min("seg").alias("b"), F.max("seg").alias("last")).where("b <> last").drop("last")
-    roots = connected(runs.join(heads, "run").where("seg <> b").select(F.col("seg").alias("a"), "b"))
-    placed = kinds.join(roots, kinds["seg"] == roots["node"], "left").select("s1", "s2", "key", "row", "start", "seg", "length", "n", "own", F.coalesce("root", "seg").alias("root"))
-    weight = placed.groupBy("root").agg(F.sum("length").alias("bytes"), F.count("*").alias("segs"), F.max("n").alias("n"), F.max("own").alias("own"))
-    # of a single kind of segment, several are repeated as a whole, and one can only repeat itself
-    weight = cut(weight.where("segs > 1 or n = 1 and own").select("root", "bytes"), "weights")
-    total = weight.agg(F.sum("bytes")).first()[0] or 0
+    kinds = held.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "start")).alias("at"))
+    kinds = cut(kinds.select("s1", "s2", (F.col("n") == 1).alias("alone"), F.xxhash64("s1", "s2").alias("seg"), "at.*"), "segment-kinds")
+    runs = cut(held.select(F.xxhash64("s1", "s2").alias("seg"), "runs").mapInArrow(lean(_unpacked), "seg long, run long, several boolean").distinct(), "runs")
+    heads = runs.groupBy("run").agg(F.min("seg").alias("root"), F.max("seg").alias("last"), F.max("several").alias("several")).where("root <> last or several")
+    heads = runs.select("seg", "run").join(heads.select("run", "root"), "run").groupBy("seg").agg(F.collect_list(F.struct("run", "root")).alias("heads"))
+    plan = kinds.join(heads.select("seg", "heads.run", "heads.root"), "seg").select("s1", "s2", "key", "row", "start", "alone", F.col("run").alias("heads"), F.col("root").alias("roots"))
+    cover = held.join(plan, ["s1", "s2", "key", "row", "start"]).select("s1", "s2", "alone", "data", "runs", "at", "heads", "roots")
+    parts = cut(cover.mapInArrow(_cut_up(min(windows), max(windows)), "s1 long, s2 long, alone boolean, root long, first long, starts long, data binary, length long"), "pieces")
+    total = parts.agg(F.sum("length")).first()[0] or 0
     shards = int(total // SHARD_BYTES) + 1
-    # a shard holds whole components, or two tiles of one that is too large
-    # two tiles share an array, which is then as large as that of the largest part: PART_BYTES and a component of 2 * SHARD_BYTES
-    tiles = F.when(F.col("bytes") > 2 * SHARD_BYTES, F.ceil(F.col("bytes") * 3 / (4 * SHARD_BYTES))).otherwise(F.lit(1))
-    plan = placed.join(weight.withColumn("tiles", tiles), "root").withColumn("tile", F.pmod("seg", F.col("tiles")))
-    plan = plan.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).where("tiles = 1 or tile <> other")
+    # a shard holds whole groups, or two tiles of one that is too large
+    # two tiles share an array, which is then as large as that of the largest part: PART_BYTES and a group of 2 * SHARD_BYTES
+    large = parts.groupBy("root").agg(F.sum("length").alias("bytes")).where(F.col("bytes") > 2 * SHARD_BYTES)
+    tiles = F.coalesce(F.ceil(F.col("bytes") * 3 / (4 * SHARD_BYTES)), F.lit(1))
+    work = parts.join(large, "root", "left").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("s1", "s2", "first"), F.col("tiles")))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).where("tiles = 1 or tile <> other")
     shard = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(shards))).otherwise(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")))
-    # of each kind of segment, one is searched; two tiles are sorted together, which costs less than to merge their arrays
-    plan = plan.select("s1", "s2", "key", "row", "start", "root", shard.alias("shard"), F.lit(0).cast("long").alias("tile"))
-    work = held.select("s1", "s2", "key", "row", "start", "data").join(plan, ["s1", "s2", "key", "row", "start"]).select("s1", "s2", "data", "root", "shard", "tile")
+    # two tiles are sorted together, which costs less than to merge their arrays
+    work = work.select("s1", "s2", "alone", "first", "starts", "data", "root", shard.alias("shard"), F.lit(0).cast("long").alias("tile"))
     names = [f"w{k}" for k in range(len(windows))]
     found = work.groupBy("shard").applyInArrow(search(windows), ", ".join(["s1 long, s2 long", *(f"{n} binary" for n in names)]))
     # a segment that is met in several shards has runs from each
-    several = kinds.where("n > 1").select("s1", "s2", *[F.lit(None).cast("binary").alias(n) for n in names])
+    several = kinds.where("not alone").select("s1", "s2", *[F.lit(None).cast("binary").alias(n) for n in names])
     return where.join(several.unionByName(found), ["s1", "s2"]).select("key", "row", "start", "length", *names)
 
 

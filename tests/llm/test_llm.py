@@ -696,3 +696,33 @@ def test_two_tiles_have_one_array(spark, monkeypatch):
         off = {j + k for j in range(len(t) - 399) if starts[t[j : j + 400]] > 1 for k in range(400)}
         assert got[i] == (len(off), "".join(x for j, x in enumerate(t) if j not in off).encode())
     assert sum(n for n, _ in got.values())
+
+
+def test_chains_of_passages_are_not_searched_by_pairs_of_tiles(spark, monkeypatch, tmp_path):
+    """Each text shares a passage with the next: all are one component, but what is searched doesn't grow with the square of the chain."""
+    search = suffixes.search
+
+    def counted(windows):
+        run = search(windows)
+
+        def of(rows):
+            import uuid
+
+            (tmp_path / uuid.uuid4().hex).write_text(str(sum(len(x.as_py()) for x in rows.column("data"))))
+            return run(rows)
+
+        return of
+
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "search", counted)
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefg é") for _ in range(12700))
+    docs = [(i, long[200 * i : 200 * i + 700]) for i in range(60)]
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffixes.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    texts = [(i, t.encode()) for i, t in docs]
+    starts = collections.Counter(t[i : i + 400] for _, t in texts for i in range(len(t) - 399))
+    for i, t in texts:
+        off = {j + k for j in range(len(t) - 399) if starts[t[j : j + 400]] > 1 for k in range(400)}
+        assert got[i] == (len(off), bytes(x for j, x in enumerate(t) if j not in off))
+    searched = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert 0 < searched < 6 * sum(len(t) for _, t in texts), searched / sum(len(t) for _, t in texts)
